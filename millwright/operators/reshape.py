@@ -62,12 +62,19 @@ def station_visits(dates: DataFrame) -> DataFrame:
 
 
 def stations_seen(dates: DataFrame) -> DataFrame:
-    """One row per part with the positions (in station order) of the stations it was seen at."""
-    entries = [
-        f"CASE WHEN coalesce({_quoted(columns)}) IS NOT NULL THEN {i} END"
-        for i, columns in enumerate(station_columns(feature_columns(dates)).values())
-    ]
-    return dates.selectExpr(ID, f"array_compact(array({', '.join(entries)})) AS seen")
+    """One row per part with a true/false array: was it seen at each station (in header order)."""
+    seen = [f"coalesce({_quoted(columns)}) IS NOT NULL" for columns in station_columns(feature_columns(dates)).values()]
+    return dates.selectExpr(ID, f"array({', '.join(seen)}) AS seen")
+
+
+def filled_cells(df: DataFrame) -> DataFrame:
+    """``position`` of every filled feature cell, in column order from 0, and -1 once per row."""
+    folded = df.selectExpr(f"array(1D, {_quoted(feature_columns(df))}) AS cells")
+    return (
+        folded.selectExpr("posexplode_outer(cells) AS (slot, value)")
+        .where(F.col("value").isNotNull())
+        .select((F.col("slot") - 1).alias("position"))
+    )
 
 
 def pack_values(numeric: DataFrame, pairs: Sequence[Pair], *keep: str) -> DataFrame:
@@ -83,25 +90,22 @@ def pack_times(dates: DataFrame, pairs: Sequence[Pair]) -> DataFrame:
 def unfold_measurements(values: DataFrame, times: DataFrame, pairs: Sequence[Pair]) -> DataFrame:
     """Join the two packed sides on the part and list every measurement that is present.
 
-    Two array columns cross the shuffle instead of hundreds of scalar ones, so the join stays in
-    generated code. Names are looked up by position after unfolding; they never cross a shuffle.
-    A measurement whose matched time is missing is kept with a NULL time.
+    Two array columns cross the shuffle instead of hundreds of scalar ones, so the join and the
+    unfolding stay in generated code. Names are looked up by position afterwards; they never cross
+    a shuffle. A measurement whose matched time is missing is kept with a NULL time. The merge
+    hint rules out a broadcast: sparse arrays are tiny on disk and large in memory.
     """
     names = ", ".join(
         f"struct({_text(p.station)} AS station, {_text(p.feature)} AS feature_name, "
         f"{_text(p.date)} AS date_feature_name)"
         for p in pairs
     )
-    present = (
-        "array_compact(transform(readings, (v, i) -> "
-        "CASE WHEN v IS NOT NULL THEN struct(i AS i, v AS measurement_value, get(times, i) AS observed_time) END))"
-    )
     return (
         values.select("part_id", "readings")
-        .join(times, "part_id")
-        .selectExpr("part_id", f"inline_outer({present})")
-        .where(F.col("i").isNotNull())
-        .selectExpr("part_id", f"get(array({names}), i) AS pair", "measurement_value", "observed_time")
+        .join(times.hint("merge"), "part_id")
+        .selectExpr("part_id", "times", "posexplode_outer(readings) AS (i, measurement_value)")
+        .where(F.col("measurement_value").isNotNull())
+        .selectExpr("part_id", f"get(array({names}), i) AS pair", "measurement_value", "get(times, i) AS observed_time")
         .selectExpr(
             "part_id",
             "pair.station AS station",

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..contracts import ID, LABEL
 from ..functions.rates import rate
+from ..operators.catalog import CATALOG_SCHEMA
 from ..operators.gates import id_balance, one_to_one
-from ..operators.reshape import station_columns, stations_seen
+from ..operators.reshape import filled_cells, station_columns, stations_seen
 from ..sources.wide import feature_columns
 
 
@@ -40,17 +40,24 @@ def id_set_difference(left: DataFrame, right: DataFrame, key: str = ID) -> DataF
 
 
 def column_coverage(df: DataFrame) -> DataFrame:
-    """Share of rows with a value, per feature column; every column is counted in one scan."""
-    names = feature_columns(df)
-    quoted = {name: "`" + name.replace("`", "``") + "`" for name in names}
-    counted = df.selectExpr("count(1) AS total", *[f"count({quoted[name]}) AS {quoted[name]}" for name in names])
-    entries = ", ".join(
-        f"struct({i} AS position, '{name}' AS column_name, {quoted[name]} AS observed)"
-        for i, name in enumerate(names)
-    )
-    return counted.selectExpr("total", f"inline(array({entries}))").select(
-        "position", "column_name", "observed", F.col("total").alias("rows"),
-        rate(F.col("observed"), F.col("total")).alias("coverage"),
+    """Share of rows with a value, per feature column; empty columns are kept.
+
+    Each row is folded into one array whose filled cells are counted by position: one scan, and a
+    partial aggregate with at most one entry per column. (One `count` per column in a single
+    aggregate is several times slower at a thousand columns.) A cell filled in every row counts
+    the rows on the way.
+    """
+    slots = [(-1, None), *enumerate(feature_columns(df))]
+    columns = df.sparkSession.createDataFrame(slots, "position INT, column_name STRING")
+    counted = filled_cells(df).groupBy("position").agg(F.count(F.lit(1)).alias("n"))
+    observed = F.coalesce("n", F.lit(0).cast("long"))
+    # One row per column from here on.
+    row_count = F.max(F.when(F.col("position") == -1, observed)).over(Window.partitionBy())
+    return (
+        columns.join(counted, "position", "left")
+        .select("position", "column_name", observed.alias("observed"), row_count.alias("rows"))
+        .where(F.col("position") >= 0)
+        .withColumn("coverage", rate(F.col("observed"), F.col("rows")))
     )
 
 
@@ -66,28 +73,26 @@ def coverage_distribution(coverage: DataFrame, sparse_below: float = 0.10) -> Da
     )
 
 
-STATION_LIST = T.StructType(
-    [T.StructField("seen", T.IntegerType(), False), T.StructField("station", T.StringType(), False)]
-)
-
-
 def station_profile(dates: DataFrame, labels: DataFrame) -> DataFrame:
     """Parts seen and failed per station of the raw date source; unvisited stations are kept.
 
-    Each part crosses the join as its id and a short list of station numbers; the list is
-    unfolded afterwards, on the way into a partial aggregate.
+    Each part crosses the join as its id and one true/false array; the array is unfolded
+    afterwards, on the way into a partial aggregate.
     """
     stations = list(station_columns(feature_columns(dates)))
-    names = dates.sparkSession.createDataFrame(list(enumerate(stations)), STATION_LIST)
+    names = dates.sparkSession.createDataFrame(list(enumerate(stations)), CATALOG_SCHEMA).select(
+        F.col("position").alias("station_number"), F.col("column_name").alias("station")
+    )
     merged = one_to_one(stations_seen(dates), labels.select(ID, LABEL))
     counts = (
-        merged.select(LABEL, F.explode("seen").alias("seen"))
-        .groupBy("seen")
+        merged.select(LABEL, F.posexplode_outer("seen").alias("station_number", "seen"))
+        .where("seen")
+        .groupBy("station_number")
         .agg(F.count(F.lit(1)).alias("parts_visited"), F.sum(LABEL).alias("failed_parts"))
     )
     zero = F.lit(0).cast("long")
     return (
-        names.join(counts, "seen", "left")
+        names.join(counts, "station_number", "left")
         .select(
             "station",
             F.coalesce("parts_visited", zero).alias("parts_visited"),

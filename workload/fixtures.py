@@ -126,7 +126,10 @@ def wide_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
         .groupBy("part_id")
         .agg(F.map_from_entries(F.collect_list(F.struct("slot", F.struct("v", "t1", "t2")))).alias("by_slot"))
     )
-    joined = labels.join(per_part, "part_id", "left").withColumnRenamed("part_id", ID)
+    # The input tables may hold one row group each; spelling out a thousand columns needs more tasks.
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spread = labels.repartition(tasks, "part_id")
+    joined = spread.join(per_part, "part_id", "left").withColumnRenamed("part_id", ID)
 
     # SQL text instead of Column calls: a thousand columns are then planned in one go.
     def cell(k: int, j: int, field: str, name: str) -> str:
