@@ -41,8 +41,15 @@ def part_routes(
 
 
 def line_visits(visits: DataFrame, line: str = TARGET_LINE, station: str = TARGET_STATION) -> DataFrame:
-    """Only the visits that matter for one line and one station (a filter the scan can use)."""
-    return visits.where(on_line(F.col("station"), line) | (F.col("station") == station))
+    """A superset of the visits that matter for one line and one station.
+
+    Only name prefixes are compared, because the scan can skip data by prefix. Names that share
+    the prefix without being on the line get no line bit in :func:`part_routes`.
+    """
+    wanted = F.col("station").startswith(line)
+    if not station.startswith(line):
+        wanted = wanted | (F.col("station") == station)
+    return visits.where(wanted)
 
 
 def route_flags(routes: DataFrame, lines: Sequence[str] = LINES) -> DataFrame:

@@ -10,8 +10,11 @@ from ..contracts import MEASUREMENTS_SCHEMA, PARTS_SCHEMA, VISITS_SCHEMA
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None, view: str | None = None) -> DataFrame:
     """Parquet scan with a known schema; ``view`` also names it for SQL."""
-    reader = spark.read.schema(schema) if schema is not None else spark.read
-    df = reader.parquet(path)
+    if schema is None:
+        df = spark.read.parquet(path)
+    else:
+        # Partition columns come last in a scan; the contract's order is restored.
+        df = spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
     if view:
         df.createOrReplaceTempView(view)
     return df

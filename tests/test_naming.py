@@ -1,0 +1,76 @@
+from conftest import tuples
+from pyspark.sql import functions as F
+
+from millwright.functions import mapped_date_name, on_line, route_label, station_of
+from millwright.operators.catalog import (
+    column_catalog,
+    feature_mapping,
+    header_shape,
+    mapped_pairs,
+    mapping_report,
+    schema_stations,
+)
+
+
+def test_line_predicate_is_the_like_pattern(spark):
+    names = ["L3_S1", "L30_S1", "L3XS1", "L3_s1", "l3_S1", "L3_S", "L3S1", "foo", "", None, "L3é" + "S2", "L4_S1"]
+    df = spark.createDataFrame([(n,) for n in names], "station STRING")
+    got = df.select("station", on_line(F.col("station"), "L3").alias("ours"), F.expr("station LIKE 'L3_S%'").alias("sql"))
+    for row in got.collect():
+        assert row["ours"] == row["sql"], row
+    assert [r[0] for r in got.where("ours").collect()] == ["L3_S1", "L3XS1", "L3_S", "L3éS2"]
+
+
+def test_mapped_date_name_reads_the_number_as_an_integer(spark):
+    names = ["L0_S0_F007", "L0_S0_F1", "l0_s0_f1", "X_F1", "L0_S0_F", "L0_S0_F1x", "Id", "L12_S3_F99"]
+    df = spark.createDataFrame([(n,) for n in names], "name STRING")
+    got = dict(df.select("name", mapped_date_name(F.col("name"))).collect())
+    assert got == {
+        "L0_S0_F007": "L0_S0_D8",
+        "L0_S0_F1": "L0_S0_D2",
+        "l0_s0_f1": None,
+        "X_F1": None,
+        "L0_S0_F": None,
+        "L0_S0_F1x": None,
+        "Id": None,
+        "L12_S3_F99": "L12_S3_D100",
+    }
+
+
+def test_station_of_any_column(spark):
+    df = spark.createDataFrame([("L0_S1_D26",), ("foo",), ("a_b",)], "c STRING")
+    assert [r[0] for r in df.select(station_of(F.col("c"))).collect()] == ["L0_S1", "foo", "a_b"]
+
+
+def test_route_labels(spark):
+    lines = ("L0", "L1", "L2", "L3")
+    df = spark.range(16).select("id", route_label(F.col("id"), lines).alias("label"))
+    labels = dict(df.collect())
+    for mask, label in labels.items():
+        wanted = " ".join(line for i, line in enumerate(lines) if mask >> i & 1)
+        assert label == (wanted or "No recorded visits")
+
+
+def test_feature_mapping_and_reports(spark):
+    numeric = column_catalog(spark, ["Id", "L0_S0_F007", "L0_S0_F1", "l0_s0_f1", "X_F1", "L1_S2_F4", "Response"])
+    dates = column_catalog(spark, ["Id", "L0_S0_D8", "L1_S2_D5", "L1_S2_D9"])
+    mapping = feature_mapping(numeric, dates)
+    assert tuples(mapping, "feature_name", "date_feature_name") == [
+        ("L0_S0_F007", "L0_S0_D8"),
+        ("L0_S0_F1", None),
+        ("L1_S2_F4", "L1_S2_D5"),
+    ]
+    assert mapped_pairs(mapping) == [("L0_S0_F007", "L0_S0", "L0_S0_D8"), ("L1_S2_F4", "L1_S2", "L1_S2_D5")]
+    report = [tuple(r) for r in mapping_report(mapping, first=1).collect()]
+    assert report == [(True, 2, ["L0_S0_F007->L0_S0_D8"]), (False, 1, ["L0_S0_F1"])]
+    assert tuples(schema_stations(dates)) == [("L0_S0", 1), ("L1_S2", 2)]
+
+
+def test_header_shape_is_the_hash_of_the_json_list(spark):
+    import hashlib
+    import json
+
+    names = ["Id", "L0_S0_F0", "L0_S0_F2", "Response"]
+    row = header_shape(column_catalog(spark, names)).first()
+    assert row["columns"] == 4
+    assert row["header_sha256"] == hashlib.sha256(json.dumps(names).encode()).hexdigest()

@@ -1,0 +1,62 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from millwright.operators.tiles import global_ntile, global_row_index
+
+
+def expected_tiles(rows, tiles):
+    """Plain ntile over sorted rows."""
+    ordered, out = sorted(rows), {}
+    size, extra = divmod(len(ordered), tiles)
+    at = 0
+    for tile in range(1, tiles + 1):
+        for row in ordered[at : at + size + (tile <= extra)]:
+            out[row] = tile
+        at += size + (tile <= extra)
+    return out
+
+
+@pytest.mark.parametrize("n,tiles", [(23, 10), (7, 10), (1, 10), (10, 10), (500, 10), (500, 7), (500, 1), (9, 1000)])
+def test_tiles_with_ties(spark, n, tiles):
+    rng = random.Random(n)
+    rows = [(float(rng.randint(0, 5)), i) for i in range(n)]
+    df = spark.createDataFrame(rows, "t DOUBLE, part_id BIGINT").repartition(6)
+    got = {(r["t"], r["part_id"]): r["tile"] for r in global_ntile(df, tiles, ["t", "part_id"]).collect()}
+    assert got == expected_tiles(rows, tiles)
+
+
+def test_one_hot_value_is_split_over_partitions(spark):
+    df = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(5.0)).otherwise(F.rand(1) * 10).alias("t"), F.col("id").alias("part_id")
+    )
+    built_in = df.selectExpr("part_id", "ntile(10) OVER (ORDER BY t, part_id) AS wanted")
+    ours = global_ntile(df, 10, ["t", "part_id"]).join(built_in, "part_id")
+    assert ours.count() == 30_000
+    assert ours.where("tile <> wanted").count() == 0
+
+
+def test_empty_input(spark):
+    df = spark.createDataFrame([], "t DOUBLE, part_id BIGINT")
+    assert global_ntile(df, 10, ["t", "part_id"]).collect() == []
+
+
+def test_row_index_puts_nulls_last(spark):
+    df = spark.createDataFrame([(None, 1), (2.0, 2), (1.0, 3)], "t DOUBLE, part_id BIGINT")
+    got = {r["part_id"]: (r["row_index"], r["row_total"]) for r in global_row_index(df, ["t", "part_id"]).collect()}
+    assert got == {3: (0, 3), 2: (1, 3), 1: (2, 3)}
+
+
+def test_no_task_sees_all_rows(spark):
+    df = spark.range(1000).selectExpr("CAST(id % 10 AS DOUBLE) AS t", "id AS part_id")
+    tiled = global_ntile(df, 10, ["t", "part_id"])
+    plan = tiled._jdf.queryExecution().executedPlan().toString()
+    # The only single-partition step works on per-partition sizes, below the broadcast.
+    above = plan[: plan.index("BroadcastExchange")]
+    assert "SinglePartition" not in above
+
+
+def test_bad_tile_count(spark):
+    with pytest.raises(ValueError):
+        global_ntile(spark.range(1), 0, ["id"])

@@ -1,0 +1,63 @@
+import math
+
+import pytest
+from conftest import tuples
+
+from millwright.sources import first_parts, read_header, read_wide_csv, read_wide_parquet
+
+
+def test_missing_cells_and_infinities(spark, csv_file):
+    path = csv_file("n.csv", "Id,L0_S0_F0,L0_S0_F2,Response\n1,,NaN,0\n2,1.5,inf,1\n3,-inf,2,0\n")
+    assert read_header(spark, path) == ["Id", "L0_S0_F0", "L0_S0_F2", "Response"]
+    df = read_wide_csv(spark, path)
+    assert tuples(df) == [(1, None, None, 0), (2, 1.5, math.inf, 1), (3, -math.inf, 2.0, 0)]
+    assert df.dtypes == [("Id", "bigint"), ("L0_S0_F0", "double"), ("L0_S0_F2", "double"), ("Response", "int")]
+
+
+@pytest.mark.parametrize("cell", ["NA", "abc", "nan"])
+def test_other_text_fails_the_read(spark, csv_file, cell):
+    path = csv_file("n.csv", f"Id,L0_S0_F0\n1,{cell}\n")
+    with pytest.raises(Exception):
+        read_wide_csv(spark, path).collect()
+
+
+def test_further_missing_words(spark, csv_file):
+    path = csv_file("n.csv", "Id,L0_S0_F0,L0_S0_F2\n1,NA,1\n2,null,2.5\n3,,NaN\n4,7,inf\n")
+    df = read_wide_csv(spark, path, missing_words=["NA", "null"])
+    assert tuples(df) == [(1, None, 1.0), (2, None, 2.5), (3, None, None), (4, 7.0, math.inf)]
+    bad = csv_file("bad.csv", "Id,L0_S0_F0\n1,NA\n2,oops\n")
+    with pytest.raises(Exception):
+        read_wide_csv(spark, bad, missing_words=["NA"]).collect()
+
+
+def test_fractional_id_fails(spark, csv_file):
+    path = csv_file("n.csv", "Id,Response\n4.5,0\n")
+    with pytest.raises(Exception):
+        read_wide_csv(spark, path).collect()
+
+
+def test_columns_are_matched_by_name_in_every_file(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    (folder / "a.csv").write_text("Id,L0_S0_F0,L0_S0_F2\n1,1,2\n")
+    (folder / "b.csv").write_text("Id,L0_S0_F2,L0_S0_F0\n2,1,2\n")
+    with pytest.raises(Exception):
+        read_wide_csv(spark, str(folder)).collect()
+
+
+def test_only_used_columns_are_scanned(spark, csv_file):
+    path = csv_file("n.csv", "Id,L0_S0_F0,L0_S0_F2,Response\n1,,NaN,0\n")
+    plan = read_wide_csv(spark, path).select("Id", "Response")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<Id:bigint,Response:int>" in plan
+
+
+def test_parquet_nan_is_missing(spark, tmp_path):
+    path = str(tmp_path / "w")
+    spark.createDataFrame([(1, math.nan), (2, 3.0)], "Id BIGINT, L0_S0_F0 DOUBLE").write.parquet(path)
+    assert tuples(read_wide_parquet(spark, path)) == [(1, None), (2, 3.0)]
+
+
+def test_sample_takes_the_smallest_ids(spark):
+    df = spark.range(1000).selectExpr("999 - id AS Id", "CAST(id AS DOUBLE) AS L0_S0_F0").repartition(7)
+    assert [r[0] for r in tuples(first_parts(df, 25), "Id")] == list(range(25))
+    assert first_parts(df, 5000).count() == 1000

@@ -341,6 +341,6 @@ def metric_views(spark, sf):
     mw.register_metric_views(*_core(spark, sf))
     return mw.run_sql(
         spark,
-        "SELECT s.station, s.rate_vs_overall, o.parts_processed FROM station_exposure_metrics s, "
-        "overall_quality_metrics o",
+        "SELECT station, rate_vs_overall, (SELECT parts_processed FROM overall_quality_metrics) AS parts_processed "
+        "FROM station_exposure_metrics",
     )
