@@ -87,39 +87,50 @@ def pack_times(dates: DataFrame, pairs: Sequence[Pair]) -> DataFrame:
     return dates.selectExpr(f"{ID} AS part_id", f"array({_quoted([p.date for p in pairs])}) AS times")
 
 
-def unfold_measurements(values: DataFrame, times: DataFrame, pairs: Sequence[Pair]) -> DataFrame:
+def _names(pairs: Sequence[Pair], field: str) -> str:
+    """SQL for the name of pair number ``i``."""
+    return f"get(array({', '.join(_text(getattr(p, field)) for p in pairs)}), i)"
+
+
+def unfold_cells(values: DataFrame, times: DataFrame, pairs: Sequence[Pair]) -> DataFrame:
     """Join the two packed sides on the part and list every measurement that is present.
 
-    Two array columns cross the shuffle instead of hundreds of scalar ones, so the join and the
-    unfolding stay in generated code. Names are looked up by position afterwards; they never cross
-    a shuffle. A measurement whose matched time is missing is kept with a NULL time. The merge
-    hint rules out a broadcast: sparse arrays are tiny on disk and large in memory.
+    ``part_id, station, i, measurement_value, observed_time``, where ``i`` is the pair number. Two
+    array columns cross the shuffle instead of hundreds of scalar ones, so the join and the
+    unfolding stay in generated code. A measurement whose matched time is missing is kept with a
+    NULL time. The merge hint rules out a broadcast: sparse arrays are tiny on disk and large in
+    memory.
     """
-    names = ", ".join(
-        f"struct({_text(p.station)} AS station, {_text(p.feature)} AS feature_name, "
-        f"{_text(p.date)} AS date_feature_name)"
-        for p in pairs
-    )
     return (
         values.select("part_id", "readings")
         .join(times.hint("merge"), "part_id")
         .selectExpr("part_id", "times", "posexplode_outer(readings) AS (i, measurement_value)")
         .where(F.col("measurement_value").isNotNull())
-        .selectExpr("part_id", f"get(array({names}), i) AS pair", "measurement_value", "get(times, i) AS observed_time")
         .selectExpr(
             "part_id",
-            "pair.station AS station",
-            "pair.feature_name AS feature_name",
+            f"{_names(pairs, 'station')} AS station",
+            "i",
             "measurement_value",
-            "pair.date_feature_name AS date_feature_name",
-            "observed_time",
+            "get(times, i) AS observed_time",
         )
     )
 
 
+def name_cells(cells: DataFrame, pairs: Sequence[Pair]) -> DataFrame:
+    """Spell out the column names of unfolded cells; done last, so names never cross a shuffle."""
+    return cells.selectExpr(
+        "part_id",
+        "station",
+        f"{_names(pairs, 'feature')} AS feature_name",
+        "measurement_value",
+        f"{_names(pairs, 'date')} AS date_feature_name",
+        "observed_time",
+    )
+
+
 def mapped_measurements(numeric: DataFrame, dates: DataFrame, pairs: Sequence[Pair] | None = None) -> DataFrame:
     """Every present measurement with its matched time column and time, from two wide sources."""
     pairs = pairs_of(numeric, dates) if pairs is None else list(pairs)
     if not pairs:
         raise ValueError("no measurement column has a matching time column")
-    return unfold_measurements(pack_values(numeric, pairs), pack_times(dates, pairs), pairs)
+    return name_cells(unfold_cells(pack_values(numeric, pairs), pack_times(dates, pairs), pairs), pairs)

@@ -25,10 +25,11 @@ from ..operators.gates import (
 )
 from ..operators.reshape import (
     mapped_measurements,
+    name_cells,
     pack_times,
     pack_values,
     station_visits,
-    unfold_measurements,
+    unfold_cells,
     unfold_visits,
     visits_per_part,
 )
@@ -153,14 +154,10 @@ def load_measurements(
     scanned = require_aligned(values, times, "part_id")
     require_rows(scanned, expected_rows, "wide sources")
 
+    # Rebalancing splits a large station over several tasks and merges small ones.
+    cells = unfold_cells(values, times, pairs).hint("rebalance", "station")
     untimed = F.count_if(F.col("observed_time").isNull()).alias("untimed")
-    written = write_counted(
-        unfold_measurements(values, times, pairs),
-        pending,
-        [untimed],
-        partition_by="station",
-        sort_by=["feature_name"],
-    )
+    written = write_counted(name_cells(cells, pairs), pending, [untimed], partition_by="station")
     require(written.counters["rows"] > 0, "no measurements were found")
     rename_once(spark, pending, final)
     remove_path(spark, scratch)

@@ -28,7 +28,6 @@ def write_counted(
     bucket_by: str | None = None,
     buckets: int | None = None,
     partition_by: str | None = None,
-    sort_by: Sequence[str] = (),
 ) -> Written:
     """Write ``df`` as a new Snappy Parquet table and check that everything arrived.
 
@@ -38,16 +37,13 @@ def write_counted(
     """
     spark = df.sparkSession
     watch = Observation(f"write-{uuid.uuid4().hex}")
-    if partition_by:
-        # Rebalancing splits a large partition value over several tasks and merges small ones.
-        df = df.hint("rebalance", partition_by).sortWithinPartitions(partition_by, *sort_by)
-    elif buckets:
+    if buckets:
         df = df.repartition(buckets, bucket_by).sortWithinPartitions(bucket_by)
     counted = df.observe(watch, F.count(F.lit(1)).alias("rows"), *counters)
     writer = counted.write.option("compression", "snappy")
     if partition_by:
         writer = writer.partitionBy(partition_by)
-    if buckets and not partition_by:
+    if buckets:
         name = f"bucketed_{uuid.uuid4().hex}"
         writer.format("parquet").bucketBy(buckets, bucket_by).sortBy(bucket_by).option("path", path).saveAsTable(name)
         spark.sql(f"DROP TABLE {name}")  # the files stay: the table is external
