@@ -13,6 +13,8 @@ from .plans.loads import (
     build_mapped_measurements,
     build_parts,
     build_station_visits,
+    check_date_ids,
+    check_parts,
     load_measurements,
     refresh,
 )
@@ -46,6 +48,8 @@ __all__ = [
     "build_parts",
     "build_session",
     "build_station_visits",
+    "check_date_ids",
+    "check_parts",
     "column_catalog",
     "column_coverage",
     "coverage_distribution",

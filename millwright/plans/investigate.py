@@ -23,27 +23,42 @@ def _outcomes(parts: DataFrame) -> DataFrame:
     return parts.select("part_id", "response")
 
 
+def _line_routes(
+    visits: DataFrame | None, line: str, station: str, lines: Sequence[str], routes: DataFrame | None
+) -> DataFrame:
+    """Routes of the parts seen on the line, from stored routes or from the visits of that line."""
+    if routes is None:
+        routes, lines = part_routes(line_visits(visits, line, station), (line,), line, station), (line,)
+    return routes.where(has_bit(F.col("line_mask"), list(lines).index(line)))
+
+
 def target_vs_line(
     parts: DataFrame,
-    visits: DataFrame,
+    visits: DataFrame | None,
     line: str = TARGET_LINE,
     station: str = TARGET_STATION,
+    lines: Sequence[str] = LINES,
     labels: Sequence[str] | None = None,
+    by_rate: bool = False,
+    routes: DataFrame | None = None,
 ) -> DataFrame:
-    """Parts of the line seen at the station against the other parts of the line."""
+    """Parts of the line seen at the station against the other parts of the line.
+
+    Sorted by label, or with ``by_rate`` by failure percentage, highest first. ``routes`` may be a
+    stored :func:`part_routes` result over ``lines`` for this line and station.
+    """
     labels = labels or (f"{station} observed", f"Other {line} parts")
-    routes = part_routes(line_visits(visits, line, station), (line,), line, station)
-    on_line = routes.where(has_bit(F.col("line_mask"), 0)).select("part_id", "visited_target")
+    on_line = _line_routes(visits, line, station, lines, routes).select("part_id", "visited_target")
     return (
         failure_summary(on_line.join(_outcomes(parts), "part_id"), "visited_target")
         .select(_target_label(labels).alias("part_group"), "parts", "failed_parts", "failure_pct")
-        .orderBy("part_group")
+        .orderBy(*([F.col("failure_pct").desc()] if by_rate else []), "part_group")
     )
 
 
 def target_within_line_group(
     parts: DataFrame,
-    visits: DataFrame,
+    visits: DataFrame | None,
     line: str = TARGET_LINE,
     station: str = TARGET_STATION,
     lines: Sequence[str] = LINES,
@@ -64,31 +79,43 @@ def target_within_line_group(
     )
 
 
-def line_entry_times(visits: DataFrame, line: str = TARGET_LINE, station: str = TARGET_STATION) -> DataFrame:
+def line_entry_times(
+    visits: DataFrame | None,
+    line: str = TARGET_LINE,
+    station: str = TARGET_STATION,
+    lines: Sequence[str] = LINES,
+    routes: DataFrame | None = None,
+) -> DataFrame:
     """Parts of the line that have a first time on it: ``part_id, visited_target, first_line_time``."""
     return (
-        part_routes(line_visits(visits, line, station), (line,), line, station)
-        .where(has_bit(F.col("line_mask"), 0) & F.col("first_line_time").isNotNull())
+        _line_routes(visits, line, station, lines, routes)
+        .where(F.col("first_line_time").isNotNull())
         .select("part_id", "visited_target", "first_line_time")
     )
 
 
 def time_cohorts(
-    visits: DataFrame, line: str = TARGET_LINE, station: str = TARGET_STATION, tiles: int = COHORTS
+    visits: DataFrame | None,
+    line: str = TARGET_LINE,
+    station: str = TARGET_STATION,
+    tiles: int = COHORTS,
+    lines: Sequence[str] = LINES,
+    routes: DataFrame | None = None,
 ) -> DataFrame:
     """Equal-sized cohorts of the line's parts by first time on the line (ties by part)."""
-    return global_ntile(
-        line_entry_times(visits, line, station), tiles, ["first_line_time", "part_id"], "time_cohort"
-    )
+    timed = line_entry_times(visits, line, station, lines, routes)
+    return global_ntile(timed, tiles, ["first_line_time", "part_id"], "time_cohort")
 
 
 def target_within_cohort(
     parts: DataFrame,
-    visits: DataFrame,
+    visits: DataFrame | None,
     line: str = TARGET_LINE,
     station: str = TARGET_STATION,
     tiles: int = COHORTS,
+    lines: Sequence[str] = LINES,
     labels: Sequence[str] | None = None,
+    routes: DataFrame | None = None,
 ) -> DataFrame:
     """The comparison inside each time cohort.
 
@@ -97,7 +124,7 @@ def target_within_cohort(
     order and are left out of the counts.
     """
     labels = labels or ("S32 observed", "S32 not observed")
-    timed = line_entry_times(visits, line, station).join(
+    timed = line_entry_times(visits, line, station, lines, routes).join(
         _outcomes(parts).withColumn("known", F.lit(True)), "part_id", "left"
     )
     cohorts = global_ntile(timed, tiles, ["first_line_time", "part_id"], "time_cohort")
@@ -106,4 +133,3 @@ def target_within_cohort(
         .orderBy("time_cohort", F.col("visited_target").desc())
         .select("time_cohort", _target_label(labels).alias("s32_group"), "parts", "failed_parts", "failure_pct")
     )
-

@@ -44,13 +44,40 @@ def build_parts(numeric: DataFrame) -> DataFrame:
     return numeric.select(F.col(ID).alias("part_id"), F.col(LABEL).cast("byte").alias("response"))
 
 
+def check_parts(parts: DataFrame, expected_rows: int | None = None) -> int:
+    """Ids present and unique, outcomes 0 or 1, and the expected number of rows; returns the rows."""
+    require_columns(parts, "parts", ["part_id", "response"], {"response": [0, 1]})
+    rows = require_keys(parts, TABLE_KEYS["parts"], "parts")
+    require_rows(rows, expected_rows, "parts")
+    return rows
+
+
+def check_date_ids(ids: DataFrame, parts: DataFrame, expected_rows: int | None = None) -> int:
+    """Date ids (column ``part_id``) present, unique and known; returns how many.
+
+    One aggregate over both id sets answers all of it.
+    """
+    report = source_alignment(ids, parts, "part_id").first()
+    require(report["null_ids"] == 0, f"date source: {report['null_ids']:,} rows without an id")
+    require(report["duplicate_ids"] == 0, f"date source: {report['duplicate_ids']:,} repeated ids")
+    require(report["left_only_ids"] == 0, f"date source: {report['left_only_ids']:,} ids are no loaded part")
+    require_rows(report["left_rows"], expected_rows, "date source")
+    return report["left_rows"]
+
+
 def build_station_visits(dates: DataFrame) -> DataFrame:
+    """Visits of the wide date source; ids are checked by :func:`check_date_ids` or a load."""
     return station_visits(dates)
 
 
-def build_mapped_measurements(numeric: DataFrame, dates: DataFrame, expected_pairs: int | None = None) -> DataFrame:
+def build_mapped_measurements(
+    numeric: DataFrame, dates: DataFrame, expected_pairs: int | None = None, check_ids: bool = True
+) -> DataFrame:
+    """Measurements of two wide sources that hold the same ids exactly once."""
     pairs = pairs_of(numeric, dates)
     require(expected_pairs in (None, len(pairs)), f"expected {expected_pairs} pairs, found {len(pairs)}")
+    if check_ids:
+        require_aligned(numeric, dates)
     return mapped_measurements(numeric, dates, pairs)
 
 
@@ -58,9 +85,7 @@ def _stage_parts(numeric: DataFrame, path: str, expected_rows: int | None, bucke
     failed = F.coalesce(F.sum("response"), F.lit(0)).alias("failed")
     written = write_counted(build_parts(numeric), path, [failed], "part_id", buckets)
     stored = numeric.sparkSession.read.parquet(path)
-    require_rows(written.counters["rows"], expected_rows, "parts")
-    require_columns(stored, "parts", ["part_id", "response"], {"response": [0, 1]})
-    require_keys(stored, TABLE_KEYS["parts"], "parts")
+    check_parts(stored, expected_rows)
     refound = stored.agg(F.coalesce(F.sum("response"), F.lit(0))).first()[0]
     require(refound == written.counters["failed"], "parts: stored failures differ from the ingested ones")
     return written
@@ -73,12 +98,7 @@ def _stage_visits(
     require(loaded > 0, "load parts before station visits")
     require_rows(loaded, expected_rows, "loaded parts")
     folded = dates.sparkSession.read.parquet(write_counted(visits_per_part(dates), scratch).path)
-    # One aggregate over both id sets answers all id gates: missing, repeated, unknown, how many.
-    ids = source_alignment(folded, parts, "part_id").first()
-    require(ids["null_ids"] == 0, f"date source: {ids['null_ids']:,} rows without an id")
-    require(ids["duplicate_ids"] == 0, f"date source: {ids['duplicate_ids']:,} repeated ids")
-    require(ids["left_only_ids"] == 0, f"date source: {ids['left_only_ids']:,} ids are no loaded part")
-    require_rows(ids["left_rows"], expected_rows, "date source")
+    check_date_ids(folded, parts, expected_rows)
     return write_counted(unfold_visits(folded), path, (), "part_id", buckets)
 
 

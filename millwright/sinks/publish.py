@@ -94,6 +94,7 @@ def register_snapshot(spark: SparkSession, target: str, database: str = "default
     for name, entry in current_tables(spark, target).items():
         if entry.get("buckets"):
             columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in SCHEMAS[name])
+            spark.catalog.dropTempView(name)  # an older view of that name would hide the table
             spark.sql(f"DROP TABLE IF EXISTS `{database}`.`{name}`")
             spark.sql(
                 f"CREATE TABLE `{database}`.`{name}` ({columns}) USING parquet "

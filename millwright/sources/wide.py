@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..contracts import ID, LABEL
+from ..operators.tiles import global_row_index
 
 # Every file is checked against the schema by column name, and any cell that is not a number
 # fails the read. `nullValue` also replaces empty cells, so this one setting makes both an empty
@@ -85,7 +86,8 @@ def first_parts(df: DataFrame, n: int, key: str = ID) -> DataFrame:
     """Sampling scan: the rows with the ``n`` smallest ids.
 
     File order is not a property of a distributed read, so the sample is defined by id. Only ids
-    are ranked; the wide rows are then filtered where they lie.
+    are ranked, over all tasks; the wide rows are then filtered where they lie.
     """
-    last = df.select(key).orderBy(F.col(key).asc_nulls_last()).limit(n).agg(F.max(key))
+    ranked = global_row_index(df.select(key), [key])
+    last = ranked.where(F.col("row_index") < n).agg(F.max(key))
     return df.where(F.col(key) <= last.scalar())

@@ -82,9 +82,16 @@ def test_paths_accept_stored_routes(spark):
     visits = visits_frame(spark, [(1, "L0_S1"), (2, "L1_S1"), (2, "L3_S32")])
     routes = part_routes(visits)
     assert tuples(production_paths(parts, visits, routes=routes)) == tuples(production_paths(parts, visits))
-    assert tuples(target_within_line_group(parts, visits, routes=routes)) == tuples(
-        target_within_line_group(parts, visits)
-    )
+    for report in (target_vs_line, target_within_line_group, target_within_cohort):
+        assert tuples(report(parts, None, routes=routes)) == tuples(report(parts, visits)) != []
+
+
+def test_comparison_sorted_by_rate(spark):
+    parts = parts_frame(spark, [(1, 0), (2, 1)])
+    visits = visits_frame(spark, [(1, "L3_S32"), (2, "L3_S1")])
+    by_label = [r["part_group"] for r in target_vs_line(parts, visits).collect()]
+    by_rate = [r["part_group"] for r in target_vs_line(parts, visits, by_rate=True).collect()]
+    assert by_label == ["L3_S32 observed", "Other L3 parts"] == by_rate[::-1]
 
 
 def test_duplicate_visits_do_not_fan_out(spark):

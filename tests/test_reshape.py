@@ -52,6 +52,9 @@ def test_pair_count_gate(spark, csv_file):
     assert build_mapped_measurements(*frames, expected_pairs=1).count() == 1
     with pytest.raises(ValueError):
         build_mapped_measurements(*frames, expected_pairs=2)
+    other = read_wide_csv(spark, csv_file("e.csv", "Id,L0_S0_D2\n2,1\n"))
+    with pytest.raises(ValueError):
+        build_mapped_measurements(frames[0], other)
 
 
 def test_random_wide_tables_against_brute_force(spark):

@@ -60,13 +60,17 @@ def observed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def station_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Grouped by the station number: the name is only spelled out once per visit.
+    # Grouped by station number and raw timestamp: names and hours are made once per visit.
     return (
         observed_lines(spark, sf_dir)
-        .select("part_id", "k", hours(F.col("l_shipdate")).alias("t"))
         .groupBy("part_id", "k")
-        .agg(F.min("t").alias("first_observed_time"), F.max("t").alias("last_observed_time"))
-        .select("part_id", station_name(F.col("k")).alias("station"), "first_observed_time", "last_observed_time")
+        .agg(F.min("l_shipdate").alias("first"), F.max("l_shipdate").alias("last"))
+        .select(
+            "part_id",
+            station_name(F.col("k")).alias("station"),
+            hours(F.col("first")).alias("first_observed_time"),
+            hours(F.col("last")).alias("last_observed_time"),
+        )
     )
 
 

@@ -202,6 +202,9 @@ FROM exposure e, (SELECT CAST(SUM(response) AS DOUBLE) / COUNT(*) AS r FROM part
     "paths_by_volume": f"{PATHS} ORDER BY parts DESC, line_group",
     "target_vs_line": f"""SELECT IF(visited_target = 1, 'L3_S32 observed', 'Other L3 parts') AS part_group, {COUNTS}
 FROM routes JOIN parts USING (part_id) WHERE l3 = 1 GROUP BY 1""",
+    "target_vs_line_by_rate": f"""SELECT IF(visited_target = 1, 'L3_S32 observed', 'Other L3 parts') AS part_group,
+       {COUNTS}
+FROM routes JOIN parts USING (part_id) WHERE l3 = 1 GROUP BY 1 ORDER BY failure_pct DESC, part_group""",
     "target_within_line_group": f"""SELECT path AS line_group,
        IF(visited_target = 1, 'L3_S32 observed', 'L3_S32 not observed') AS s32_group, {COUNTS}
 FROM routes JOIN parts USING (part_id) WHERE l3 = 1 GROUP BY 1, 2""",
@@ -237,6 +240,11 @@ UNION ALL SELECT 'dates', 625, {DATE_SHA}, (SELECT COUNT(*) FROM orders)""",
        CASE WHEN c.j <= 6 THEN {_station("c.k")} || '_D' || (2 * c.j + 1) END AS date_feature_name,
        c.j <= 6 AS mapped, v.observed
 FROM numeric_columns c JOIN numeric_coverage v USING (column_name)""",
+    "mapping_report": f"""SELECT c.j <= 6 AS mapped, COUNT(*) AS features,
+       ARRAY_TO_STRING(LIST(c.column_name || CASE WHEN c.j <= 6 THEN '->' || {_station("c.k")} || '_D' || (2 * c.j + 1)
+           ELSE '' END ORDER BY c.header_position)[1:10], ', ') AS first_features,
+       CAST(SUM(v.observed) AS BIGINT) AS cells
+FROM numeric_columns c JOIN numeric_coverage v USING (column_name) GROUP BY 1""",
     "schema_stations": f"""SELECT {_station("k")} AS station, COUNT(*) AS columns,
        CAST(SUM(observed) AS BIGINT) AS filled_cells FROM date_coverage GROUP BY k""",
     "id_profile": """SELECT 'numeric' AS source, COUNT(*) AS rows, COUNT(DISTINCT part_id) AS unique_ids,

@@ -83,6 +83,11 @@ def target_vs_line(spark, sf):
     return mw.target_vs_line(*_core(spark, sf))
 
 
+@query
+def target_vs_line_by_rate(spark, sf):
+    return mw.target_vs_line(*_core(spark, sf), by_rate=True)
+
+
 @query
 def target_within_line_group(spark, sf):
     return mw.target_within_line_group(*_core(spark, sf))
@@ -230,6 +235,14 @@ def feature_mapping(spark, sf):
     return mw.feature_mapping(*fx.wide_catalogs(spark, sf)).join(observed, "feature_name")
 
 
+@query
+def mapping_report(spark, sf):
+    """Mapped and unmapped columns: how many, the first ten, and the cells measured in them."""
+    cells = feature_mapping(spark, sf).groupBy("mapped").agg(F.sum("observed").alias("cells"))
+    report = mw.mapping_report(mw.feature_mapping(*fx.wide_catalogs(spark, sf)))
+    return report.withColumn("first_features", F.array_join("first_features", ", ")).join(cells, "mapped")
+
+
 @query
 def schema_stations(spark, sf):
     """Stations named by the date header, with their columns and the cells filled in them."""
