@@ -95,7 +95,11 @@ def register_snapshot(spark: SparkSession, target: str, database: str = "default
         if entry.get("buckets"):
             columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in SCHEMAS[name])
             spark.catalog.dropTempView(name)  # an older view of that name would hide the table
-            spark.sql(f"DROP TABLE IF EXISTS `{database}`.`{name}`")
+            full_name = f"{database}.{name}"
+            if spark.catalog.tableExists(full_name):
+                if spark.catalog.getTable(full_name).tableType != "EXTERNAL":
+                    raise FileExistsError(f"{full_name} is a table of its own; register into another database")
+                spark.sql(f"DROP TABLE `{database}`.`{name}`")
             spark.sql(
                 f"CREATE TABLE `{database}`.`{name}` ({columns}) USING parquet "
                 f"CLUSTERED BY (part_id) SORTED BY (part_id) INTO {int(entry['buckets'])} BUCKETS "

@@ -108,7 +108,9 @@ def test_bucketed_snapshot_joins_without_exchange(spark, sources, tmp_path):
 
     target = str(tmp_path / "t")
     refresh(spark, target, *sources(), buckets=4)
-    assert sorted(register_snapshot(spark, target)) == ["parts", "station_visits"]
+    spark.range(3).createOrReplaceTempView("parts")
+    for _ in range(2):  # registering again replaces the entry
+        assert sorted(register_snapshot(spark, target)) == ["parts", "station_visits"]
     parts, visits = spark.table("parts"), spark.table("station_visits")
     assert parts.count() == 4 and visits.count() == 5
     plain = refresh(spark, str(tmp_path / "p"), *sources())
@@ -127,6 +129,18 @@ def test_bucketed_snapshot_joins_without_exchange(spark, sources, tmp_path):
         spark.sql("DROP TABLE station_visits")
 
 
+def test_registering_never_drops_a_managed_table(spark, sources, tmp_path):
+    target = str(tmp_path / "t")
+    refresh(spark, target, *sources(), buckets=2)
+    spark.range(7).write.saveAsTable("parts")
+    try:
+        with pytest.raises(FileExistsError):
+            register_snapshot(spark, target)
+        assert spark.table("parts").count() == 7
+    finally:
+        spark.sql("DROP TABLE parts")
+
+
 def test_measurement_load(spark, sources, tmp_path):
     target = str(tmp_path / "t")
     totals = load_measurements(spark, target, *sources(), expected_pairs=2, expected_rows=4)
