@@ -26,7 +26,9 @@ def key_report(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def column_violations(df: DataFrame, required: Sequence[str] = (), allowed: dict[str, Sequence] | None = None) -> DataFrame:
+def column_violations(
+    df: DataFrame, required: Sequence[str] = (), allowed: dict[str, Sequence] | None = None
+) -> DataFrame:
     """One row with a violation count per NOT NULL column and per value domain; one scan."""
     checks = [F.count_if(F.col(c).isNull()).alias(f"{c}_not_null") for c in required]
     for c, values in (allowed or {}).items():
@@ -112,7 +114,9 @@ def require_keys(df: DataFrame, keys: Sequence[str], what: str) -> int:
     return report["rows"]
 
 
-def require_columns(df: DataFrame, what: str, required: Sequence[str] = (), allowed: dict[str, Sequence] | None = None) -> None:
+def require_columns(
+    df: DataFrame, what: str, required: Sequence[str] = (), allowed: dict[str, Sequence] | None = None
+) -> None:
     report = column_violations(df, required, allowed).first().asDict()
     broken = {check: n for check, n in report.items() if n}
     require(not broken, f"{what}: {broken}")

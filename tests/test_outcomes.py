@@ -110,7 +110,8 @@ def test_ties_are_broken_by_name(spark):
     assert [r["station"] for r in table.collect()] == ["L0_S1", "L0_S9", "L1_S5"]
     assert [r["station"] for r in top_stations(parts, visits, min_parts=1, k=2).collect()] == ["L0_S1", "L0_S9"]
     assert top_stations(parts, visits).collect() == []
-    paths = paths_by_volume(production_paths(parts_frame(spark, [(1, 0), (2, 0)]), visits_frame(spark, [(1, "L1_S1"), (2, "L0_S1")])))
+    two = parts_frame(spark, [(1, 0), (2, 0)]), visits_frame(spark, [(1, "L1_S1"), (2, "L0_S1")])
+    paths = paths_by_volume(production_paths(*two))
     assert [r["line_group"] for r in paths.collect()] == ["L0", "L1"]
 
 
