@@ -232,7 +232,7 @@ WHERE part_id NOT IN (SELECT part_id FROM parts_partial) GROUP BY part_id""",
     "key_violations": KEYS,
     "source_alignment": ALIGNMENT,
     "ingestion_report": REPORT,
-    "source_shape": f"""SELECT 'numeric' AS source, CAST(366 AS BIGINT) AS columns, {NUMERIC_SHA} AS header_sha256,
+    "header_fingerprint": f"""SELECT 'numeric' AS source, CAST(366 AS BIGINT) AS columns, {NUMERIC_SHA} AS header_sha256,
        (SELECT COUNT(*) FROM orders) AS rows
 UNION ALL SELECT 'dates', 625, {DATE_SHA}, (SELECT COUNT(*) FROM orders)""",
     "feature_mapping": f"""SELECT c.header_position AS position, c.column_name AS feature_name,

@@ -216,7 +216,7 @@ def ingestion_report(spark, sf):
 
 
 @query
-def source_shape(spark, sf):
+def header_fingerprint(spark, sf):
     """Header fingerprint of each source next to the rows it holds."""
     shapes = []
     for name, source, catalog in zip(
