@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, quality, simhash, substring
+from . import ann, bpe, html_blocks, langid, lm, packing, quality, simhash, substring, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -29,11 +29,23 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, by a labeller taught on a bounded sample of them."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = html_blocks.extract(pages, html_blocks.fit_labeller(pages))
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the units that an earlier one has, and the spans taken out."""
     return substring.substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "removed")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document by a model of six folds of seven."""
+    return lm.score(table(spark, sf_dir, "documents"), fold("doc_id", 7) == 2)
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the token ids of every document and of the text decoded from them."""
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), TOKENIZER)
@@ -44,6 +56,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth, among all."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.simhash_report(table(spark, sf_dir, "documents"), shingle=4, max_distance=4)
@@ -57,19 +74,43 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back through the capture index."""
+    found = warc.archive_round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP10_SQL = """
+    WITH payloads AS (
+        SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+        FROM pages
+    ), firsts AS (
+        SELECT payload_digest, min(page_id) AS first_id FROM payloads WHERE payload_bytes >= 100 GROUP BY payload_digest
+    )
+    SELECT page_id, payload_bytes, payload_digest,
+        CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN page_id > first_id THEN first_id END AS refers_to
+    FROM payloads LEFT JOIN firsts USING (payload_digest)
+"""
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_quality_rules,
+            op2_html_extraction,
             op3_substring_dedup,
+            op4_lm_scoring,
             op5_bpe_round_trip,
             op6_packing,
+            op7_nearest_neighbours,
             op8_simhash,
             op9_language_id,
+            op10_warc,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_warc": OP10_SQL}
