@@ -23,7 +23,7 @@ from .shared import map_arrow, without_columns
 from .tokens import PIECES, vocabulary
 
 NEVER = 1 << 62
-MOST_KNOWN = 400_000
+MOST_KNOWN = 200_000
 
 
 class PrefixEncoder(dict):

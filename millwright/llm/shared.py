@@ -14,6 +14,8 @@ from millwright.session import scratch_path
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+SLICE_BYTES = 4 << 20
+
 
 def ship(spark: SparkSession) -> None:
     """Let Python workers that share this folder import the package.
@@ -37,19 +39,27 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows of about ``SLICE_BYTES``."""
+    rows = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def map_arrow(
     df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[list[pa.Array]]], schema: StructType
 ) -> DataFrame:
     """``mapInArrow`` by position: ``function`` yields lists of arrays in the order of ``schema``.
 
-    Column names never reach the function, so any name is allowed, dots included.
+    Column names never reach the function, so any name is allowed, dots included. Batches of many
+    bytes are handed over in slices, so what the function holds at once stays small.
     """
     ship(df.sparkSession)
     inside = [f"c{i}" for i in range(len(schema.fields))]
     plain = StructType([StructField(n, f.dataType) for n, f in zip(inside, schema.fields, strict=True)])
 
     def run(batches):
-        for columns in function(batches):
+        for columns in function(part for batch in batches for part in sliced(batch)):
             yield pa.RecordBatch.from_arrays(columns, names=inside)
 
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, plain).toDF(*schema.names)
