@@ -28,6 +28,7 @@ KEPT_SHARE = 0.75
 STEPS = 4
 CUT = 30.0
 MIN_GROUP = 50
+MOST_SENT = 50_000  # groups whose fits go to every task; more are joined by a shuffle
 BINS_PER_UNIT = 64.0  # of the logarithm of a distance, and of a scaled statistic
 
 
@@ -135,11 +136,16 @@ def initial_fits(rows: DataFrame) -> DataFrame:
 
 
 def concentrate(rows: DataFrame, fits: DataFrame) -> DataFrame:
-    """One concentration step: refit each group to the share of its rows nearest to its present fit."""
-    near = rows.join(fits, ["k1", "k2"]).withColumn("bin", F.floor(F.log(distance() + 1e-6) * BINS_PER_UNIT).cast("int"))
+    """One concentration step: refit each group to the share of its rows nearest to its present fit.
+
+    Fits and limits have a row per group. Up to ``MOST_SENT`` of them go to every task, so no group
+    of rows is gathered in one.
+    """
+    send = F.broadcast if fits.count() <= MOST_SENT else (lambda df: df)
+    near = rows.join(send(fits), ["k1", "k2"]).withColumn("bin", F.floor(F.log(distance() + 1e-6) * BINS_PER_UNIT).cast("int"))
     near = near.select("k1", "k2", "bin", *VECTOR)
     limits = nearest_share(near.groupBy("k1", "k2", "bin").agg(F.count("*").alias("n")), KEPT_SHARE)
-    inside = near.join(limits, ["k1", "k2"]).where("bin <= limit")
+    inside = near.join(send(limits), ["k1", "k2"]).where("bin <= limit")
     sums = [F.avg(v).alias(f"m{i}") for i, v in enumerate(VECTOR)]
     for i, a in enumerate(VECTOR):
         for j, b in enumerate(VECTOR[: i + 1]):
