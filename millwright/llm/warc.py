@@ -31,6 +31,7 @@ LEAST_SHARED = 100
 ARCHIVE_BYTES = 256 << 20
 BLOCK_CAPTURES = 1000
 FILE_CAPTURES = 500_000
+READ_CAPTURES = 20_000
 KEPT_BLOCKS = 8
 CAPTURED = "1970-01-01T00:00:00Z"
 NO_ID = -(2**63)
@@ -285,12 +286,13 @@ def read_records(wanted: DataFrame, index: DataFrame) -> DataFrame:
     """Records of the (key, page_id) rows of ``wanted``, found by the index and read by byte range.
 
     ``index`` has a row per index file, about one for ``FILE_CAPTURES`` captures, and goes to every
-    task. Rows are spread by key, so neighbours share blocks. Repeated rows are read once each and
+    task. Rows are spread by key, about ``READ_CAPTURES`` to a task, so neighbours share blocks. Repeated rows are read once each and
     give every record of their key and id once.
     """
     files = [(r["first_key"], r["first_id"], r["file"], r["size"]) for r in index.collect()]
     unique = wanted.select(F.coalesce("key", F.lit("")).alias("key"), F.col("page_id")).distinct()
-    spread = unique.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    tasks = max(1, -(-wanted.count() // READ_CAPTURES))
+    spread = unique.repartitionByRange(tasks, "key", "page_id").sortWithinPartitions("key", "page_id")
     types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
 
     def run(batches):
