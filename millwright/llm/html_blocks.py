@@ -29,7 +29,7 @@ SAMPLE_PAGES = 400
 PATH_DIM = 128
 WORD_DIM = 24
 HIDDEN = 16
-EPOCHS = 8
+STEPS = 240
 BATCH = 16
 RATE = 0.01
 SEED = 11
@@ -301,21 +301,19 @@ class Labeller:
         return float(loss.sum() / max(1.0, told.sum()))
 
 
-def train(samples: list[str], epochs: int = EPOCHS, seed: int = SEED) -> Labeller | None:
-    """A labeller taught by the containers of sampled pages; none if no page says anything."""
+def train(samples: list[str], steps: int = STEPS, seed: int = SEED) -> Labeller | None:
+    """A labeller taught by the containers of sampled pages, in as many steps however few they are.
+
+    None if no page says anything.
+    """
     rng = np.random.default_rng(seed)
     pages = [(p, y) for p in map(blocks, samples) if p and (y := teacher(p)).max() >= 0]
     if not pages:
         return None
     model, moments = Labeller(PATH_DIM + WORD_DIM + 4, seed=seed), {}
-    steps = epochs * -(-len(pages) // BATCH)
-    done = 0
-    for _ in range(epochs):
-        order = rng.permutation(len(pages))
-        for at in range(0, len(order), BATCH):
-            batch = [varied(*pages[i], rng) for i in order[at : at + BATCH]]
-            model.fit([vectors(p) for p, _ in batch], [y for _, y in batch], moments, RATE * (1 - done / steps) + 1e-4)
-            done += 1
+    for done in range(steps):
+        batch = [varied(*pages[i], rng) for i in rng.integers(0, len(pages), BATCH)]
+        model.fit([vectors(p) for p, _ in batch], [y for _, y in batch], moments, RATE * (1 - done / steps) + 1e-4)
     return model
 
 
