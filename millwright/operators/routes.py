@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..contracts import LINES, TARGET_LINE, TARGET_STATION
 from ..functions.naming import has_bit, line_bits, on_line
 
+MOST_LINES = 62  # a signed 64-bit mask less the target's flag
+
 
 def part_routes(
     visits: DataFrame,
@@ -23,6 +25,8 @@ def part_routes(
     key, a mask and a time. The mask is combined before the shuffle, which also shrinks a part
     that repeats very often to one row per input partition. Duplicate visits cannot change it.
     """
+    if len(lines) > MOST_LINES:
+        raise ValueError(f"at most {MOST_LINES} lines fit one mask, {len(lines)} were given; split them over several calls")
     target_bit = len(lines)
     seen = line_bits(F.col("station"), lines).bitwiseOR(
         F.when(F.col("station") == station, F.lit(1 << target_bit)).otherwise(F.lit(0)).cast("long")
@@ -43,7 +47,7 @@ def part_routes(
 def line_visits(visits: DataFrame, line: str = TARGET_LINE, station: str = TARGET_STATION) -> DataFrame:
     """A superset of the visits that matter for one line and one station.
 
-    Only name prefixes are compared, because the scan can skip data by prefix. Names that share
+    Only name prefixes are compared, which the scan can push down. Names that share
     the prefix without being on the line get no line bit in :func:`part_routes`.
     """
     wanted = F.col("station").startswith(line)

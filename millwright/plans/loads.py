@@ -33,7 +33,6 @@ from ..operators.reshape import (
     unfold_visits,
     visits_per_part,
 )
-from ..session import scratch_path
 from ..sinks.publish import current_tables, entry_of, path_exists, publish_tables, remove_path, rename_once
 from ..sinks.write import Written, write_counted
 from ..sources.tables import read_measurements, read_parts, read_visits
@@ -53,7 +52,7 @@ def check_parts(parts: DataFrame, expected_rows: int | None = None) -> int:
 
 
 def check_date_ids(ids: DataFrame, parts: DataFrame, expected_rows: int | None = None) -> int:
-    """Date ids (column ``part_id``) present, unique and known; returns how many.
+    """Date ids (column ``part_id``) present, unique, and those of all loaded parts; returns how many.
 
     One aggregate over both id sets answers all of it.
     """
@@ -61,6 +60,7 @@ def check_date_ids(ids: DataFrame, parts: DataFrame, expected_rows: int | None =
     require(report["null_ids"] == 0, f"date source: {report['null_ids']:,} rows without an id")
     require(report["duplicate_ids"] == 0, f"date source: {report['duplicate_ids']:,} repeated ids")
     require(report["left_only_ids"] == 0, f"date source: {report['left_only_ids']:,} ids are no loaded part")
+    require(report["right_only_ids"] == 0, f"date source: {report['right_only_ids']:,} loaded parts are missing")
     require_rows(report["left_rows"], expected_rows, "date source")
     return report["left_rows"]
 
@@ -121,7 +121,8 @@ def refresh(
     """
     require(numeric is not None or dates is not None, "nothing to refresh")
     run = f"{target}/runs/{uuid.uuid4().hex}"
-    tables = current_tables(spark, target)
+    seen = current_tables(spark, target)
+    tables = dict(seen)
     totals: dict[str, int] = {}
     try:
         if numeric is not None:
@@ -142,7 +143,7 @@ def refresh(
                 read_visits(spark, tables["station_visits"]["path"]), read_parts(spark, tables["parts"]["path"])
             )
             require_none(orphans, "station visits refer to parts that would no longer exist")
-        publish_tables(spark, target, tables)
+        publish_tables(spark, target, tables, seen)
     except Exception:
         remove_path(spark, run)
         raise
@@ -161,7 +162,8 @@ def load_measurements(
 ) -> dict[str, int]:
     """One-shot load of the measurement table, laid out by station; never overwrites.
 
-    The two sources must hold the same ids exactly once. Row order does not matter.
+    The two sources must hold the same ids exactly once. Row order does not matter. The table is
+    published beside the others, with the rows it was counted to have.
     """
     final = f"{target}/mapped_measurements"
     pending = f"{final}.pending"
@@ -172,19 +174,24 @@ def load_measurements(
     require(bool(pairs), "no measurement column has a matching time column")
     require(expected_pairs in (None, len(pairs)), f"expected {expected_pairs} pairs, found {len(pairs)}")
 
-    scratch = scratch_path(spark, "packed")
-    values = spark.read.parquet(write_counted(pack_values(numeric, pairs), f"{scratch}/values").path)
-    times = spark.read.parquet(write_counted(pack_times(dates, pairs), f"{scratch}/times").path)
-    scanned = require_aligned(values, times, "part_id")
-    require_rows(scanned, expected_rows, "wide sources")
-
-    # Rebalancing splits a large station over several tasks and merges small ones.
-    cells = unfold_cells(values, times, pairs).hint("rebalance", "station")
-    untimed = F.count_if(F.col("observed_time").isNull()).alias("untimed")
-    written = write_counted(name_cells(cells, pairs), pending, [untimed], partition_by="station")
-    require(written.counters["rows"] > 0, "no measurements were found")
-    rename_once(spark, pending, final)
-    remove_path(spark, scratch)
+    seen = current_tables(spark, target)
+    scratch = f"{target}/_packed-{uuid.uuid4().hex}"
+    try:
+        values = spark.read.parquet(write_counted(pack_values(numeric, pairs), f"{scratch}/values").path)
+        times = spark.read.parquet(write_counted(pack_times(dates, pairs), f"{scratch}/times").path)
+        scanned = require_aligned(values, times, "part_id")
+        require_rows(scanned, expected_rows, "wide sources")
+
+        # Rebalancing splits a large station over several tasks and merges small ones.
+        cells = unfold_cells(values, times, pairs).hint("rebalance", "station")
+        untimed = F.count_if(F.col("observed_time").isNull()).alias("untimed")
+        written = write_counted(name_cells(cells, pairs), pending, [untimed], partition_by="station")
+        require(written.counters["rows"] > 0, "no measurements were found")
+        rename_once(spark, pending, final)
+    finally:
+        remove_path(spark, scratch)
+    entry = {"path": final, "buckets": None, "rows": written.counters["rows"]}
+    publish_tables(spark, target, seen | {"mapped_measurements": entry}, seen)
     read_measurements(spark, final, view)
     return {
         "pairs": len(pairs),

@@ -6,31 +6,51 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Text a semicolon or a number may hide in, and the semicolon itself.
-_PIECE = re.compile(r"'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`|--[^\n]*|/\*.*?\*/|;", re.DOTALL)
+# Quoted text with Spark's escapes, comments, and the semicolon itself.
+_PIECE = re.compile(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|--[^\n]*|/\*\+?|;", re.DOTALL)
+_NEST = re.compile(r"/\*|\*/")
 _FRACTION = re.compile(r"(?<![\w.])(\d+\.\d+|\.\d+)(?![\w.])")
-_VIEW = re.compile(r"^\s*CREATE\s+(OR\s+REPLACE\s+)?(?:TEMP(?:ORARY)?\s+)?VIEW\s", re.IGNORECASE)
+_VIEW = re.compile(
+    r"^\s*CREATE\s+(OR\s+REPLACE\s+)?(?:(?:GLOBAL\s+)?TEMP(?:ORARY)?\s+)?VIEW\s+(IF\s+NOT\s+EXISTS\s+)?", re.IGNORECASE
+)
+_NAME = re.compile(r"`[^`]+`|[\w.]+")
 
 
-def split_statements(text: str, fractions_as_double: bool = True) -> list[str]:
-    """Statements of a SQL text, without comments.
+def _comment_end(text: str, at: int) -> int:
+    """Where the comment that starts at ``at`` ends; comments nest."""
+    depth = 0
+    for mark in _NEST.finditer(text, at):
+        depth += 1 if mark.group() == "/*" else -1
+        if depth == 0:
+            return mark.end()
+    raise ValueError("a comment is not closed")
 
-    A literal like ``1.0`` is read as a double unless told otherwise: as a decimal it would make
-    ratios lose digits.
+
+def split_statements(text: str, fractions_as_double: bool = False) -> list[str]:
+    """Statements of a SQL text, without comments; optimizer hints stay.
+
+    With ``fractions_as_double`` a literal like ``1.0`` is read as a double, not as a decimal.
     """
 
     def code(piece: str) -> str:
         return _FRACTION.sub(r"\1D", piece) if fractions_as_double else piece
 
     statements, current, at = [], "", 0
-    for match in _PIECE.finditer(text):
+    while match := _PIECE.search(text, at):
         current += code(text[at : match.start()])
-        at = match.end()
-        piece = match.group()
+        at, piece = match.end(), match.group()
         if piece == ";":
             statements.append(current)
             current = ""
-        elif piece.startswith(("--", "/*")):
+        elif piece.startswith("--"):
+            current += " "
+        elif piece == "/*+":
+            at = text.find("*/", at) + 2
+            if at == 1:
+                raise ValueError("a hint is not closed")
+            current += text[match.start() : at]
+        elif piece == "/*":
+            at = _comment_end(text, match.start())
             current += " "
         else:
             current += piece
@@ -38,17 +58,23 @@ def split_statements(text: str, fractions_as_double: bool = True) -> list[str]:
     return [s.strip() for s in statements if s.strip()]
 
 
-def run_sql(spark: SparkSession, text: str, fractions_as_double: bool = True) -> DataFrame:
+def run_sql(spark: SparkSession, text: str, fractions_as_double: bool = False) -> DataFrame:
     """Run every statement of ``text`` and return the result of the last one.
 
-    Views are made temporary, because they may read the temporary views of a snapshot.
+    Views are made temporary, because they may read the temporary views of a snapshot. Nothing else
+    of a statement is changed unless ``fractions_as_double`` asks for it.
     """
-    statements = split_statements(text.lstrip("﻿"), fractions_as_double)
+    statements = split_statements(text.lstrip("\ufeff"), fractions_as_double)
     if not statements:
         raise ValueError("the SQL text is empty")
     result = None
     for statement in statements:
-        result = spark.sql(
-            _VIEW.sub(lambda m: f"CREATE {'OR REPLACE ' if m.group(1) else ''}TEMPORARY VIEW ", statement)
-        )
+        if view := _VIEW.match(statement):
+            rest = statement[view.end() :]
+            name = _NAME.match(rest)
+            if view.group(2) and name and spark.catalog.tableExists(name.group().strip("`")):
+                result = spark.sql("SELECT 1 WHERE FALSE")
+                continue
+            statement = f"CREATE {'OR REPLACE ' if view.group(1) else ''}TEMPORARY VIEW {rest}"
+        result = spark.sql(statement)
     return result

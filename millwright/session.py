@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -28,23 +27,11 @@ def build_session(app: str = "millwright", master: str | None = None, **extra: s
     return builder.getOrCreate()
 
 
-_local_folders: dict[str, str] = {}
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, named by ``spark.checkpoint.dir``.
-
-    Only a local master may fall back to a temporary folder of this machine.
-    """
+    """The folder every executor can reach: ``spark.checkpoint.dir``, or else one in the warehouse."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        if context.applicationId not in _local_folders:
-            _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="millwright-")
-        folder = _local_folders[context.applicationId]
-    return folder
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

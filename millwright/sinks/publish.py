@@ -57,8 +57,26 @@ def current_tables(spark: SparkSession, target: str) -> dict[str, dict]:
     return json.loads(spark.read.text(pointer, wholetext=True).first()[0])
 
 
-def publish_tables(spark: SparkSession, target: str, tables: dict[str, dict]) -> None:
-    """Make exactly these tables current, in one step."""
+def publish_tables(spark: SparkSession, target: str, tables: dict[str, dict], seen: dict[str, dict]) -> None:
+    """Make exactly these tables current, in one step, if those ``seen`` at the start still are.
+
+    A lock file, which only one publisher can create, covers the comparison and the rename. One left
+    by a publisher that died names itself in the error and has to be removed by hand.
+    """
+    _, lock, fs = _hadoop(spark, f"{target}/_{POINTER}.lock")
+    try:
+        fs.create(lock, False).close()
+    except Exception as error:
+        raise RuntimeError(f"another publication holds {lock.toString()}") from error
+    try:
+        if current_tables(spark, target) != seen:
+            raise RuntimeError(f"{target} was published by someone else meanwhile; load again")
+        _replace_pointer(spark, target, tables)
+    finally:
+        fs.delete(lock, False)
+
+
+def _replace_pointer(spark: SparkSession, target: str, tables: dict[str, dict]) -> None:
     jvm, final, fs = _hadoop(spark, f"{target}/{POINTER}")
     _, draft, _ = _hadoop(spark, f"{target}/_{POINTER}-{uuid.uuid4().hex}")
     out = fs.create(draft, False)
@@ -73,7 +91,7 @@ def publish_tables(spark: SparkSession, target: str, tables: dict[str, dict]) ->
 
 
 def entry_of(written: Written) -> dict:
-    return {"path": written.path, "buckets": written.buckets}
+    return {"path": written.path, "buckets": written.buckets, "rows": written.counters["rows"]}
 
 
 def snapshot_table(spark: SparkSession, target: str, name: str) -> DataFrame:

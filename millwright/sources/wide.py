@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..contracts import ID, LABEL
-from ..operators.tiles import global_row_index
 
 # Every file is checked against the schema by column name, and any cell that is not a number
 # fails the read. `nullValue` also replaces empty cells, so this one setting makes both an empty
@@ -69,8 +68,8 @@ def read_wide_parquet(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.parquet(path)
     return df.select(
         *[
-            F.nanvl(F.col(f"`{f.name}`"), F.lit(None).cast("double")).alias(f.name)
-            if isinstance(f.dataType, T.DoubleType)
+            F.nanvl(F.col(f"`{f.name}`"), F.lit(None).cast(f.dataType)).alias(f.name)
+            if isinstance(f.dataType, T.FractionalType) and not isinstance(f.dataType, T.DecimalType)
             else F.col(f"`{f.name}`")
             for f in df.schema
         ]
@@ -83,11 +82,9 @@ def feature_columns(df: DataFrame) -> list[str]:
 
 
 def first_parts(df: DataFrame, n: int, key: str = ID) -> DataFrame:
-    """Sampling scan: the rows with the ``n`` smallest ids.
+    """Sampling scan: ``n`` rows with the smallest ids, all rows if there are fewer.
 
-    File order is not a property of a distributed read, so the sample is defined by id. Only ids
-    are ranked, over all tasks; the wide rows are then filtered where they lie.
+    File order is not a property of a distributed read, so the sample is defined by id. Rows without
+    an id come last; among rows of the last id any may be taken.
     """
-    ranked = global_row_index(df.select(key), [key])
-    last = ranked.where(F.col("row_index") < n).agg(F.max(key))
-    return df.where(F.col(key) <= last.scalar())
+    return df.orderBy(F.col(key).asc_nulls_last()).limit(n)

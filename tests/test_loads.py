@@ -10,6 +10,7 @@ from millwright.plans.diagnostics import ingestion_report, report_rows, require_
 from millwright.plans.loads import load_measurements, refresh
 from millwright.plans.measurements import measurement_validation, station_measurement_coverage
 from millwright.sinks import current_tables, register_snapshot, snapshot_table, write_report
+from millwright.sinks.publish import publish_tables
 from millwright.sources import read_header, read_measurements, read_wide_csv
 
 NUMERIC = "Id,L0_S0_F0,L3_S32_F2,L3_S32_F9,Response\n1,1.5,2,,0\n2,,3,4,1\n3,,,,0\n4,7,,5,1\n"
@@ -77,11 +78,37 @@ def test_wrong_expected_rows(spark, sources, tmp_path):
     refresh(spark, target, numeric)
     with pytest.raises(GateError):
         refresh(spark, target, dates=dates, expected_rows=3)
-    # A date source that covers only some parts is fine until a row count is expected.
+    # A date source has to cover all loaded parts, whether or not a row count is expected.
     _, fewer = sources(dates="Id,L0_S0_D1\n1,1\n")
+    for rows in (4, None):
+        with pytest.raises(GateError):
+            refresh(spark, target, dates=fewer, expected_rows=rows)
+
+
+def test_a_publication_that_someone_else_overtook_fails(spark, sources, tmp_path):
+    target = str(tmp_path / "t")
+    refresh(spark, target, *sources())
+    seen = current_tables(spark, target)
+    refresh(spark, target, sources()[0])
+    with pytest.raises(RuntimeError):
+        publish_tables(spark, target, seen, seen)
+    assert current_tables(spark, target) != seen
+
+
+def test_no_scratch_is_left_by_a_failed_measurement_load(spark, sources, tmp_path):
+    target = str(tmp_path / "t")
     with pytest.raises(GateError):
-        refresh(spark, target, dates=fewer, expected_rows=4)
-    assert refresh(spark, target, dates=fewer) == {"station_visits": 1}
+        load_measurements(spark, target, *sources(), expected_rows=5)
+    assert [name for name in os.listdir(target) if name.startswith("_packed")] == []
+
+
+def test_measurements_are_published_beside_the_other_tables(spark, sources, tmp_path):
+    target = str(tmp_path / "t")
+    refresh(spark, target, *sources())
+    totals = load_measurements(spark, target, *sources(), expected_pairs=2)
+    assert snapshot_table(spark, target, "mapped_measurements").count() == totals["measurements"]
+    assert current_tables(spark, target)["mapped_measurements"]["rows"] == totals["measurements"]
+    assert set(register_snapshot(spark.newSession(), target)) == {"parts", "station_visits", "mapped_measurements"}
 
 
 def test_separate_refreshes(spark, sources, tmp_path):
@@ -184,7 +211,7 @@ def test_measurement_load_gates(spark, sources, tmp_path):
 def test_ingestion_report(spark, sources, tmp_path, csv_file):
     target = str(tmp_path / "t")
     refresh(spark, target, *sources())
-    load_measurements(spark, target, *sources())
+    totals = load_measurements(spark, target, *sources())
     catalogs = [
         column_catalog(spark, read_header(spark, csv_file(f"h{i}.csv", text))) for i, text in enumerate((NUMERIC, DATES))
     ]
@@ -194,10 +221,14 @@ def test_ingestion_report(spark, sources, tmp_path, csv_file):
         read_measurements(spark, f"{target}/mapped_measurements"),
     )
     right = Expected(4, 2, 2, 2, 0, 5, 4)
-    report = ingestion_report(*tables, *catalogs, expected=right)
+    report = ingestion_report(*tables, *catalogs, expected=right, counted_measurements=totals["measurements"])
     write_report(report, str(tmp_path / "report"))
     (name,) = [f for f in os.listdir(tmp_path / "report") if f.endswith(".json")]
     document = json.loads((tmp_path / "report" / name).read_text())
+    for counted in (None, totals["measurements"] + 1):
+        wrong = ingestion_report(*tables, *catalogs, expected=right, counted_measurements=counted).first()
+        assert wrong["status"] == "failed"
+        assert [k for k, ok in wrong["checks"].items() if not ok] == ["measurement_count_matches_parquet"]
     assert document["status"] == "passed" and set(document["checks"].values()) == {True}
     assert len(document["checks"]) == 8
     assert document["created_utc"].endswith("+00:00")

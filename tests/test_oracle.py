@@ -5,6 +5,8 @@ import pytest
 import __spark_entry__ as driver
 from compare import differences, oracle_connection
 
+from workload import oracles, queries as registry
+
 # No station reaches the default 1,000 parts in the smallest tables.
 MAY_BE_EMPTY = {"station_table", "top_stations"}
 
@@ -15,16 +17,16 @@ def con(sf_dir):
 
 
 def test_every_query_has_an_oracle():
-    assert set(driver.queries()) == set(driver.oracle_sql())
+    assert set(registry.registered()) == set(oracles.oracle_sql())
 
 
 def test_entry_returns_rows(spark):
     assert driver.entry(spark).count() == 52
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(registry.registered()))
 def test_query_matches_oracle(spark, con, sf_dir, name):
-    found = differences(driver.queries()[name](spark, sf_dir), con, driver.oracle_sql()[name])
+    found = differences(registry.registered()[name](spark, sf_dir), con, oracles.oracle_sql()[name])
     if name in MAY_BE_EMPTY and found == "no rows on either side":
         return
     assert found is None

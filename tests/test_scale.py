@@ -3,7 +3,6 @@
 import duckdb
 import pytest
 
-import __spark_entry__ as driver
 from compare import TABLES, differences, oracle_connection
 from conftest import parts_frame, visits_frame
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from millwright.plans.investigate import target_vs_line
 from millwright.plans.metrics import production_paths, station_exposure
 from millwright.session import scratch_path
 from millwright.sources import read_parts, read_visits
+from workload import oracles, queries as registry
 
 
 def plan_of(df) -> str:
@@ -44,9 +44,9 @@ def test_overall_rate_is_a_scalar_subquery(stored):
     assert "Subquery" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(registry.registered()))
 def test_no_query_pairs_everything(spark, sf_dir, name):
-    plan = plan_of(driver.queries()[name](spark, sf_dir))
+    plan = plan_of(registry.registered()[name](spark, sf_dir))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
@@ -68,9 +68,9 @@ def skewed_dir(sf_dir, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(registry.registered()))
 def test_hot_keys(spark, skewed_dir, name):
-    found = differences(driver.queries()[name](spark, skewed_dir), oracle_connection(skewed_dir), driver.oracle_sql()[name])
+    found = differences(registry.registered()[name](spark, skewed_dir), oracle_connection(skewed_dir), oracles.oracle_sql()[name])
     assert found in (None, "no rows on either side")
 
 

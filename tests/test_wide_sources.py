@@ -55,9 +55,13 @@ def test_parquet_nan_is_missing(spark, tmp_path):
     path = str(tmp_path / "w")
     spark.createDataFrame([(1, math.nan), (2, 3.0)], "Id BIGINT, L0_S0_F0 DOUBLE").write.parquet(path)
     assert tuples(read_wide_parquet(spark, path)) == [(1, None), (2, 3.0)]
+    spark.createDataFrame([(1, math.nan), (2, 3.0)], "Id BIGINT, L0_S0_F0 FLOAT").write.mode("overwrite").parquet(path)
+    assert tuples(read_wide_parquet(spark, path)) == [(1, None), (2, 3.0)]
 
 
 def test_sample_takes_the_smallest_ids(spark):
     df = spark.range(1000).selectExpr("999 - id AS Id", "CAST(id AS DOUBLE) AS L0_S0_F0").repartition(7)
     assert [r[0] for r in tuples(first_parts(df, 25), "Id")] == list(range(25))
     assert first_parts(df, 5000).count() == 1000
+    odd = spark.createDataFrame([(None,), (2,), (1,), (1,)], "Id BIGINT")
+    assert tuples(first_parts(odd, 10)) == [(None,), (1,), (1,), (2,)] and first_parts(odd, 1).count() == 1

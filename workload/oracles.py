@@ -232,21 +232,6 @@ WHERE part_id NOT IN (SELECT part_id FROM parts_partial) GROUP BY part_id""",
     "key_violations": KEYS,
     "source_alignment": ALIGNMENT,
     "ingestion_report": REPORT,
-    "header_fingerprint": f"""SELECT 'numeric' AS source, CAST(366 AS BIGINT) AS columns, {NUMERIC_SHA} AS header_sha256,
-       (SELECT COUNT(*) FROM orders) AS rows
-UNION ALL SELECT 'dates', 625, {DATE_SHA}, (SELECT COUNT(*) FROM orders)""",
-    "feature_mapping": f"""SELECT c.header_position AS position, c.column_name AS feature_name,
-       {_station("c.k")} AS station,
-       CASE WHEN c.j <= 6 THEN {_station("c.k")} || '_D' || (2 * c.j + 1) END AS date_feature_name,
-       c.j <= 6 AS mapped, v.observed
-FROM numeric_columns c JOIN numeric_coverage v USING (column_name)""",
-    "mapping_report": f"""SELECT c.j <= 6 AS mapped, COUNT(*) AS features,
-       ARRAY_TO_STRING(LIST(c.column_name || CASE WHEN c.j <= 6 THEN '->' || {_station("c.k")} || '_D' || (2 * c.j + 1)
-           ELSE '' END ORDER BY c.header_position)[1:10], ', ') AS first_features,
-       CAST(SUM(v.observed) AS BIGINT) AS cells
-FROM numeric_columns c JOIN numeric_coverage v USING (column_name) GROUP BY 1""",
-    "schema_stations": f"""SELECT {_station("k")} AS station, COUNT(*) AS columns,
-       CAST(SUM(observed) AS BIGINT) AS filled_cells FROM date_coverage GROUP BY k""",
     "id_profile": """SELECT 'numeric' AS source, COUNT(*) AS rows, COUNT(DISTINCT part_id) AS unique_ids,
        COUNT(*) - COUNT(DISTINCT part_id) AS duplicate_ids, CAST(0 AS BIGINT) AS missing_ids FROM parts
 UNION ALL SELECT 'dates', COUNT(*), COUNT(DISTINCT part_id), COUNT(*) - COUNT(DISTINCT part_id), 0 FROM parts
@@ -259,16 +244,10 @@ UNION ALL SELECT 'keys_raw', COUNT(*), COUNT(DISTINCT part_id), COUNT(*) - COUNT
 FROM numeric_coverage UNION ALL SELECT 'dates', position, column_name, observed, rows, {RATE} FROM date_coverage""",
     "coverage_distribution": f"""SELECT 'numeric' AS source, {DISTRIBUTION} FROM numeric_coverage
 UNION ALL SELECT 'dates', {DISTRIBUTION} FROM date_coverage""",
-    "sampled_coverage": """WITH ids AS (SELECT o_orderkey AS part_id FROM orders ORDER BY 1 LIMIT 20000)
-SELECT CAST(c.header_position - 1 AS INT) AS position, c.column_name, COUNT(x.v) AS observed,
-       (SELECT COUNT(*) FROM ids) AS rows, CAST(COUNT(x.v) AS DOUBLE) / (SELECT COUNT(*) FROM ids) AS coverage
-FROM numeric_columns c LEFT JOIN (SELECT * FROM cells WHERE part_id IN (SELECT part_id FROM ids)) x
-     ON x.k = c.k AND x.j = c.j
-GROUP BY ALL""",
     "station_profile": "SELECT * FROM profile",
     "most_visited_stations": "SELECT * FROM profile ORDER BY parts_visited DESC, station LIMIT 10",
     "least_visited_stations": "SELECT * FROM profile ORDER BY parts_visited, station DESC LIMIT 10",
-    "sql_batch": """SELECT station[1:2] AS line, COUNT(*) AS visits, COUNT(DISTINCT part_id) AS parts,
+    "sql_batch": """SELECT station[1:2] AS line, '1.10' AS exact, COUNT(*) AS visits, COUNT(DISTINCT part_id) AS parts,
        CAST(SUM(response) AS BIGINT) AS failed_visits,
        ROUND(CAST(100 AS DOUBLE) * SUM(response) / COUNT(*), 3) AS failed_pct
 FROM station_visits JOIN parts USING (part_id) GROUP BY 1""",
