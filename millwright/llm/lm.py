@@ -4,7 +4,8 @@ Counts are combined in the tasks and then per segment of the hash space. A bigra
 into its segment's filter once for each level up to ``1 + floor(log2 c)``; a count is read back by
 probing level after level until one is missing, so it never comes out below the true level. Unigram
 counts are exact, in sorted arrays beside the filters. Segments go to the workers as broadcasts of a
-bounded size; a model that is larger is sent in several, one pass over the texts for each.
+bounded size, in parts that the driver holds one at a time; a model that is larger than one pass may
+hold takes several passes over the texts.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ BITS_PER_ENTRY = 8
 PROBES = 5
 MU = 2000.0
 BROADCAST_BYTES = 128 << 20
-SLICE_BYTES = 4 << 20
+PART_BYTES = 32 << 20
+SLICE_BYTES = 1 << 20
 HELD_ROWS = 1 << 21
 END_WORD = b" "  # no word holds a space
 
@@ -183,16 +185,16 @@ class Shard:
     """Consecutive segments, ready for lookup; segments are runs of the hash space, so words stay sorted."""
 
     def __init__(self, rows: list):
-        rows = sorted(rows, key=lambda r: r["segment"])
-        self.words = np.frombuffer(b"".join(r["words"] for r in rows), np.uint64)
-        self.counts = np.frombuffer(b"".join(r["counts"] for r in rows), np.int64)
-        self.field = np.frombuffer(b"".join(r["filter"] for r in rows), np.uint8)
+        words, counts, field = bytearray(), bytearray(), bytearray()
         self.start = np.zeros(1 << SEGMENT_BITS, np.int64)
         self.bits = np.zeros(1 << SEGMENT_BITS, np.int64)
-        at = 0
-        for r in rows:
-            self.start[r["segment"]], self.bits[r["segment"]] = at, r["bits"]
-            at += len(r["filter"])
+        for r in sorted(rows, key=lambda r: r["segment"]):
+            self.start[r["segment"]], self.bits[r["segment"]] = len(field), r["bits"]
+            words += r["words"]
+            counts += r["counts"]
+            field += r["filter"]
+        self.words, self.counts = np.frombuffer(words, np.uint64), np.frombuffer(counts, np.int64)
+        self.field = np.frombuffer(field, np.uint8)
 
     def word_counts(self, hashes: np.ndarray) -> np.ndarray:
         """Exact training counts; 0 for words that are not in the shard."""
@@ -218,6 +220,18 @@ class Shard:
         return out
 
 
+def looked_up(parts: list[tuple[tuple[int, int], Shard]], hashes: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word counts and bigram levels from the parts that hold their segments, 0 where none does."""
+    count, level = np.zeros(len(hashes), np.int64), np.zeros(len(pairs), np.uint8)
+    shift = np.uint64(64 - SEGMENT_BITS)
+    for (low, high), shard in parts:
+        at = np.flatnonzero((hashes >> shift >= low) & (hashes >> shift <= high))
+        count[at] = shard.word_counts(hashes[at])
+        at = np.flatnonzero((pairs >> shift >= low) & (pairs >> shift <= high))
+        level[at] = shard.pair_levels(pairs[at])
+    return count, level
+
+
 def shards(model: DataFrame, most: int) -> list[tuple[int, int]]:
     """Segment ranges whose arrays fit into ``most`` bytes each; a single segment is never split."""
     size = F.length("words") + F.length("counts") + F.length("filter")
@@ -279,15 +293,20 @@ def score(
     def probed(frame: DataFrame, number: int) -> DataFrame:
         """``frame`` with what shard ``number`` says of every token, added to what is known; scored at the last."""
         low, high = ranges[number]
-        sent = context.broadcast(Shard(model.where(F.col("segment").between(low, high)).collect()))
+        near = model.where(F.col("segment").between(low, high))
+        # Several broadcasts of one pass, so that the driver holds one part at a time.
+        sent = [
+            (part, context.broadcast(Shard(near.where(F.col("segment").between(*part)).collect())))
+            for part in shards(near, PART_BYTES)
+        ]
         begun, done = number > 0, number == len(ranges) - 1
 
         def run(batches):
-            shard = sent.value
+            parts = [(part, shard.value) for part, shard in sent]
             for batch in batches:
                 for at, texts in slices(batch.column(2)):
                     hashes, starts = tokens(texts)
-                    count, level = shard.word_counts(hashes), shard.pair_levels(bigrams(hashes, starts))
+                    count, level = looked_up(parts, hashes, bigrams(hashes, starts))
                     if begun:
                         part = batch.slice(at, len(texts))
                         count = count + np.frombuffer(b"".join(part.column(3).to_pylist()), np.int64)
