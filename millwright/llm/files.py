@@ -8,6 +8,9 @@ from pyarrow import fs
 
 
 def locate(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI and the path there; ``file:/x``, as Hadoop writes it, is a local path."""
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = uri.removeprefix("file:")
     return fs.FileSystem.from_uri(uri)
 
 
