@@ -13,6 +13,8 @@ from ..contracts import NO_VISITS
 # Fixed value: a measurement column is <station>_F<number>.
 FEATURE_PATTERN = r"^(L\d+_S\d+)_F(\d+)$"
 
+MASK_BITS = 62  # lines in one word of a line mask: a signed 64-bit number less the target's flag
+
 
 def station_of(name: Column) -> Column:
     """Station of a time column: its first two name pieces, whatever they are."""
@@ -51,12 +53,27 @@ def has_bit(mask: Column, position: int) -> Column:
     return mask.bitwiseAND(F.lit(1 << position).cast("long")) != 0
 
 
+def has_line(mask: Column, position: int, lines: Sequence[str]) -> Column:
+    """Whether a line mask over ``lines`` has the line at ``position``.
+
+    Up to ``MASK_BITS`` lines are one number, more are an array of such numbers.
+    """
+    word, bit = divmod(position, MASK_BITS)
+    return has_bit(mask if len(lines) <= MASK_BITS else F.get(mask, F.lit(word)), bit)
+
+
+def no_lines(lines: Sequence[str]) -> Column:
+    """The line mask of a part that was seen on none of ``lines``."""
+    zero = F.lit(0).cast("long")
+    return zero if len(lines) <= MASK_BITS else F.array_repeat(zero, -(-len(lines) // MASK_BITS))
+
+
 def route_label(mask: Column, lines: Sequence[str], empty: str | None = NO_VISITS, suffix: str | None = None) -> Column:
     """Text like ``L0 L2`` for a line mask, in line order, with an optional fixed last word."""
-    words = [F.when(has_bit(mask, i), F.lit(line)) for i, line in enumerate(lines)]
+    words = [F.when(has_line(mask, i, lines), F.lit(line)) for i, line in enumerate(lines)]
     if suffix is not None:
         words.append(F.lit(suffix))
     label = F.concat_ws(" ", *words) if words else F.lit("")
     if empty is None or suffix is not None:
         return label
-    return F.when(mask == 0, F.lit(empty)).otherwise(label)
+    return F.when(mask == no_lines(lines), F.lit(empty)).otherwise(label)

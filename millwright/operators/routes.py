@@ -8,9 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..contracts import LINES, TARGET_LINE, TARGET_STATION
-from ..functions.naming import has_bit, line_bits, on_line
-
-MOST_LINES = 62  # a signed 64-bit mask less the target's flag
+from ..functions.naming import MASK_BITS, has_bit, has_line, line_bits, on_line
 
 
 def part_routes(
@@ -24,26 +22,43 @@ def part_routes(
     All line flags and the target flag share one bit mask, so each part crosses the shuffle as a
     key, a mask and a time. The mask is combined before the shuffle, which also shrinks a part
     that repeats very often to one row per input partition. Duplicate visits cannot change it.
+    Beyond ``MASK_BITS`` lines there are several masks, and ``line_mask`` is their array. The
+    column carries the parameters along, also through Parquet; see :func:`require_routes`.
     """
-    if len(lines) > MOST_LINES:
-        raise ValueError(f"at most {MOST_LINES} lines fit one mask, {len(lines)} were given; split them over several calls")
-    target_bit = len(lines)
-    seen = line_bits(F.col("station"), lines).bitwiseOR(
-        F.when(F.col("station") == station, F.lit(1 << target_bit)).otherwise(F.lit(0)).cast("long")
+    words = [lines[i : i + MASK_BITS] for i in range(0, len(lines), MASK_BITS)] or [()]
+    seen = [line_bits(F.col("station"), word) for word in words]
+    seen[0] = seen[0].bitwiseOR(
+        F.when(F.col("station") == station, F.lit(1 << MASK_BITS)).otherwise(F.lit(0)).cast("long")
     )
     line_time = F.when(on_line(F.col("station"), line), F.col("first_observed_time"))
+    masks = [F.col(f"mask_{i}") for i in range(len(words))]
+    masks[0] = masks[0].bitwiseAND(F.lit((1 << MASK_BITS) - 1).cast("long"))
     return (
         visits.groupBy("part_id")
-        .agg(F.bit_or(seen).alias("mask"), F.min(line_time).alias("first_line_time"))
+        .agg(*[F.bit_or(s).alias(f"mask_{i}") for i, s in enumerate(seen)], F.min(line_time).alias("first_line_time"))
         .select(
             "part_id",
-            F.col("mask").bitwiseAND(F.lit((1 << target_bit) - 1).cast("long")).alias("line_mask"),
-            has_bit(F.col("mask"), target_bit).alias("visited_target"),
+            (masks[0] if len(masks) == 1 else F.array(*masks)).alias(
+                "line_mask", metadata={"lines": list(lines), "line": line, "station": station}
+            ),
+            has_bit(F.col("mask_0"), MASK_BITS).alias("visited_target"),
             "first_line_time",
         )
     )
 
 
+def require_routes(
+    routes: DataFrame, lines: Sequence[str], line: str | None = None, station: str | None = None
+) -> DataFrame:
+    """``routes`` if they were made with these parameters; a line or station of None is not compared."""
+    made = routes.schema["line_mask"].metadata
+    wanted = {"lines": list(lines)}
+    wanted |= {name: value for name, value in (("line", line), ("station", station)) if value is not None}
+    if any(made.get(name) != value for name, value in wanted.items()):
+        raise ValueError(f"these routes were made with {made or 'unknown parameters'}, not with {wanted}")
+    return routes
+
+
 def line_visits(visits: DataFrame, line: str = TARGET_LINE, station: str = TARGET_STATION) -> DataFrame:
     """A superset of the visits that matter for one line and one station.
 
@@ -58,5 +73,6 @@ def line_visits(visits: DataFrame, line: str = TARGET_LINE, station: str = TARGE
 
 def route_flags(routes: DataFrame, lines: Sequence[str] = LINES) -> DataFrame:
     """The mask spelled out as one 0/1 column per line, plus the target flag."""
-    flags = [has_bit(F.col("line_mask"), i).cast("int").alias(line.lower()) for i, line in enumerate(lines)]
+    flags = [has_line(F.col("line_mask"), i, lines).cast("int").alias(line.lower()) for i, line in enumerate(lines)]
+    require_routes(routes, lines)
     return routes.select("part_id", *flags, F.col("visited_target").cast("int").alias("visited_target"), "first_line_time")

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..contracts import COHORTS, LINES, TARGET_LINE, TARGET_STATION
-from ..functions.naming import has_bit
-from ..operators.routes import line_visits, part_routes
+from ..functions.naming import has_line
+from ..operators.routes import line_visits, part_routes, require_routes
 from ..operators.summary import failure_summary
 from ..operators.tiles import global_ntile
 
@@ -29,7 +29,8 @@ def _line_routes(
     """Routes of the parts seen on the line, from stored routes or from the visits of that line."""
     if routes is None:
         routes, lines = part_routes(line_visits(visits, line, station), (line,), line, station), (line,)
-    return routes.where(has_bit(F.col("line_mask"), list(lines).index(line)))
+    require_routes(routes, lines, line, station)
+    return routes.where(has_line(F.col("line_mask"), list(lines).index(line), lines))
 
 
 def target_vs_line(
@@ -45,7 +46,7 @@ def target_vs_line(
     """Parts of the line seen at the station against the other parts of the line.
 
     Sorted by label, or with ``by_rate`` by failure percentage, highest first. ``routes`` may be a
-    stored :func:`part_routes` result over ``lines`` for this line and station.
+    stored :func:`part_routes` result over ``lines`` for this line and station; others raise.
     """
     labels = labels or (f"{station} observed", f"Other {line} parts")
     on_line = _line_routes(visits, line, station, lines, routes).select("part_id", "visited_target")
@@ -68,8 +69,10 @@ def target_within_line_group(
     """The same comparison inside each combination of lines that includes ``line``."""
     labels = labels or (f"{station} observed", f"{station} not observed")
     routes = part_routes(visits, lines, line, station) if routes is None else routes
-    on_line = routes.where(has_bit(F.col("line_mask"), list(lines).index(line)))
-    words = [F.when(has_bit(F.col("line_mask"), i), F.lit(name)) for i, name in enumerate(lines) if name != line]
+    require_routes(routes, lines, line, station)
+    mask = F.col("line_mask")
+    on_line = routes.where(has_line(mask, list(lines).index(line), lines))
+    words = [F.when(has_line(mask, i, lines), F.lit(name)) for i, name in enumerate(lines) if name != line]
     joined = on_line.select("part_id", "line_mask", "visited_target").join(_outcomes(parts), "part_id")
     return (
         failure_summary(joined, "line_mask", "visited_target")

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..contracts import LINES, MIN_FAILED, MIN_PARTS, TOP_STATIONS
-from ..functions.naming import route_label
+from ..functions.naming import no_lines, route_label
 from ..functions.rates import outcome_counts, rate, relative_rate, review_status
-from ..operators.routes import part_routes
+from ..operators.routes import part_routes, require_routes
 from ..operators.summary import failure_summary
 
 
@@ -52,8 +52,9 @@ def production_paths(
     mask before any label text is made. Pass stored ``routes`` to skip the reduction.
     """
     routes = part_routes(visits, lines) if routes is None else routes
+    require_routes(routes, lines)
     masked = parts.join(routes.select("part_id", "line_mask"), "part_id", "left").withColumn(
-        "line_mask", F.coalesce("line_mask", F.lit(0).cast("long"))
+        "line_mask", F.coalesce("line_mask", no_lines(lines))
     )
     return failure_summary(masked, "line_mask").select(
         route_label(F.col("line_mask"), lines).alias("line_group"), "parts", "failed_parts", "failure_pct"

@@ -86,6 +86,38 @@ def test_paths_accept_stored_routes(spark):
         assert tuples(report(parts, None, routes=routes)) == tuples(report(parts, visits)) != []
 
 
+def test_stored_routes_keep_their_parameters(spark, tmp_path):
+    parts = parts_frame(spark, [(1, 1), (2, 0)])
+    visits = visits_frame(spark, [(1, "L0_S1"), (2, "L1_S1"), (2, "L3_S32")])
+    part_routes(visits).write.parquet(str(tmp_path / "routes"))
+    stored = spark.read.parquet(str(tmp_path / "routes"))
+    assert tuples(target_vs_line(parts, None, routes=stored)) == tuples(target_vs_line(parts, visits)) != []
+    for wrong in ({"station": "L3_S33"}, {"line": "L1"}, {"lines": ("L3", "L0")}):
+        for report in (target_vs_line, target_within_line_group, target_within_cohort):
+            with pytest.raises(ValueError, match="were made with"):
+                report(parts, None, routes=stored, **wrong)
+    with pytest.raises(ValueError, match="were made with"):
+        production_paths(parts, None, lines=("L3", "L0"), routes=stored)
+    with pytest.raises(ValueError, match="unknown"):
+        production_paths(parts, None, routes=parts.selectExpr("part_id", "1L AS line_mask"))
+
+
+def test_more_lines_than_one_mask_holds(spark):
+    lines = [f"L{i}" for i in range(100)]
+    parts = parts_frame(spark, [(1, 1), (2, 0), (3, 0), (4, 0)])
+    visits = visits_frame(spark, [(1, "L0_S1"), (1, "L99_S7"), (2, "L61_S1"), (2, "L62_S1"), (2, "L99_S8")])
+    assert tuples(production_paths(parts, visits, lines)) == [
+        ("L0 L99", 1, 1, 100.0), ("L61 L62 L99", 1, 0, 0.0), (NO_VISITS, 2, 0, 0.0),
+    ]
+    flags = route_flags(part_routes(visits, lines, "L99", "L99_S7"), lines).orderBy("part_id").collect()
+    assert [[c for c in ("l0", "l61", "l62", "l99", "visited_target") if row[c]] for row in flags] == [
+        ["l0", "l99", "visited_target"], ["l61", "l62", "l99"],
+    ]
+    got = target_within_line_group(parts, visits, "L99", "L99_S7", lines, ("yes", "no"))
+    assert tuples(got) == [("L0 L99", "yes", 1, 1, 100.0), ("L61 L62 L99", "no", 1, 0, 0.0)]
+    assert len(target_within_cohort(parts, visits, "L99", "L99_S7", 2, lines).collect()) == 2
+
+
 def test_comparison_sorted_by_rate(spark):
     parts = parts_frame(spark, [(1, 0), (2, 1)])
     visits = visits_frame(spark, [(1, "L3_S32"), (2, "L3_S1")])
