@@ -93,6 +93,30 @@ def invalid_time_order(visits: DataFrame) -> DataFrame:
     return visits.where(F.col("first_observed_time") > F.col("last_observed_time"))
 
 
+def one_to_one(left: DataFrame, right: DataFrame, key: str = ID, aligned: bool = False) -> DataFrame:
+    """Inner join that fails, when it is computed, if a key is repeated on either side.
+
+    With ``aligned`` a key that is NULL or on one side only fails as well. Each side is scanned once
+    and combined to one row per key before the shuffle, so no repeated key can multiply rows; the
+    join uses the same partitioning.
+    """
+
+    def per_key(df: DataFrame, rows: str) -> DataFrame:
+        others = [F.first(f"`{c}`").alias(c) for c in df.columns if c != key]
+        return df.groupBy(key).agg(*others, F.count(F.lit(1)).alias(rows))
+
+    def fail(message: str):
+        return F.raise_error(F.lit(message)).cast("boolean")
+
+    both = per_key(left, "_left_rows").join(per_key(right, "_right_rows"), key, "full_outer")
+    matched = F.col("_left_rows").isNotNull() & F.col("_right_rows").isNotNull()
+    repeated = (F.col("_left_rows") > 1) | (F.col("_right_rows") > 1)
+    kept = F.when(repeated, fail(f"{key} is repeated, the sides cannot be merged one to one"))
+    if aligned:
+        kept = kept.when(~matched, fail(f"{key} differs between the sides"))
+    return both.where(kept.otherwise(matched)).drop("_left_rows", "_right_rows")
+
+
 # --- checks that act: they run a job and raise ------------------------------------------------
 
 
@@ -133,11 +157,6 @@ def require_aligned(left: DataFrame, right: DataFrame, key: str = ID) -> int:
     return report["matched_ids"]
 
 
-def one_to_one(left: DataFrame, right: DataFrame, key: str = ID) -> DataFrame:
-    """Inner join that first makes sure the key is unique on both sides."""
-    repeated = id_balance(left, right, key).where((F.col("left_rows") > 1) | (F.col("right_rows") > 1))
-    require_none(repeated, f"{key} is repeated, the sides cannot be merged one to one")
-    return left.join(right, key)
 
 
 __all__ = [

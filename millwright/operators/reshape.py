@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..contracts import ID
 from ..sources.wide import feature_columns
 from .catalog import Pair, pairs_of
+from .gates import one_to_one
 
 
 def _quoted(names: Sequence[str]) -> str:
@@ -92,19 +93,24 @@ def _names(pairs: Sequence[Pair], field: str) -> str:
     return f"get(array({', '.join(_text(getattr(p, field)) for p in pairs)}), i)"
 
 
-def unfold_cells(values: DataFrame, times: DataFrame, pairs: Sequence[Pair]) -> DataFrame:
+def unfold_cells(
+    values: DataFrame, times: DataFrame, pairs: Sequence[Pair], check_ids: bool = False
+) -> DataFrame:
     """Join the two packed sides on the part and list every measurement that is present.
 
     ``part_id, station, i, measurement_value, observed_time``, where ``i`` is the pair number. Two
     array columns cross the shuffle instead of hundreds of scalar ones, so the join and the
     unfolding stay in generated code. A measurement whose matched time is missing is kept with a
     NULL time. The merge hint rules out a broadcast: sparse arrays are tiny on disk and large in
-    memory.
+    memory. With ``check_ids`` the result fails unless both sides hold the same parts exactly once.
     """
+    values = values.select("part_id", "readings")
+    if check_ids:
+        joined = one_to_one(values, times, "part_id", aligned=True)
+    else:
+        joined = values.join(times.hint("merge"), "part_id")
     return (
-        values.select("part_id", "readings")
-        .join(times.hint("merge"), "part_id")
-        .selectExpr("part_id", "times", "posexplode_outer(readings) AS (i, measurement_value)")
+        joined.selectExpr("part_id", "times", "posexplode_outer(readings) AS (i, measurement_value)")
         .where(F.col("measurement_value").isNotNull())
         .selectExpr(
             "part_id",
@@ -128,9 +134,12 @@ def name_cells(cells: DataFrame, pairs: Sequence[Pair]) -> DataFrame:
     )
 
 
-def mapped_measurements(numeric: DataFrame, dates: DataFrame, pairs: Sequence[Pair] | None = None) -> DataFrame:
+def mapped_measurements(
+    numeric: DataFrame, dates: DataFrame, pairs: Sequence[Pair] | None = None, check_ids: bool = False
+) -> DataFrame:
     """Every present measurement with its matched time column and time, from two wide sources."""
     pairs = pairs_of(numeric, dates) if pairs is None else list(pairs)
     if not pairs:
         raise ValueError("no measurement column has a matching time column")
-    return name_cells(unfold_cells(pack_values(numeric, pairs), pack_times(dates, pairs), pairs), pairs)
+    cells = unfold_cells(pack_values(numeric, pairs), pack_times(dates, pairs), pairs, check_ids)
+    return name_cells(cells, pairs)

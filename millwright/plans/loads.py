@@ -73,12 +73,13 @@ def build_station_visits(dates: DataFrame) -> DataFrame:
 def build_mapped_measurements(
     numeric: DataFrame, dates: DataFrame, expected_pairs: int | None = None, check_ids: bool = True
 ) -> DataFrame:
-    """Measurements of two wide sources that hold the same ids exactly once."""
+    """Measurements of two wide sources that hold the same ids exactly once.
+
+    Each source is scanned once. With ``check_ids``, ids that do not match one to one fail the result.
+    """
     pairs = pairs_of(numeric, dates)
     require(expected_pairs in (None, len(pairs)), f"expected {expected_pairs} pairs, found {len(pairs)}")
-    if check_ids:
-        require_aligned(numeric, dates)
-    return mapped_measurements(numeric, dates, pairs)
+    return mapped_measurements(numeric, dates, pairs, check_ids)
 
 
 def _stage_parts(numeric: DataFrame, path: str, expected_rows: int | None, buckets: int | None) -> Written:

@@ -99,7 +99,8 @@ def snapshot_table(spark: SparkSession, target: str, name: str) -> DataFrame:
     tables = current_tables(spark, target)
     if name not in tables:
         raise LookupError(f"{name} has not been published under {target}")
-    return spark.read.schema(SCHEMAS[name]).parquet(tables[name]["path"])
+    # Partition columns come last in a scan; the contract's order is restored.
+    return spark.read.schema(SCHEMAS[name]).parquet(tables[name]["path"]).select(*SCHEMAS[name].fieldNames())
 
 
 def register_snapshot(spark: SparkSession, target: str, database: str = "default") -> list[str]:

@@ -1,5 +1,6 @@
 import pytest
 from conftest import parts_frame, tuples, visits_frame
+from pyspark.errors import PySparkException
 
 from millwright.contracts import GateError
 from millwright.operators import gates
@@ -65,11 +66,20 @@ def test_load_diagnostics(spark):
 def test_one_to_one(spark):
     left, right = ids(spark, [1, 2]).selectExpr("Id", "1 AS a"), ids(spark, [2, 3]).selectExpr("Id", "2 AS b")
     assert tuples(gates.one_to_one(left, right)) == [(2, 1, 2)]
-    for bad in ([1, 1], [2, 2]):
-        with pytest.raises(GateError):
-            gates.one_to_one(ids(spark, bad), right)
-        with pytest.raises(GateError):
-            gates.one_to_one(left, ids(spark, bad))
+    for bad in ([1, 1], [2, 2], [None, None]):
+        for merged in (gates.one_to_one(ids(spark, bad), right), gates.one_to_one(left, ids(spark, bad))):
+            with pytest.raises(PySparkException, match="is repeated"):
+                merged.collect()
+
+
+def test_one_to_one_of_the_same_ids(spark):
+    left = ids(spark, [1, 2]).selectExpr("Id", "Id * 10 AS `a.b`", "array(Id) AS c")
+    right = ids(spark, [2, 1]).selectExpr("Id", "Id * 100 AS d")
+    assert tuples(gates.one_to_one(left, right, aligned=True)) == [(1, 10, [1], 100), (2, 20, [2], 200)]
+    for other in ([1], [1, 2, 3], [1, 2, None], [1, 3]):
+        with pytest.raises(PySparkException, match="differs"):
+            gates.one_to_one(left, ids(spark, other), aligned=True).collect()
+    assert gates.one_to_one(left.limit(0), right.limit(0), aligned=True).collect() == []
 
 
 def test_row_count_gate():

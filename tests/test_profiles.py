@@ -1,7 +1,7 @@
 import pytest
 from conftest import tuples
+from pyspark.errors import PySparkException
 
-from millwright.contracts import GateError
 from millwright.plans.profiles import (
     column_coverage,
     coverage_distribution,
@@ -55,5 +55,5 @@ def test_station_profile(spark, csv_file):
 def test_station_profile_wants_unique_ids(spark, csv_file):
     dates = read_wide_csv(spark, csv_file("d.csv", "Id,L0_S0_D1\n1,1\n1,2\n"))
     labels = read_wide_csv(spark, csv_file("n.csv", "Id,Response\n1,1\n"))
-    with pytest.raises(GateError):
-        station_profile(dates, labels)
+    with pytest.raises(PySparkException, match="is repeated"):
+        station_profile(dates, labels).collect()

@@ -13,7 +13,6 @@ from millwright.contracts import ID, Expected
 from millwright.operators import gates
 from millwright.plans import diagnostics, profiles
 from millwright.sinks import current_tables
-from millwright.sources import read_measurements
 
 from . import fixtures as fx
 
@@ -141,7 +140,7 @@ def published_station_visits(spark, sf):
 
 @query
 def published_measurements(spark, sf):
-    return read_measurements(spark, f"{fx.published(spark, sf)}/mapped_measurements")
+    return mw.snapshot_table(spark, fx.published(spark, sf), "mapped_measurements")
 
 
 # --- measurements ------------------------------------------------------------------------------
