@@ -39,7 +39,7 @@ from .plans.profiles import (
 from .plans.sqlbatch import run_sql
 from .session import build_session
 from .sinks import register_snapshot, snapshot_table, write_report
-from .sources import first_parts, read_header, read_wide_csv, read_wide_parquet
+from .sources import first_parts, read_header, read_measurements, read_wide_csv, read_wide_parquet
 
 __all__ = [
     "Expected",
@@ -72,6 +72,7 @@ __all__ = [
     "paths_by_volume",
     "production_paths",
     "read_header",
+    "read_measurements",
     "read_wide_csv",
     "read_wide_parquet",
     "refresh",
