@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -26,17 +27,18 @@ from pyspark.sql.types import StringType, StructField, StructType
 from .shared import map_arrow, without_columns
 
 SAMPLE_PAGES = 400
-PATH_DIM = 128
+PATH_DIM = 512
+PATH_ELEMENTS = 64
 WORD_DIM = 24
 HIDDEN = 16
-STEPS = 240
+STEPS = 480
 BATCH = 16
 RATE = 0.01
 SEED = 11
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|object|select|textarea|title|head)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|svg|iframe|object|select|textarea|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
     r"|</?(?P<tag>[a-zA-Z][^\s>/]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
     re.S | re.I,
@@ -46,18 +48,22 @@ WORD = re.compile(r"\w+")
 
 # Fixed value: elements that flow inside a block; every other tag ends it.
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-# Fixed value: elements without content.
-VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+# Fixed value: elements without content, and the head, whose end may be left out.
+VOID = set("area base br col embed hr img input link meta param source track wbr head".split())
 # Fixed value: elements that a new element of the same kind closes.
 CLOSES_ITSELF = set("p li dt dd tr td th option".split())
 # Fixed value: containers of main text, for teaching.
 MAIN = set("article main".split())
 # Fixed value: containers and names of everything else, for teaching.
 OTHER = set(
-    "nav header footer aside form button dialog menu ad ads advert advertisement banner breadcrumb comment comments cookie copyright "
-    "dialog disclaimer login modal navbar newsletter notice pager pagination popup promo related reply share sidebar social sponsor "
-    "subscribe tags toolbar widget".split()
+    "nav header footer aside form button dialog menu ad ads advert advertisement alert banner breadcrumb comment comments consent cookie "
+    "copyright disclaimer discussion login modal navbar newsletter notice notification pager pagination popup promo related reply "
+    "responses share sidebar signup social sponsor sponsored subscribe tags toolbar widget".split()
 )
+# Fixed value: those of them that are elements.
+TAGS = set("nav header footer aside form button dialog menu".split())
+# Fixed value: names that say nothing about what a box holds, for teaching.
+PLAIN = "area author block body box content date group head heading inner item items label large left list main meta name panel right section small text title top wrap wrapper".split()
 # Fixed value: what else a block of main text may stand in, for teaching.
 LEAVES = [("ul", "li"), ("ol", "li"), ("blockquote", "p"), ("blockquote",), ("pre",), ("table", "tr", "td"), ("figure", "figcaption"), ("h2",), ("h3",), ("section", "p"), ("div", "p"), ("dl", "dd")]
 
@@ -70,10 +76,13 @@ class Block:
 
 
 def blocks(html: str) -> list[Block]:
-    """Leaf blocks of a page in order, references decoded, white space made one space, trimmed."""
+    """Leaf blocks of a page in order, references decoded, white space made one space, trimmed.
+
+    A path holds the innermost ``PATH_ELEMENTS`` elements, so deep nesting costs no more than shallow.
+    """
     found: list[Block] = []
-    stack: list[tuple[str, str]] = []
-    path: tuple[str, ...] = ()
+    stack: list[tuple[str, tuple[str, ...]]] = []
+    opened: Counter[str] = Counter()
     pieces: list[str] = []
     linked = links = 0
 
@@ -81,6 +90,7 @@ def blocks(html: str) -> list[Block]:
         nonlocal linked
         text = " ".join(unescape("".join(pieces)).split())
         if text:
+            path = tuple(s for _, steps in stack[-PATH_ELEMENTS:] for s in steps)
             found.append(Block(path, text, min(linked, len(text))))
         pieces.clear()
         linked = 0
@@ -106,16 +116,17 @@ def blocks(html: str) -> list[Block]:
             continue
         close()
         if html[m.start() + 1] == "/":
-            if any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
-                    pass
+            if opened[tag]:
+                while (last := stack.pop()[0]) != tag:
+                    opened[last] -= 1
+                opened[tag] -= 1
                 links = 0
         elif tag not in VOID and not m["rest"].rstrip().endswith("/"):
             if tag in CLOSES_ITSELF and stack and stack[-1][0] == tag:
-                stack.pop()
+                opened[stack.pop()[0]] -= 1
             names = " ".join("".join(g) for g in NAMES.findall(m["rest"])).lower()
-            stack.append((tag, names))
-        path = tuple(s for t, n in stack for s in (t, *WORD.findall(n.replace("-", " ").replace("_", " "))))
+            stack.append((tag, (tag, *WORD.findall(names.replace("-", " ").replace("_", " ")))))
+            opened[tag] += 1
     if at < len(html):
         add(html[at:])
     close()
@@ -166,35 +177,65 @@ def teacher(page: list[Block]) -> np.ndarray:
     return out
 
 
+def put_in(kind: str, around: tuple[str, ...], main: list[Block], rng: np.random.Generator) -> list[Block]:
+    """The blocks of a box of some kind: its name alone or among other names, one or more like items in it."""
+
+    def name() -> str:
+        return PLAIN[rng.integers(len(PLAIN))] if rng.random() < 0.7 else f"n{rng.integers(10**6)}"
+
+    def named(tag: str) -> tuple[str, ...]:
+        words = [kind, *(name() for _ in range(rng.integers(0, 3)))]
+        return (tag, *(words[i] for i in rng.permutation(len(words))))
+
+    if kind in TAGS:
+        holder = (kind, name()) if rng.random() < 0.3 else (kind,)
+    else:
+        holder = named(("div", "section", "ul", "p")[rng.integers(4)])
+    if rng.random() < 0.3:
+        holder = (*holder, *(named("div") if rng.random() < 0.5 else ("div", name())))
+    item = ((), (), ("p",), ("div",), ("ul", "li"), ("li",), named("li"), named("div"))[rng.integers(8)]
+    out = []
+    for _ in range(rng.integers(1, 5)):
+        words = main[rng.integers(len(main))].text.split(" ")
+        start = int(rng.integers(len(words))) if rng.random() < 0.7 else 0
+        text = " ".join(words[start : start + int(rng.integers(1, 100) if rng.random() < 0.4 else rng.integers(1, 20))])
+        leaf = ((), (), ("p",), ("p",), ("p", name()), ("h2",), ("h3",), ("h4",))[rng.integers(8)]
+        out.append(Block((*around, *holder, *item, *leaf), text, len(text) if rng.random() < 0.25 else 0))
+    return out
+
+
 def varied(page: list[Block], labels: np.ndarray, rng: np.random.Generator) -> tuple[list[Block], np.ndarray]:
-    """A page with further boxes put in, and with containers renamed or hidden at random."""
+    """A page with further boxes and short blocks of main text put in, and with containers renamed or hidden at random."""
     body, told = list(page), list(labels)
     main = [b for b, y in zip(page, labels, strict=True) if y == 1]
     kinds = sorted(OTHER)
-    for _ in range(rng.integers(0, 4)):
+    for _ in range(rng.integers(0, 5)):
         if not main:
             break
-        kind = kinds[rng.integers(len(kinds))]
         at = int(rng.integers(0, len(body) + 1))
         around = main[0].path[:-1] if rng.random() < 0.5 else ("html", "body")
-        holder = (kind,) if kind in ("nav", "header", "footer", "aside", "form", "dialog") else (("div", "section", "ul", "p")[rng.integers(4)], kind)
-        added = []
+        added = put_in(kinds[rng.integers(len(kinds))], around, main, rng)
+        body[at:at] = added
+        told[at:at] = [0] * len(added)
+    for _ in range(rng.integers(0, 3) if main else 0):
+        inside = np.flatnonzero(np.array(told) == 1)
+        at = int(inside[rng.integers(len(inside))]) + 1
+        leaf = (*main[0].path[:-1], *LEAVES[rng.integers(len(LEAVES))])
         for _ in range(rng.integers(1, 5)):
             words = main[rng.integers(len(main))].text.split(" ")
             start = int(rng.integers(len(words)))
-            leaf = (("p",), ("div",), ("li",), (), ("h3",))[rng.integers(5)]
-            text = " ".join(words[start : start + int(rng.integers(1, 30))])
-            added.append(Block((*around, *holder, *leaf), text, len(text) if rng.random() < 0.3 else 0))
-        body[at:at] = added
-        told[at:at] = [0] * len(added)
+            body.insert(at, Block(leaf, " ".join(words[start : start + int(rng.integers(1, 20))]), 0))
+            told.insert(at, 1)
     swap = None
-    if rng.random() < 0.3:
-        swap = (("main",), ("div", "content"), ("div", "post"), ("section",), ("div", "entry"), ("div",))[rng.integers(6)]
+    if rng.random() < 0.5:
+        swaps = (("main",), ("main", "article"), ("div", "content"), ("div", "post", "body"), ("section",), ("div", "entry"), ("div",), ("div", f"n{rng.integers(10**6)}"), ("div", PLAIN[rng.integers(len(PLAIN))]), ("body",))
+        swap = swaps[rng.integers(len(swaps))]
     hide = rng.random() < 0.2
+    changed = (0.0, 0.15, 0.4)[rng.integers(3)]
     out = []
     for b, y in zip(body, told, strict=True):
         path = b.path
-        if y == 1 and path[-1] == "p" and rng.random() < 0.15:
+        if y == 1 and path[-1] == "p" and rng.random() < changed:
             path = (*path[:-1], *LEAVES[rng.integers(len(LEAVES))])
         if swap:
             path = tuple(x for s in path for x in (swap if s == "article" else (s,)))
