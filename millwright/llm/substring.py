@@ -19,7 +19,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 
 from .shared import map_arrow, without_columns, written
 
-BREAK = re.compile(r"\s*\n\s*|(?<=[.!?。！？])\s+")
+BREAK = re.compile(r"(?<=[.!?。！？])\s+|(?<!\s)[^\S\n]*+\n\s*")  # each run of white space is read once
 NO_ID = 2**63 - 1
 SPANS = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))
 

@@ -141,3 +141,8 @@ def test_substring_dedup_with_null_and_repeated_ids(spark):
     found = sorted((r["doc_id"] or 99, r["text"]) for r in substring.substring_dedup(rows).collect())
     assert found == [(1, texts[3]), (4, PASSAGE), (4, PASSAGE), (99, "")]
     assert substring.substring_dedup(rows.limit(0)).count() == 0
+
+
+def test_units_of_long_white_space():
+    text = "a." + " " * 300_000 + "b" + "\t" * 300_000 + "c \n d"
+    assert [text[a:b].split() for a, b, _, _ in substring.units(text)] == [["a."], ["b", "c"], ["d"]]
