@@ -155,7 +155,13 @@ def concentrate(rows: DataFrame, fits: DataFrame) -> DataFrame:
 
 
 def quality_rules(
-    docs: DataFrame, text: str = "text", language: str = "lang", source: str = "source", cut: float = CUT, steps: int = STEPS
+    docs: DataFrame,
+    text: str = "text",
+    language: str = "lang",
+    source: str = "source",
+    cut: float = CUT,
+    steps: int = STEPS,
+    carry_text: bool = True,
 ) -> DataFrame:
     """``docs`` with its statistics, ``base_failed``, ``outlier_distance`` and ``kept``.
 
@@ -164,10 +170,13 @@ def quality_rules(
     rows that pass the base rules. A null language or source is a group of its own. A group of fewer
     than ``MIN_GROUP`` such rows is judged by the estimate over all rows. Null and empty texts fail
     the base rules. Columns of ``docs`` with the names of new ones give way. Repeated rows count as
-    often as they stand there; an empty table gives an empty result.
+    often as they stand there; an empty table gives an empty result. Without ``carry_text`` the text
+    column is left out, so that only statistics are written on the way.
     """
     docs = without_columns(docs, "kept", "outlier_distance", *VECTOR, "k1", "k2")
     stats = base_statistics(docs, text)
+    if not carry_text:
+        stats = without_columns(stats, text)
     keys = {"k1": F.coalesce(F.concat(F.lit("="), F.col(f"`{language}`")), F.lit("")), "k2": F.coalesce(F.concat(F.lit("="), F.col(f"`{source}`")), F.lit(""))}
     table = written(stats.withColumns({**dict(zip(VECTOR, statistic_vector(), strict=True)), **keys}), "quality-statistics")
     passed = table.where(~F.col("base_failed"))

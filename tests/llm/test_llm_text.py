@@ -86,6 +86,9 @@ def test_quality_rules_on_empty_null_and_clashing(spark):
     rows = frame(spark, [(1, None, None, None, 1), (2, "", "x", "y", 2)]).withColumnRenamed("n_chars", "kept")
     assert [r["kept"] for r in quality.quality_rules(rows).collect()] == [False, False]
     assert quality.quality_rules(rows.limit(0)).count() == 0
+    bare = quality.quality_rules(rows, carry_text=False)
+    assert bare.columns == [c for c in quality.quality_rules(rows).columns if c != "text"]
+    assert [r["kept"] for r in bare.collect()] == [False, False]
 
 
 def test_quality_plan_has_no_python(spark, sf_dir):
