@@ -318,8 +318,8 @@ def score(
                         yield [own[0], own[1], *map(pa.array, sums)]
                     else:
                         ends = np.append(starts[1:], len(hashes))
-                        parts = [[x[a:b].tobytes() for a, b in zip(starts, ends, strict=True)] for x in (count, level)]
-                        yield [*own[:3], *[pa.array(p, pa.binary()) for p in parts]]
+                        known = [[x[a:b].tobytes() for a, b in zip(starts, ends, strict=True)] for x in (count, level)]
+                        yield [*own[:3], *[pa.array(k, pa.binary()) for k in known]]
 
         if not done:
             return written(map_arrow(frame, run, StructType([*rows.schema.fields, *state.fields])), "lm-state")

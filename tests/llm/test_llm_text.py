@@ -161,6 +161,16 @@ def test_scores_match_exact_counts_but_for_false_hits(spark, sf_dir, size):
         assert score - 1e-6 <= r["score"] <= score + 0.1 * n
 
 
+def test_several_passes_over_several_slices_equal_one_pass(spark):
+    rng = random.Random(8)
+    words = [f"word{k}" for k in range(20)]
+    texts = [" ".join(rng.choices(words, k=lm.SLICE_BYTES // 5)) for _ in range(3)] + ["word1 word2", None]
+    docs = frame(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)]).coalesce(1)
+    once, often = ({r["doc_id"]: tuple(r) for r in lm.score(docs, F.col("doc_id") == 2, broadcast_bytes=size).collect()} for size in (1 << 30, 2000))
+    assert len(lm.shards(lm.fit_model(docs.where("doc_id <> 2")), 2000)) > 1
+    assert len(once) == len(texts) and often == once
+
+
 def test_scoring_without_training_rows(spark):
     rows = frame(spark, [(1, "a b", None, None, 0), (None, None, None, None, 0)])
     assert {r["base_score"] for r in lm.score(rows, F.lit(True)).collect()} == {0.0}
