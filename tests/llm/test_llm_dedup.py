@@ -146,3 +146,25 @@ def test_substring_dedup_with_null_and_repeated_ids(spark):
 def test_units_of_long_white_space():
     text = "a." + " " * 300_000 + "b" + "\t" * 300_000 + "c \n d"
     assert [text[a:b].split() for a, b, _, _ in substring.units(text)] == [["a."], ["b", "c"], ["d"]]
+
+
+def test_unspaced_scripts_lose_repeated_sentences_and_lines(spark):
+    shared = "これは三分の一の文書に写された長い段落の文であり空白がない。"
+    thai = "ข้อความนี้ถูกคัดลอกไปยังเอกสารหลายฉบับโดยไม่มีช่องว่าง"
+    texts = [
+        "最初の文書だけにある文です。" + shared + "終わりの言葉が続く。",
+        "別の文書の書き出しはこうです！" + shared + "結びは全く違うものになる。",
+        thai + "\none",
+        "two\n" + thai,
+        "「今日は雨です。」と彼は言ったあとで長いあいだ黙っていた。",
+    ]
+    found = {r["doc_id"]: r["text"] for r in substring.substring_dedup(docs(spark, texts)).collect()}
+    assert [found[i] for i in (0, 2, 4)] == [texts[0], texts[2], texts[4]]
+    assert found[1] == "別の文書の書き出しはこうです！結びは全く違うものになる。" and found[3] == "two"
+    assert [texts[4][a:b] for a, b, _, _ in substring.units(texts[4])] == ["「今日は雨です。」", "と彼は言ったあとで長いあいだ黙っていた。"]
+
+
+def test_short_repeated_lines_go_and_short_sentences_stay(spark):
+    texts = ["Share this\nOne story. Read more.", "Two stories. Read more.\nSHARE  this\nmore text", "Share this\nthree\nShare this", "Read more.\nfour"]
+    found = {r["doc_id"]: r["text"] for r in substring.substring_dedup(docs(spark, texts)).collect()}
+    assert found == {0: texts[0], 1: "Two stories. Read more.\nmore text", 2: "three", 3: texts[3]}
