@@ -16,7 +16,7 @@ from millwright.llm.shared import same_columns, written
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are no outlier for their language and source."""
-    return same_columns(quality.quality_rules(docs).where("kept"), docs)
+    return same_columns(quality.quality_rules(docs, by_language=True).where("kept"), docs)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,7 +27,8 @@ SCALE = [0.5, 0.05, 0.25, 0.1]  # the least standard deviation of each statistic
 KEPT_SHARE = 0.75
 STEPS = 4
 CUT = 30.0
-MIN_GROUP = 50
+MIN_GROUP = 20  # five rows for each statistic
+MIN_LANGUAGE = 5  # the fewest rows that span four dimensions
 MOST_SENT = 50_000  # groups whose fits go to every task; more are joined by a shuffle
 BINS_PER_UNIT = 64.0  # of the logarithm of a distance, and of a scaled statistic
 
@@ -162,13 +163,15 @@ def quality_rules(
     cut: float = CUT,
     steps: int = STEPS,
     carry_text: bool = True,
+    by_language: bool = False,
 ) -> DataFrame:
     """``docs`` with its statistics, ``base_failed``, ``outlier_distance`` and ``kept``.
 
     ``kept`` is false for rows that fail the base rules and for rows whose squared Mahalanobis
     distance from their language's and source's estimate exceeds ``cut``. Estimates learn from all
     rows that pass the base rules. A null language or source is a group of its own. A group of fewer
-    than ``MIN_GROUP`` such rows is judged by the estimate over all rows. Null and empty texts fail
+    than ``MIN_GROUP`` such rows is judged by the estimate over all rows; with ``by_language`` by that
+    of its language over all sources, if this has ``MIN_LANGUAGE`` rows. Null and empty texts fail
     the base rules. Columns of ``docs`` with the names of new ones give way. Repeated rows count as
     often as they stand there; an empty table gives an empty result. Without ``carry_text`` the text
     column is left out, so that only statistics are written on the way.
@@ -180,14 +183,21 @@ def quality_rules(
     keys = {"k1": F.coalesce(F.concat(F.lit("="), F.col(f"`{language}`")), F.lit("")), "k2": F.coalesce(F.concat(F.lit("="), F.col(f"`{source}`")), F.lit(""))}
     table = written(stats.withColumns({**dict(zip(VECTOR, statistic_vector(), strict=True)), **keys}), "quality-statistics")
     passed = table.where(~F.col("base_failed"))
-    everything = F.struct(F.lit("*").alias("k1"), F.lit("*").alias("k2"))
-    rows = passed.select(F.explode(F.array(F.struct("k1", "k2"), everything)).alias("k"), *VECTOR).select("k.k1", "k.k2", *VECTOR)
+    every = F.lit("*").alias("k2")
+    levels = [F.struct("k1", "k2"), *([F.struct("k1", every)] if by_language else []), F.struct(F.lit("*").alias("k1"), every)]
+    rows = passed.select(F.explode(F.array(*levels)).alias("k"), *VECTOR).select("k.k1", "k.k2", *VECTOR)
     fits = written(initial_fits(rows), "quality-fits")
     for _ in range(steps):
         fits = written(concentrate(rows, fits), "quality-fits")
-    own = fits.where((F.col("total") >= MIN_GROUP) & (F.col("k1") != "*"))
+    groups = fits.where(F.col("k2") != "*")
     pooled = fits.where(F.col("k1") == "*")
     shared = {c: f"all_{c}" for c in fits.columns if c not in ("k1", "k2", "total")}
+    own = groups.where(F.col("total") >= MIN_GROUP)
+    if by_language:
+        # Settled per group, so that the rows meet one fit by language and source and never by language alone.
+        spoken = fits.where((F.col("k2") == "*") & (F.col("k1") != "*") & (F.col("total") >= MIN_LANGUAGE)).drop("k2", "total")
+        few = groups.where(F.col("total") < MIN_GROUP).select("k1", "k2", "total")
+        own = own.unionByName(few.join(spoken, "k1"))
     pooled = pooled.select(F.lit(False).alias("base_failed"), *[F.col(c).alias(a) for c, a in shared.items()])
     judged = table.join(own.drop("total"), ["k1", "k2"], "left").join(F.broadcast(pooled), "base_failed", "left")
     judged = judged.withColumns({c: F.coalesce(F.col(c), F.col(a)) for c, a in shared.items()})

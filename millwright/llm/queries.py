@@ -23,7 +23,7 @@ def fold(id: str, folds: int) -> Column:
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base statistics of every document and the verdict of the robust outlier test."""
-    found = quality.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), carry_text=False)
+    found = quality.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), carry_text=False, by_language=True)
     return found.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "outlier_distance"
     )

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from corpus_pipeline import quality_stage
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -82,6 +83,21 @@ def test_outliers_match_an_estimate_in_numpy(spark):
     assert {r["doc_id"] for r in found if not r["kept"]} >= {i for i in range(0, 400, 10)}
 
 
+def test_small_groups_are_judged_by_their_language(spark):
+    rng = random.Random(12)
+
+    def text(size):
+        return " ".join("".join(rng.choices("abcdefgh", k=size + rng.randint(0, 1))) for _ in range(100))
+
+    rows = [(i, text(4), "en", f"s{i % 5}", 0) for i in range(300)]
+    rows += [(1000 + i, text(12), "fi", f"domain{i % 15}", 0) for i in range(30)]
+    rows += [(2000, text(30), "fi", "domain1", 0), (2001, text(30), "en", "domain1", 0), (2002, text(4), "xx", "domain1", 0)]
+    docs = frame(spark, rows)
+    kept = {r["doc_id"] for r in quality_stage(spark, docs, "").collect()}
+    assert len(kept & set(range(1000, 1030))) >= 29 and len(kept & set(range(300))) >= 297
+    assert not kept & {2000, 2001} and 2002 in kept
+
+
 def test_quality_rules_on_empty_null_and_clashing(spark):
     rows = frame(spark, [(1, None, None, None, 1), (2, "", "x", "y", 2)]).withColumnRenamed("n_chars", "kept")
     assert [r["kept"] for r in quality.quality_rules(rows).collect()] == [False, False]
