@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, html_blocks, langid, lm, packing, quality, simhash, substring, warc
+from . import ann, bpe, html_blocks, langid, lexical, lm, mixing, packing, quality, simhash, substring, warc, whitening
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -80,6 +80,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix of all sources takes of every document."""
+    return mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2, keep=["doc_id"])
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return lexical.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), k=10)
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the four leading components, with unit variance."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=4)
+
+
 OP10_SQL = """
     WITH payloads AS (
         SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
@@ -93,6 +108,30 @@ OP10_SQL = """
     FROM payloads LEFT JOIN firsts USING (payload_digest)
 """
 
+OP12_SQL = r"""
+    WITH words AS (
+        SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM documents
+    ), counts AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term),
+    lengths AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+    totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM lengths),
+    asked AS (
+        SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM benchmark
+    ), weights AS (
+        SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+        FROM counts, totals GROUP BY term
+    ), scores AS (
+        SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms)))) AS BIGINT) AS score
+        FROM asked JOIN weights USING (term) JOIN counts USING (term) JOIN lengths USING (doc_id), totals
+        GROUP BY item_id, doc_id
+    )
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+    FROM scores WHERE score > 0 QUALIFY rank <= 10
+"""
+
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -108,9 +147,12 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_simhash,
             op9_language_id,
             op10_warc,
+            op11_source_mixing,
+            op12_lexical_search,
+            op13_embedding_whitening,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_warc": OP10_SQL}
+    return {"op10_warc": OP10_SQL, "op12_lexical_search": OP12_SQL}

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from millwright.session import scratch_path
 
@@ -65,6 +67,42 @@ def map_arrow(
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, plain).toDF(*schema.names)
 
 
+def running_totals(df: DataFrame, order: Sequence[str], value: str, group: str, label: str) -> DataFrame:
+    """``df`` with ``before``: the sum of ``value`` over the rows ahead in ``order`` that share ``group``.
+
+    ``order`` starts with ``group``; both it and ``value`` are bigint without nulls. Rows are
+    range-partitioned on the whole order, so one large group spreads over many tasks, then written once
+    with sums of their own partition. A group that crosses partitions has one offset in each of them, at
+    most one crosses each border, and those few are sent to every task.
+    """
+    kept = [name for name in df.columns if name not in (group, value)]
+    schema = df.select(group, value, *kept).schema
+    local = StructType([StructField("part", LongType()), StructField("before", LongType()), *schema.fields])
+
+    def run(batches):
+        part, last, carry = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            groups, values = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
+            before = np.cumsum(values) - values
+            runs = np.diff(np.r_[starts, len(groups)])
+            before -= np.repeat(before[starts], runs)
+            if groups[0] == last:
+                before[: runs[0]] += carry
+            last, carry = groups[-1], int(before[-1] + values[-1])
+            yield [pa.array(np.full(len(groups), part)), pa.array(before), *batch.columns]
+
+    ordered = df.select(group, value, *kept).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = written(map_arrow(ordered, run, local), label)
+    sums = rows.groupBy(group, "part").agg(F.sum(value).alias("held"))
+    ahead = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.withColumn("offset", F.sum("held").over(ahead)).where(F.col("offset").isNotNull())
+    found = rows.join(F.broadcast(offsets.select(group, "part", "offset")), [group, "part"], "left")
+    return found.withColumn("before", F.col("before") + F.coalesce("offset", F.lit(0))).select(*df.columns, "before")
+
+
 def without_columns(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without columns of such names, in any case."""
     taken = {name.lower() for name in names}
