@@ -2,7 +2,7 @@
 
 from .contracts import Expected, GateError
 from .operators.catalog import column_catalog, feature_mapping, header_shape, mapping_report, schema_stations
-from .operators.gates import source_alignment
+from .operators.gates import first_unknown, has_unknown, source_alignment
 from .operators.reshape import mapped_measurements, station_visits
 from .operators.routes import part_routes, route_flags
 from .operators.summary import failure_summary
@@ -18,7 +18,12 @@ from .plans.loads import (
     load_measurements,
     refresh,
 )
-from .plans.measurements import measurement_validation, station_measurement_coverage
+from .plans.measurements import (
+    kept_station_coverage,
+    measurement_coverage,
+    measurement_validation,
+    station_measurement_coverage,
+)
 from .plans.metrics import (
     overall_quality,
     paths_by_volume,
@@ -38,7 +43,7 @@ from .plans.profiles import (
 )
 from .plans.sqlbatch import run_sql
 from .session import build_session
-from .sinks import register_snapshot, snapshot_table, write_report
+from .sinks import ready_runs, register_snapshot, resume_publication, snapshot_table, write_report
 from .sources import first_parts, read_header, read_measurements, read_wide_csv, read_wide_parquet
 
 __all__ = [
@@ -56,16 +61,20 @@ __all__ = [
     "failure_summary",
     "feature_mapping",
     "first_parts",
+    "first_unknown",
     "global_ntile",
+    "has_unknown",
     "header_shape",
     "id_profile",
     "id_set_difference",
     "ingestion_report",
+    "kept_station_coverage",
     "label_counts",
     "load_diagnostics",
     "load_measurements",
     "mapped_measurements",
     "mapping_report",
+    "measurement_coverage",
     "measurement_validation",
     "overall_quality",
     "part_routes",
@@ -75,9 +84,11 @@ __all__ = [
     "read_measurements",
     "read_wide_csv",
     "read_wide_parquet",
+    "ready_runs",
     "refresh",
     "register_metric_views",
     "register_snapshot",
+    "resume_publication",
     "route_flags",
     "run_sql",
     "schema_stations",

@@ -37,6 +37,24 @@ MEASUREMENTS_SCHEMA = T.StructType(
     ]
 )
 
+# Kept beside the measurements: totals per feature, and the measured parts of a station as bitmaps.
+FEATURE_TOTALS_SCHEMA = T.StructType(
+    [
+        T.StructField("station", T.StringType(), False),
+        T.StructField("feature_name", T.StringType(), False),
+        T.StructField("measurements", T.LongType(), False),
+        T.StructField("missing_times", T.LongType(), False),
+    ]
+)
+
+MEASURED_PARTS_SCHEMA = T.StructType(
+    [
+        T.StructField("station", T.StringType(), False),
+        T.StructField("bucket", T.LongType(), False),
+        T.StructField("parts", T.BinaryType(), False),
+    ]
+)
+
 # Keys per table: Spark has no primary keys, so the gates in `operators.gates` check these.
 TABLE_KEYS = {
     "parts": ["part_id"],

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..contracts import ID, GateError
@@ -83,6 +83,88 @@ def unknown_parts(rows: DataFrame, parts: DataFrame, key: str = "part_id", count
     return per_key.join(parts.select(F.col("part_id").alias(key)), key, "left_anti")
 
 
+# --- probing for unknown parts: a blocked Bloom filter in ordinary columns ------------------------
+
+FILTER_BYTES = 64 << 20  # the most that a filter may send to every task
+BITS_PER_KEY = 12
+BLOCK_BITS = 1 << 16
+_PROBES = 4  # of 16 bits each, out of one 64-bit hash
+
+
+def _slots(key: str, blocks: int) -> tuple[Column, list[Column]]:
+    """Block of a key, and the bits that it sets there."""
+    bits = F.xxhash64(F.lit(1), key)
+    return (
+        F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"),
+        [F.shiftrightunsigned(bits, 16 * i).bitwiseAND(F.lit(BLOCK_BITS - 1)).cast("int") for i in range(_PROBES)],
+    )
+
+
+def key_filter(keys: DataFrame, key: str, blocks: int) -> DataFrame:
+    """``block, words``: a Bloom filter of the non-null keys, one row of 1,024 numbers per block in use.
+
+    Keys cross one shuffle, by block; all further grouping stays inside the partitions. A key that
+    repeats sets the same bits.
+    """
+    block, bits = _slots(key, blocks)
+    spread = keys.where(F.col(key).isNotNull()).select(block.alias("block"), F.array(*bits).alias("bits"))
+    by_word = (
+        spread.repartition("block")
+        .select("block", F.explode("bits").alias("bit"))
+        .groupBy("block", F.shiftright("bit", 6).alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, bit & 63)")).alias("value"))
+    )
+    filled = F.map_from_entries(F.collect_list(F.struct("word", "value")))
+    every = F.sequence(F.lit(0), F.lit(BLOCK_BITS // 64 - 1))
+    return (
+        by_word.groupBy("block")
+        .agg(filled.alias("filled"))
+        .select("block", F.transform(every, lambda w: F.coalesce(F.try_element_at("filled", w), F.lit(0).cast("long"))).alias("words"))
+    )
+
+
+def rows_outside(rows: DataFrame, filled: DataFrame, key: str, blocks: int) -> DataFrame:
+    """``rows`` whose key the filter has certainly never seen; narrow, so a limit on it stops early.
+
+    Never a row whose key is known. A share of the unknown ones, about one in 150 for a filter of full
+    size, looks known and is missed.
+    """
+    block, bits = _slots(key, blocks)
+    found = rows.withColumn("_block", block).join(F.broadcast(filled.withColumnRenamed("block", "_block")), "_block", "left")
+    known = [
+        F.call_function("getbit", F.get("words", F.shiftright(bit, 6)), bit.bitwiseAND(F.lit(63))) == 1
+        for bit in bits
+    ]
+    seen = F.col(key).isNotNull() & F.coalesce(reduce(lambda a, b: a & b, known), F.lit(False))
+    return found.where(~seen).select(*[F.col(f"`{c}`") for c in rows.columns])
+
+
+def first_unknown(rows: DataFrame, parts: DataFrame, key: str = "part_id", filter_bytes: int = FILTER_BYTES) -> Row | None:
+    """A row whose key is no part, or None if the probe meets none.
+
+    Stops at the first such row: on a table with an early one only a few tasks run, and nothing is
+    aggregated. What the filter rejects is looked up once more among the parts. None is no proof, since
+    a few unknown keys look known; :func:`require_known` settles that. With more parts than the filter
+    holds within ``filter_bytes``, the probe covers an equal share of all ids.
+    """
+    count, room = parts.count(), max(1, filter_bytes // (BLOCK_BITS // 8))
+    blocks = min(room, max(1, -(-count * BITS_PER_KEY // BLOCK_BITS)))
+    slices = max(1, -(-count * BITS_PER_KEY // (room * BLOCK_BITS)))
+    named = parts.select(F.col("part_id").alias(key))
+    if slices > 1:
+        inside = F.col(key).isNull() | (F.pmod(F.xxhash64(F.lit(2), key), F.lit(slices)) == 0)
+        rows, named = rows.where(inside), named.where(inside)
+    suspects = rows_outside(rows, key_filter(named, key, blocks), key, blocks).take(1)
+    if suspects and suspects[0][key] is not None:
+        require(named.where(F.col(key) == suspects[0][key]).isEmpty(), f"the filter lost {key} {suspects[0][key]}")
+    return suspects[0] if suspects else None
+
+
+def has_unknown(rows: DataFrame, parts: DataFrame, key: str = "part_id") -> bool:
+    """Whether any row has a key that is no part: the probe first, the exact anti join if it meets none."""
+    return first_unknown(rows, parts, key) is not None or not unknown_parts(rows, parts, key).isEmpty()
+
+
 def parts_without(parts: DataFrame, visits: DataFrame) -> DataFrame:
     """Parts that have no visit at all (anti join on the distinct visited parts)."""
     return parts.join(visits.select("part_id").distinct(), "part_id", "left_anti")
@@ -130,6 +212,13 @@ def require_none(violations: DataFrame, message: str) -> None:
     require(violations.limit(1).isEmpty(), message)
 
 
+def require_known(rows: DataFrame, parts: DataFrame, message: str, key: str = "part_id") -> None:
+    """Every key of ``rows`` is a part: the early-stopping probe first, then the exact anti join."""
+    found = first_unknown(rows, parts, key)
+    require(found is None, f"{message}, for instance {key} {found and found[key]}")
+    require_none(unknown_parts(rows, parts, key), message)
+
+
 def require_keys(df: DataFrame, keys: Sequence[str], what: str) -> int:
     """No NULL and no repeated key; returns the row count."""
     report = key_report(df, keys).first()
@@ -162,9 +251,12 @@ def require_aligned(left: DataFrame, right: DataFrame, key: str = ID) -> int:
 __all__ = [
     "as_rows",
     "column_violations",
+    "first_unknown",
+    "has_unknown",
     "id_balance",
     "invalid_time_order",
     "key_counts",
+    "key_filter",
     "key_report",
     "one_to_one",
     "parts_without",
@@ -172,8 +264,10 @@ __all__ = [
     "require_aligned",
     "require_columns",
     "require_keys",
+    "require_known",
     "require_none",
     "require_rows",
+    "rows_outside",
     "source_alignment",
     "unknown_parts",
 ]

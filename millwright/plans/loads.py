@@ -18,10 +18,9 @@ from ..operators.gates import (
     require_aligned,
     require_columns,
     require_keys,
-    require_none,
+    require_known,
     require_rows,
     source_alignment,
-    unknown_parts,
 )
 from ..operators.reshape import (
     mapped_measurements,
@@ -33,9 +32,10 @@ from ..operators.reshape import (
     unfold_visits,
     visits_per_part,
 )
-from ..sinks.publish import current_tables, entry_of, path_exists, publish_tables, remove_path, rename_once
+from ..sinks.publish import LeaseHeld, current_tables, declare_ready, entry_of, publish_tables, remove_path, stored_bytes
 from ..sinks.write import Written, write_counted
 from ..sources.tables import read_measurements, read_parts, read_visits
+from .measurements import close_ids, feature_totals, measured_parts
 
 
 def build_parts(numeric: DataFrame) -> DataFrame:
@@ -82,13 +82,22 @@ def build_mapped_measurements(
     return mapped_measurements(numeric, dates, pairs, check_ids)
 
 
-def _stage_parts(numeric: DataFrame, path: str, expected_rows: int | None, buckets: int | None) -> Written:
+BUCKET_BYTES = 128 << 20  # of stored visits
+LEAST_BUCKET_BYTES = 1 << 20  # below that, more buckets than cores bring nothing
+
+
+def measured_buckets(spark: SparkSession, path: str) -> int:
+    """Buckets for a table whose rows are stored (in any layout) below ``path``."""
+    size = stored_bytes(spark, path)
+    few = min(spark.sparkContext.defaultParallelism, -(-size // LEAST_BUCKET_BYTES))
+    return max(1, few, -(-size // BUCKET_BYTES))
+
+
+def _stage_parts(numeric: DataFrame, path: str, expected_rows: int | None) -> Written:
+    """Two narrow columns of the wide source, gated; their final layout is known later."""
     failed = F.coalesce(F.sum("response"), F.lit(0)).alias("failed")
-    parts = build_parts(numeric)
-    if not buckets:
-        # Two short columns per split of a very wide file: merged, or each split leaves a tiny file.
-        parts = parts.hint("rebalance", "part_id")
-    written = write_counted(parts, path, [failed], "part_id", buckets)
+    # Two short columns per split of a very wide file: merged, or each split leaves a tiny file.
+    written = write_counted(build_parts(numeric).hint("rebalance", "part_id"), path, [failed])
     stored = numeric.sparkSession.read.parquet(path)
     check_parts(stored, expected_rows)
     refound = stored.agg(F.coalesce(F.sum("response"), F.lit(0))).first()[0]
@@ -96,15 +105,14 @@ def _stage_parts(numeric: DataFrame, path: str, expected_rows: int | None, bucke
     return written
 
 
-def _stage_visits(
-    dates: DataFrame, parts: DataFrame, path: str, scratch: str, expected_rows: int | None, buckets: int | None
-) -> Written:
+def _stage_dates(dates: DataFrame, parts: DataFrame, path: str, expected_rows: int | None) -> DataFrame:
+    """The visits of every part folded into one array, gated against the loaded parts."""
     loaded = parts.count()
     require(loaded > 0, "load parts before station visits")
     require_rows(loaded, expected_rows, "loaded parts")
-    folded = dates.sparkSession.read.parquet(write_counted(visits_per_part(dates), scratch).path)
+    folded = dates.sparkSession.read.parquet(write_counted(visits_per_part(dates), path).path)
     check_date_ids(folded, parts, expected_rows)
-    return write_counted(unfold_visits(folded), path, (), "part_id", buckets)
+    return folded
 
 
 def refresh(
@@ -113,42 +121,62 @@ def refresh(
     numeric: DataFrame | None = None,
     dates: DataFrame | None = None,
     expected_rows: int | None = None,
-    buckets: int | None = None,
+    buckets: int | str | None = "measured",
 ) -> dict[str, int]:
     """Replace parts, station visits or both under ``target``, all or nothing.
 
     Give only ``numeric`` or only ``dates`` to refresh one table; the other one stays current and
-    must still fit. ``buckets`` stores both tables hashed and sorted by part. Returns the totals.
+    must still fit. Both tables are stored hashed and sorted by part into the same number of buckets, so
+    that what joins or groups them by part needs no exchange. The number follows from the stored bytes
+    of the visits; a refresh of one table keeps to it or lays out the other one anew. ``buckets`` sets it
+    by hand, None stores plain files. Returns the totals.
     """
     require(numeric is not None or dates is not None, "nothing to refresh")
-    run = f"{target}/runs/{uuid.uuid4().hex}"
+    run = uuid.uuid4().hex
+    folder = f"{target}/runs/{run}"
     seen = current_tables(spark, target)
     tables = dict(seen)
     totals: dict[str, int] = {}
     try:
         if numeric is not None:
-            staged = _stage_parts(numeric, f"{run}/parts", expected_rows, buckets)
-            tables["parts"] = entry_of(staged)
+            staged = _stage_parts(numeric, f"{folder}/_parts", expected_rows)
+            parts_path = staged.path
             totals |= {"parts": staged.counters["rows"], "failed_parts": staged.counters["failed"]}
-        if dates is not None:
+        else:
             require("parts" in tables, "load parts before station visits")
-            parts = read_parts(spark, tables["parts"]["path"])
-            staged = _stage_visits(
-                dates, parts, f"{run}/station_visits", f"{run}/_folded_dates", expected_rows, buckets
-            )
+            parts_path = tables["parts"]["path"]
+        parts = read_parts(spark, parts_path)
+
+        if dates is not None:
+            folded = _stage_dates(dates, parts, f"{folder}/_folded_dates", expected_rows)
+            if buckets == "measured":
+                buckets = measured_buckets(spark, f"{folder}/_folded_dates")
+            staged = write_counted(unfold_visits(folded), f"{folder}/station_visits", (), "part_id", buckets)
             tables["station_visits"] = entry_of(staged)
             totals["station_visits"] = staged.counters["rows"]
-        elif "station_visits" in tables:
-            # Visits staged above were checked against these very parts; older ones were not.
-            orphans = unknown_parts(
-                read_visits(spark, tables["station_visits"]["path"]), read_parts(spark, tables["parts"]["path"])
-            )
-            require_none(orphans, "station visits refer to parts that would no longer exist")
+        else:
+            if "station_visits" in tables:
+                # Visits staged above were checked against these very parts; older ones were not.
+                require_known(
+                    read_visits(spark, tables["station_visits"]["path"]),
+                    parts,
+                    "station visits refer to parts that would no longer exist",
+                )
+            if buckets == "measured":
+                now = tables.get("station_visits")
+                buckets = now["buckets"] if now else measured_buckets(spark, parts_path)
+
+        if numeric is not None or tables["parts"]["buckets"] != buckets:
+            tables["parts"] = entry_of(write_counted(parts, f"{folder}/parts", (), "part_id", buckets))
+        declare_ready(spark, target, run, tables, seen)
         publish_tables(spark, target, tables, seen)
+    except LeaseHeld:
+        raise  # the run is ready: `resume_publication` can finish it
     except Exception:
-        remove_path(spark, run)
+        remove_path(spark, folder)
         raise
-    remove_path(spark, f"{run}/_folded_dates")
+    for scratch in ("_parts", "_folded_dates"):
+        remove_path(spark, f"{folder}/{scratch}")
     return totals
 
 
@@ -161,39 +189,53 @@ def load_measurements(
     expected_rows: int | None = None,
     view: str | None = "mapped_measurements",
 ) -> dict[str, int]:
-    """One-shot load of the measurement table, laid out by station; never overwrites.
+    """One-shot load of the measurement table, laid out by station; never replaces a published one.
 
     The two sources must hold the same ids exactly once. Row order does not matter. The table is
-    published beside the others, with the rows it was counted to have.
+    published beside the others, with the rows it was counted to have, together with its totals per
+    feature and, if part ids lie close enough, with the measured parts of every station as bitmaps; see
+    :mod:`millwright.plans.measurements`. Nothing but the pointer makes it current: a load that fails or
+    is overtaken can be repeated.
     """
-    final = f"{target}/mapped_measurements"
-    pending = f"{final}.pending"
-    for path in (pending, final):
-        if path_exists(spark, path):
-            raise FileExistsError(f"{path} exists; inspect it and move it away before loading again")
+    seen = current_tables(spark, target)
+    if "mapped_measurements" in seen:
+        raise FileExistsError(f"{target} has mapped measurements; load into another target")
     pairs = pairs_of(numeric, dates)
     require(bool(pairs), "no measurement column has a matching time column")
     require(expected_pairs in (None, len(pairs)), f"expected {expected_pairs} pairs, found {len(pairs)}")
 
-    seen = current_tables(spark, target)
-    scratch = f"{target}/_packed-{uuid.uuid4().hex}"
+    run = uuid.uuid4().hex
+    folder = f"{target}/runs/{run}"
     try:
-        values = spark.read.parquet(write_counted(pack_values(numeric, pairs), f"{scratch}/values").path)
-        times = spark.read.parquet(write_counted(pack_times(dates, pairs), f"{scratch}/times").path)
+        values = spark.read.parquet(write_counted(pack_values(numeric, pairs), f"{folder}/_values").path)
+        times = spark.read.parquet(write_counted(pack_times(dates, pairs), f"{folder}/_times").path)
         scanned = require_aligned(values, times, "part_id")
         require_rows(scanned, expected_rows, "wide sources")
 
         # Rebalancing splits a large station over several tasks and merges small ones.
         cells = unfold_cells(values, times, pairs).hint("rebalance", "station")
         untimed = F.count_if(F.col("observed_time").isNull()).alias("untimed")
-        written = write_counted(name_cells(cells, pairs), pending, [untimed], partition_by="station")
+        written = write_counted(
+            name_cells(cells, pairs), f"{folder}/mapped_measurements", [untimed], partition_by="station"
+        )
         require(written.counters["rows"] > 0, "no measurements were found")
-        rename_once(spark, pending, final)
-    finally:
-        remove_path(spark, scratch)
-    entry = {"path": final, "buckets": None, "rows": written.counters["rows"]}
-    publish_tables(spark, target, seen | {"mapped_measurements": entry}, seen)
-    read_measurements(spark, final, view)
+        tables = seen | {"mapped_measurements": entry_of(written)}
+        stored = read_measurements(spark, written.path)
+        tables["feature_totals"] = entry_of(write_counted(feature_totals(stored).coalesce(1), f"{folder}/feature_totals"))
+        if close_ids(values):
+            tables["measured_parts"] = entry_of(
+                write_counted(measured_parts(stored).hint("rebalance"), f"{folder}/measured_parts")
+            )
+        declare_ready(spark, target, run, tables, seen)
+        publish_tables(spark, target, tables, seen)
+    except LeaseHeld:
+        raise  # the run is ready: `resume_publication` can finish it
+    except Exception:
+        remove_path(spark, folder)
+        raise
+    for scratch in ("_values", "_times"):
+        remove_path(spark, f"{folder}/{scratch}")
+    read_measurements(spark, written.path, view)
     return {
         "pairs": len(pairs),
         "parts": scanned,

@@ -11,7 +11,7 @@ from millwright.plans.loads import load_measurements, refresh
 from millwright.plans.measurements import measurement_validation, station_measurement_coverage
 from millwright.sinks import current_tables, register_snapshot, snapshot_table, write_report
 from millwright.sinks.publish import publish_tables
-from millwright.sources import read_header, read_measurements, read_wide_csv
+from millwright.sources import read_header, read_wide_csv
 
 NUMERIC = "Id,L0_S0_F0,L3_S32_F2,L3_S32_F9,Response\n1,1.5,2,,0\n2,,3,4,1\n3,,,,0\n4,7,,5,1\n"
 DATES = "Id,L0_S0_D1,L3_S32_D3,L3_S32_D4\n4,9,,8\n1,5,6,7\n2,,8,2\n3,,,\n"
@@ -99,7 +99,7 @@ def test_no_scratch_is_left_by_a_failed_measurement_load(spark, sources, tmp_pat
     target = str(tmp_path / "t")
     with pytest.raises(GateError):
         load_measurements(spark, target, *sources(), expected_rows=5)
-    assert [name for name in os.listdir(target) if name.startswith("_packed")] == []
+    assert os.listdir(f"{target}/runs") == []
 
 
 def test_measurements_are_published_beside_the_other_tables(spark, sources, tmp_path):
@@ -108,7 +108,11 @@ def test_measurements_are_published_beside_the_other_tables(spark, sources, tmp_
     totals = load_measurements(spark, target, *sources(), expected_pairs=2)
     assert snapshot_table(spark, target, "mapped_measurements").count() == totals["measurements"]
     assert current_tables(spark, target)["mapped_measurements"]["rows"] == totals["measurements"]
-    assert set(register_snapshot(spark.newSession(), target)) == {"parts", "station_visits", "mapped_measurements"}
+    kept = {"feature_totals", "measured_parts"}
+    session = spark.newSession()
+    session.sql("CREATE DATABASE beside")
+    assert set(register_snapshot(session, target, "beside")) == {"parts", "station_visits", "mapped_measurements", *kept}
+    session.sql("DROP DATABASE beside CASCADE")
 
 
 def test_separate_refreshes(spark, sources, tmp_path):
@@ -179,7 +183,7 @@ def test_measurement_load(spark, sources, tmp_path):
         (4, "L0_S0", "L0_S0_F0", 7.0, "L0_S0_D1", 9.0),
     ]
     assert tuples(spark.table("mapped_measurements")) == rows
-    stored = read_measurements(spark, f"{target}/mapped_measurements")
+    stored = snapshot_table(spark, target, "mapped_measurements")
     assert tuples(stored) == rows
     assert tuple(measurement_validation(stored).first()) == (4, 2, 0)
     coverage = station_measurement_coverage(stored)
@@ -189,7 +193,7 @@ def test_measurement_load(spark, sources, tmp_path):
     assert station_measurement_coverage(stored, "L9_S9").collect() == []
     with pytest.raises(FileExistsError):
         load_measurements(spark, target, *sources())
-    assert tuples(read_measurements(spark, f"{target}/mapped_measurements")) == rows
+    assert tuples(snapshot_table(spark, target, "mapped_measurements")) == rows
 
 
 def test_measurement_load_gates(spark, sources, tmp_path):
@@ -201,11 +205,9 @@ def test_measurement_load_gates(spark, sources, tmp_path):
         load_measurements(spark, str(tmp_path / "c"), *sources(dates="Id,L0_S0_D1\n1,1\n"))
     with pytest.raises(GateError):
         load_measurements(spark, str(tmp_path / "d"), *sources(numeric="Id,L0_S0_F0,Response\n1,,0\n2,,0\n3,,0\n4,,0\n"))
-    pending = tmp_path / "e" / "mapped_measurements.pending"
-    pending.mkdir(parents=True)
-    with pytest.raises(FileExistsError):
-        load_measurements(spark, str(tmp_path / "e"), *sources())
-    assert os.listdir(pending) == []
+    # Nothing is left of a failed load, and the next one succeeds.
+    assert all(os.listdir(tmp_path / name / "runs") == [] for name in "bcd")
+    assert load_measurements(spark, str(tmp_path / "d"), *sources())["measurements"] == 4
 
 
 def test_ingestion_report(spark, sources, tmp_path, csv_file):
@@ -218,7 +220,7 @@ def test_ingestion_report(spark, sources, tmp_path, csv_file):
     tables = (
         snapshot_table(spark, target, "parts"),
         snapshot_table(spark, target, "station_visits"),
-        read_measurements(spark, f"{target}/mapped_measurements"),
+        snapshot_table(spark, target, "mapped_measurements"),
     )
     right = Expected(4, 2, 2, 2, 0, 5, 4)
     report = ingestion_report(*tables, *catalogs, expected=right, counted_measurements=totals["measurements"])

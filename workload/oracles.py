@@ -77,6 +77,15 @@ BLOCKS = {
                CAST(SUM(response) AS DOUBLE) / COUNT(*) AS failure_rate
         FROM station_visits JOIN parts USING (part_id)
         GROUP BY station""",
+    "wide_exposure": """
+        SELECT station, COUNT(*) AS parts_observed, CAST(SUM(response) AS BIGINT) AS failed_parts,
+               CAST(SUM(response) AS DOUBLE) / COUNT(*) AS failure_rate
+        FROM wide_visits JOIN parts USING (part_id)
+        GROUP BY station""",
+    "wide_routes": """
+        SELECT part_id, STRING_AGG(DISTINCT station[1:2], ' ' ORDER BY station[1:2]) AS path,
+               MAX(station = 'L3_S32') AS visited_target, BOOL_OR(station[1:2] = 'L3') AS l3
+        FROM wide_visits GROUP BY part_id""",
     "routes": """
         SELECT part_id,
                MAX(CAST(station[1:2] = 'L0' AS INT)) AS l0, MAX(CAST(station[1:2] = 'L1' AS INT)) AS l1,
@@ -196,6 +205,28 @@ ORACLES = {
        CASE WHEN parts_observed < 1000 OR failed_parts < 20 THEN 'limited_sample'
             ELSE 'sufficient_for_initial_review' END AS review_status
 FROM exposure e, (SELECT CAST(SUM(response) AS DOUBLE) / COUNT(*) AS r FROM parts) o""",
+    "published_station_exposure": """SELECT e.*, o.r AS overall_failure_rate,
+       e.failure_rate / NULLIF(o.r, 0) AS rate_vs_overall,
+       CASE WHEN parts_observed < 1000 OR failed_parts < 20 THEN 'limited_sample'
+            ELSE 'sufficient_for_initial_review' END AS review_status
+FROM wide_exposure e, (SELECT CAST(SUM(response) AS DOUBLE) / COUNT(*) AS r FROM parts) o""",
+    "published_top_stations": """SELECT station, parts_observed, failed_parts, failure_rate
+FROM wide_exposure WHERE parts_observed >= 50 ORDER BY failure_rate DESC, station LIMIT 15""",
+    "published_production_paths": f"""SELECT COALESCE(path, 'No recorded visits') AS line_group, {COUNTS}
+FROM parts LEFT JOIN wide_routes USING (part_id) GROUP BY 1""",
+    "published_target_within_line_group": f"""SELECT path AS line_group,
+       IF(visited_target, 'L3_S32 observed', 'L3_S32 not observed') AS s32_group, {COUNTS}
+FROM wide_routes JOIN parts USING (part_id) WHERE l3 GROUP BY 1, 2""",
+    "measurement_coverage": """SELECT station, COUNT(*) AS measurements,
+       COUNT(DISTINCT feature_name) AS features, COUNT(DISTINCT part_id) AS parts
+FROM measurements GROUP BY station""",
+    "line_measurement_coverage": """SELECT station[1:2] AS station_group, COUNT(*) AS measurements,
+       COUNT(DISTINCT feature_name) AS features, COUNT(DISTINCT part_id) AS parts
+FROM measurements GROUP BY 1""",
+    "orphan_probe": """SELECT 'parts' AS parts_table,
+       EXISTS (SELECT 1 FROM station_visits WHERE part_id NOT IN (SELECT part_id FROM parts)) AS has_orphans
+UNION ALL SELECT 'parts_partial',
+       EXISTS (SELECT 1 FROM station_visits WHERE part_id NOT IN (SELECT part_id FROM parts_partial))""",
     "station_table": STATION_TABLE,
     "top_stations": f"{STATION_TABLE} LIMIT 15",
     "production_paths": PATHS,
@@ -266,6 +297,8 @@ NEEDS = {
     "numeric_coverage": ["numeric_columns", "cells"],
     "date_coverage": ["date_columns", "cells"],
     "exposure": ["station_visits", "parts"],
+    "wide_exposure": ["wide_visits", "parts"],
+    "wide_routes": ["wide_visits"],
     "routes": ["station_visits"],
     "cohorts": ["routes", "station_visits"],
     "profile": ["cells", "parts"],

@@ -143,12 +143,56 @@ def published_measurements(spark, sf):
     return mw.snapshot_table(spark, fx.published(spark, sf), "mapped_measurements")
 
 
+# --- outcome metrics on the published tables: laid out by part, joined without an exchange ------
+
+
+def _published(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return published_parts(spark, sf), published_station_visits(spark, sf)
+
+
+@query
+def published_station_exposure(spark, sf):
+    return mw.station_exposure(*_published(spark, sf))
+
+
+@query
+def published_top_stations(spark, sf):
+    """A threshold that more than fifteen stations reach, so that the limit cuts."""
+    return mw.top_stations(*_published(spark, sf), min_parts=50)
+
+
+@query
+def published_production_paths(spark, sf):
+    return mw.production_paths(*_published(spark, sf))
+
+
+@query
+def published_target_within_line_group(spark, sf):
+    return mw.target_within_line_group(*_published(spark, sf))
+
+
 # --- measurements ------------------------------------------------------------------------------
 
 
+def _kept(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    target = fx.published(spark, sf)
+    return mw.snapshot_table(spark, target, "feature_totals"), mw.snapshot_table(spark, target, "measured_parts")
+
+
 @query
 def station_measurement_coverage(spark, sf):
-    return mw.station_measurement_coverage(published_measurements(spark, sf))
+    return mw.kept_station_coverage(*_kept(spark, sf))
+
+
+@query
+def measurement_coverage(spark, sf):
+    return mw.measurement_coverage(*_kept(spark, sf))
+
+
+@query
+def line_measurement_coverage(spark, sf):
+    """Distinct parts of all stations of a line: their bitmaps united."""
+    return mw.measurement_coverage(*_kept(spark, sf), group=F.left("station", F.lit(2)))
 
 
 @query
@@ -169,6 +213,14 @@ def orphan_visits(spark, sf):
     return gates.unknown_parts(fx.station_visits(spark, sf), fx.parts_partial(spark, sf), counted="visits")
 
 
+@query
+def orphan_probe(spark, sf):
+    """Whether any visit refers to no part, for the complete and for the partial parts."""
+    visits = fx.station_visits(spark, sf)
+    found = [(name, mw.has_unknown(visits, parts(spark, sf))) for name, parts in (("parts", fx.parts), ("parts_partial", fx.parts_partial))]
+    return spark.createDataFrame(found, "parts_table string, has_orphans boolean")
+
+
 @query
 def parts_without_visits(spark, sf):
     return gates.parts_without(*_core(spark, sf))
