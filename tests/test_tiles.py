@@ -1,9 +1,12 @@
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from millwright.operators import tiles as tiles_module
 from millwright.operators.tiles import global_ntile, global_row_index
+from millwright.session import shared_folder
 
 
 def expected_tiles(rows, tiles):
@@ -48,13 +51,66 @@ def test_row_index_puts_nulls_last(spark):
     assert got == {3: (0, 3), 2: (1, 3), 1: (2, 3)}
 
 
-def test_no_task_sees_all_rows(spark):
+def test_no_job_runs_on_call_and_nothing_is_written(spark):
     df = spark.range(1000).selectExpr("CAST(id % 10 AS DOUBLE) AS t", "id AS part_id")
+    folder = shared_folder(spark)
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    spark.sparkContext.setJobGroup("tiles", "tiles")
     tiled = global_ntile(df, 10, ["t", "part_id"])
     plan = tiled._jdf.queryExecution().executedPlan().toString()
-    # The only single-partition step works on per-partition sizes, below the broadcast.
-    above = plan[: plan.index("BroadcastExchange")]
-    assert "SinglePartition" not in above
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("tiles")
+    assert not jobs
+    assert tiled.count() == 1000
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert (set(os.listdir(folder)) if os.path.isdir(folder) else set()) == before
+    assert "rangepartitioning" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+KINDS = {
+    "double": "CAST(pmod(hash(id), 97) - 40 AS DOUBLE) / 7",
+    "odd double": "CASE id % 7 WHEN 0 THEN double('NaN') WHEN 1 THEN NULL WHEN 2 THEN -0.0D WHEN 3 THEN 0.0D "
+    "WHEN 4 THEN double('Infinity') WHEN 5 THEN double('-Infinity') ELSE pmod(hash(id), 50) END",
+    "hot": "IF(id % 3 = 0, 5.0D, CAST(pmod(hash(id), 1000) AS DOUBLE))",
+    "one value": "1.0D",
+    "all null": "CAST(NULL AS DOUBLE)",
+    "large long": "hash(id) * 4000000000L",
+    "date": "date_add(DATE'2020-01-01', pmod(hash(id), 40))",
+    "decimal": "CAST(pmod(hash(id), 31) AS DECIMAL(20, 2)) / 4",
+    "text": "CAST(pmod(hash(id), 31) AS STRING)",
+}
+
+
+@pytest.mark.parametrize("kind", sorted(KINDS))
+@pytest.mark.parametrize("n,tiles", [(4000, 10), (3, 7), (5000, 400)])
+def test_every_kind_of_order_equals_the_built_in(spark, kind, n, tiles):
+    df = spark.range(n).selectExpr(f"{KINDS[kind]} AS t", "IF(id = 5, NULL, (id * 7919) % 100003 - 50000) AS part_id", "id")
+    built_in = df.selectExpr("id", f"ntile({tiles}) OVER (ORDER BY t NULLS LAST, part_id NULLS LAST) AS wanted")
+    both = global_ntile(df.repartition(5), tiles, ["t", "part_id"]).join(built_in, "id")
+    assert both.count() == n
+    assert both.where("tile IS NULL OR tile <> wanted").count() == 0
+
+
+def test_one_and_three_order_columns(spark):
+    df = spark.range(3000).selectExpr("id % 5 AS a", "id % 70 AS b", "id")
+    for order in (["id"], ["a", "b", "id"]):
+        built_in = df.selectExpr("id", f"ntile(13) OVER (ORDER BY {', '.join(order)}) AS wanted")
+        assert global_ntile(df, 13, order).join(built_in, "id").where("tile <> wanted").count() == 0
+
+
+def test_rows_that_share_a_key_share_a_tile(spark):
+    df = spark.range(900).selectExpr("id % 3 AS t", "id % 3 AS part_id")
+    rows = {(r["t"], r["tile"]) for r in global_ntile(df, 9, ["t", "part_id"]).collect()}
+    assert len(rows) == 3
+
+
+def test_a_sketch_that_misses_a_border_fails(spark, monkeypatch):
+    monkeypatch.setattr(tiles_module, "_brackets", lambda: [
+        F.expr("transform(starts, r -> named_struct('missing', true, 'value', CAST(NULL AS DOUBLE)))").alias("lows"),
+        F.expr("transform(starts, r -> named_struct('missing', true, 'value', CAST(NULL AS DOUBLE)))").alias("highs"),
+    ])
+    df = spark.range(100).selectExpr("CAST(id AS DOUBLE) AS t", "id AS part_id")
+    with pytest.raises(Exception, match="outside its bracket"):
+        global_ntile(df, 4, ["t", "part_id"]).collect()
 
 
 def test_bad_tile_count(spark):
