@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..contracts import ID, GateError
@@ -178,25 +178,25 @@ def invalid_time_order(visits: DataFrame) -> DataFrame:
 def one_to_one(left: DataFrame, right: DataFrame, key: str = ID, aligned: bool = False) -> DataFrame:
     """Inner join that fails, when it is computed, if a key is repeated on either side.
 
-    With ``aligned`` a key that is NULL or on one side only fails as well. Each side is scanned once
-    and combined to one row per key before the shuffle, so no repeated key can multiply rows; the
-    join uses the same partitioning.
+    With ``aligned`` a key that is NULL or on one side only fails as well. Each side is scanned, moved and
+    sorted once: repeats are neighbours in the sorted rows of the join, and the first one met ends it,
+    so no repeated key can multiply rows.
     """
 
-    def per_key(df: DataFrame, rows: str) -> DataFrame:
-        others = [F.first(f"`{c}`").alias(c) for c in df.columns if c != key]
-        return df.groupBy(key).agg(*others, F.count(F.lit(1)).alias(rows))
-
     def fail(message: str):
         return F.raise_error(F.lit(message)).cast("boolean")
 
-    both = per_key(left, "_left_rows").join(per_key(right, "_right_rows"), key, "full_outer")
-    matched = F.col("_left_rows").isNotNull() & F.col("_right_rows").isNotNull()
-    repeated = (F.col("_left_rows") > 1) | (F.col("_right_rows") > 1)
+    def numbered(df: DataFrame, side: str) -> DataFrame:
+        again = F.row_number().over(Window.partitionBy(key).orderBy(key))
+        return df.hint("merge").withColumn(side, again)
+
+    both = numbered(left, "_left_row").join(numbered(right, "_right_row"), key, "full_outer")
+    matched = F.col("_left_row").isNotNull() & F.col("_right_row").isNotNull()
+    repeated = (F.col("_left_row") > 1) | (F.col("_right_row") > 1)
     kept = F.when(repeated, fail(f"{key} is repeated, the sides cannot be merged one to one"))
     if aligned:
         kept = kept.when(~matched, fail(f"{key} differs between the sides"))
-    return both.where(kept.otherwise(matched)).drop("_left_rows", "_right_rows")
+    return both.where(kept.otherwise(matched)).drop("_left_row", "_right_row")
 
 
 # --- checks that act: they run a job and raise ------------------------------------------------

@@ -28,10 +28,18 @@ def build_session(app: str = "millwright", master: str | None = None, **extra: s
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``, or else one in the warehouse."""
+    """The folder every executor can reach: ``spark.checkpoint.dir``, or else one in the warehouse.
+
+    Without the setting, a warehouse on a local disk serves a local master only.
+    """
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    if folder:
+        return folder
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not context.master.startswith("local") and (warehouse.startswith("file:") or "://" not in warehouse):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share; {warehouse} may be local")
+    return f"{warehouse}/_scratch"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
