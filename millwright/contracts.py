@@ -63,6 +63,9 @@ TABLE_KEYS = {
     "measurements": ["part_id", "feature_name"],
 }
 
+# Order of visits inside a bucket of parts: names of one line lie together.
+VISIT_ORDER = ["station", "part_id"]
+
 # Defaults of the analyses; every one of them is a parameter.
 LINES = ("L0", "L1", "L2", "L3")
 TARGET_LINE = "L3"

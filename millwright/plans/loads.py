@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..contracts import ID, LABEL, TABLE_KEYS
+from ..contracts import ID, LABEL, TABLE_KEYS, VISIT_ORDER
 from ..operators.catalog import pairs_of
 from ..operators.gates import (
     require,
@@ -126,8 +126,9 @@ def refresh(
     """Replace parts, station visits or both under ``target``, all or nothing.
 
     Give only ``numeric`` or only ``dates`` to refresh one table; the other one stays current and
-    must still fit. Both tables are stored hashed and sorted by part into the same number of buckets, so
-    that what joins or groups them by part needs no exchange. The number follows from the stored bytes
+    must still fit. Both tables are stored hashed by part into the same number of buckets, so
+    that what joins or groups them by part needs no exchange. Inside a bucket visits lie by station, so that
+    a report on one line reads the pages of that line only. The number of buckets follows from the stored bytes
     of the visits; a refresh of one table keeps to it or lays out the other one anew. ``buckets`` sets it
     by hand, None stores plain files. Returns the totals.
     """
@@ -151,7 +152,8 @@ def refresh(
             folded = _stage_dates(dates, parts, f"{folder}/_folded_dates", expected_rows)
             if buckets == "measured":
                 buckets = measured_buckets(spark, f"{folder}/_folded_dates")
-            staged = write_counted(unfold_visits(folded), f"{folder}/station_visits", (), "part_id", buckets)
+            visits = unfold_visits(folded)
+            staged = write_counted(visits, f"{folder}/station_visits", (), "part_id", buckets, sort_by=VISIT_ORDER)
             tables["station_visits"] = entry_of(staged)
             totals["station_visits"] = staged.counters["rows"]
         else:

@@ -20,6 +20,7 @@ from ..contracts import (
     MEASURED_PARTS_SCHEMA,
     MEASUREMENTS_SCHEMA,
     PARTS_SCHEMA,
+    VISIT_ORDER,
     VISITS_SCHEMA,
 )
 from .write import Written
@@ -204,9 +205,10 @@ def entry_of(written: Written) -> dict:
 def _bucketed_table(spark: SparkSession, name: str, full_name: str, entry: dict) -> None:
     """A catalog table over published bucketed files; only the catalog knows their layout."""
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in SCHEMAS[name])
+    order = ", ".join(VISIT_ORDER if name == "station_visits" else ["part_id"])
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS {full_name} ({columns}) USING parquet "
-        f"CLUSTERED BY (part_id) SORTED BY (part_id) INTO {int(entry['buckets'])} BUCKETS "
+        f"CLUSTERED BY (part_id) SORTED BY ({order}) INTO {int(entry['buckets'])} BUCKETS "
         f"LOCATION '{entry['path']}'"
     )
 

@@ -28,24 +28,26 @@ def write_counted(
     bucket_by: str | None = None,
     buckets: int | None = None,
     partition_by: str | None = None,
+    sort_by: Sequence[str] | None = None,
 ) -> Written:
     """Write ``df`` as a new Snappy Parquet table and check that everything arrived.
 
     The counters sit directly below the writer, in the stage whose task results count exactly
     once, so a lost executor cannot inflate them. ``rows`` is always among them and is compared
-    with the rows read back.
+    with the rows read back. Rows of a bucket are sorted by ``sort_by``, or else by the bucket column.
     """
     spark = df.sparkSession
     watch = Observation(f"write-{uuid.uuid4().hex}")
     if buckets:
-        df = df.repartition(buckets, bucket_by).sortWithinPartitions(bucket_by)
+        order = list(sort_by or [bucket_by])
+        df = df.repartition(buckets, bucket_by).sortWithinPartitions(*order)
     counted = df.observe(watch, F.count(F.lit(1)).alias("rows"), *counters)
     writer = counted.write.option("compression", "snappy")
     if partition_by:
         writer = writer.partitionBy(partition_by)
     if buckets:
         name = f"bucketed_{uuid.uuid4().hex}"
-        writer.format("parquet").bucketBy(buckets, bucket_by).sortBy(bucket_by).option("path", path).saveAsTable(name)
+        writer.format("parquet").bucketBy(buckets, bucket_by).sortBy(*order).option("path", path).saveAsTable(name)
         spark.sql(f"DROP TABLE {name}")  # the files stay: the table is external
     else:
         writer.parquet(path)

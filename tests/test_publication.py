@@ -8,8 +8,10 @@ import pytest
 from conftest import tuples
 
 from millwright.plans import loads
+from millwright.contracts import VISIT_ORDER
+from millwright.plans.investigate import target_vs_line
 from millwright.plans.metrics import production_paths, station_exposure
-from millwright.sinks import LeaseHeld, current_tables, ready_runs, resume_publication, snapshot_table
+from millwright.sinks import LeaseHeld, current_tables, ready_runs, resume_publication, snapshot_table, write_counted
 from millwright.sinks import publish
 from millwright.sources import read_wide_csv
 
@@ -186,3 +188,38 @@ def test_tables_loaded_apart_end_in_one_layout(spark, wide, tmp_path, monkeypatc
     assert tuples(snapshot_table(spark, target, "parts")) == [(1, 0), (2, 1), (3, 0)]
     loads.refresh(spark, target, *wide, buckets=None)
     assert {entry["buckets"] for entry in current_tables(spark, target).values()} == {None}
+
+
+def rows_scanned(report) -> int:
+    """Rows that the scan of the visits handed on, after the pushed filter skipped pages."""
+    report.collect()
+    plan = report._jdf.queryExecution().executedPlan()
+    plan = plan.finalPhysicalPlan() if plan.getClass().getSimpleName().startswith("Adaptive") else plan
+    found, waiting = [], [plan]
+    while waiting:
+        node = waiting.pop()
+        if node.getClass().getSimpleName().endswith("StageExec"):
+            waiting.append(node.plan())
+        if node.getClass().getSimpleName() == "FileSourceScanExec" and "station" in node.output().toString():
+            found.append(node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        waiting += [children.apply(i) for i in range(children.size())]
+    return sum(found)
+
+
+def test_a_line_report_skips_the_pages_of_other_lines(spark, tmp_path):
+    target, rows = str(tmp_path / "t"), 120_000
+    parts = spark.range(rows).selectExpr("id AS part_id", "CAST(id % 7 = 0 AS TINYINT) AS response")
+    visits = spark.range(rows).selectExpr(
+        "id AS part_id", "concat('L', id % 4, '_S', id % 40) AS station", "1D AS first_observed_time", "2D AS last_observed_time"
+    )
+    written = {
+        "parts": write_counted(parts, f"{target}/p", (), "part_id", 1),
+        "station_visits": write_counted(visits, f"{target}/v", (), "part_id", 1, sort_by=VISIT_ORDER),
+    }
+    publish.publish_tables(spark, target, {name: publish.entry_of(table) for name, table in written.items()}, {})
+    tables = [snapshot_table(spark, target, name) for name in ("parts", "station_visits")]
+    assert 30_000 <= rows_scanned(target_vs_line(*tables, line="L3", station="L3_S3")) < 80_000
+    assert rows_scanned(production_paths(*tables)) == rows
+    stored = [spark.read.parquet(f"{target}/{name}") for name in ("p", "v")]
+    assert tuples(target_vs_line(*tables)) == tuples(target_vs_line(*stored))

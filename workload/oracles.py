@@ -214,6 +214,8 @@ FROM wide_exposure e, (SELECT CAST(SUM(response) AS DOUBLE) / COUNT(*) AS r FROM
 FROM wide_exposure WHERE parts_observed >= 50 ORDER BY failure_rate DESC, station LIMIT 15""",
     "published_production_paths": f"""SELECT COALESCE(path, 'No recorded visits') AS line_group, {COUNTS}
 FROM parts LEFT JOIN wide_routes USING (part_id) GROUP BY 1""",
+    "published_target_vs_line": f"""SELECT IF(visited_target, 'L3_S32 observed', 'Other L3 parts') AS part_group, {COUNTS}
+FROM wide_routes JOIN parts USING (part_id) WHERE l3 GROUP BY 1""",
     "published_target_within_line_group": f"""SELECT path AS line_group,
        IF(visited_target, 'L3_S32 observed', 'L3_S32 not observed') AS s32_group, {COUNTS}
 FROM wide_routes JOIN parts USING (part_id) WHERE l3 GROUP BY 1, 2""",

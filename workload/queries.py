@@ -166,6 +166,11 @@ def published_production_paths(spark, sf):
     return mw.production_paths(*_published(spark, sf))
 
 
+@query
+def published_target_vs_line(spark, sf):
+    return mw.target_vs_line(*_published(spark, sf))
+
+
 @query
 def published_target_within_line_group(spark, sf):
     return mw.target_within_line_group(*_published(spark, sf))
