@@ -5,6 +5,7 @@ from .operators.catalog import column_catalog, feature_mapping, header_shape, ma
 from .operators.gates import first_unknown, has_unknown, source_alignment
 from .operators.reshape import mapped_measurements, station_visits
 from .operators.routes import part_routes, route_flags
+from .operators.stationsets import parts_without_stations, set_profile, set_routes, station_counts
 from .operators.summary import failure_summary
 from .operators.tiles import global_ntile
 from .plans.diagnostics import ingestion_report, load_diagnostics
@@ -78,6 +79,7 @@ __all__ = [
     "measurement_validation",
     "overall_quality",
     "part_routes",
+    "parts_without_stations",
     "paths_by_volume",
     "production_paths",
     "read_header",
@@ -92,8 +94,11 @@ __all__ = [
     "route_flags",
     "run_sql",
     "schema_stations",
+    "set_profile",
+    "set_routes",
     "snapshot_table",
     "source_alignment",
+    "station_counts",
     "station_exposure",
     "station_measurement_coverage",
     "station_profile",

@@ -25,6 +25,13 @@ VISITS_SCHEMA = T.StructType(
     ]
 )
 
+STATION_SETS_SCHEMA = T.StructType(
+    [
+        T.StructField("part_id", T.LongType(), False),
+        T.StructField("stations", T.ArrayType(T.LongType()), False),
+    ]
+)
+
 # Serves both the mapped measurements and the older pilot `measurements` table.
 MEASUREMENTS_SCHEMA = T.StructType(
     [

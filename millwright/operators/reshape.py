@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from ..contracts import ID
 from ..sources.wide import feature_columns
-from .catalog import Pair, pairs_of
+from .catalog import Pair, column_catalog, pairs_of
 from .gates import one_to_one
+from .stationsets import set_words
 
 
 def _quoted(names: Sequence[str]) -> str:
@@ -26,12 +27,15 @@ def _text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def station_columns(names: Sequence[str]) -> dict[str, list[str]]:
-    """Time columns by station, in header order."""
-    groups: dict[str, list[str]] = {}
-    for name in names:
-        groups.setdefault("_".join(name.split("_")[:2]), []).append(name)
-    return groups
+def time_columns(dates: DataFrame) -> dict[str, list[str]]:
+    """The columns of every station by the column catalog, stations in the order of their first column."""
+    catalog = column_catalog(dates.sparkSession, dates.columns).where(F.col("station").isNotNull()).collect()
+    stations = dict.fromkeys(row["station"] for row in catalog)
+    return {station: [row["column_name"] for row in catalog if row["station"] == station] for station in stations}
+
+
+def _seen(columns: Sequence[str]) -> str:
+    return f"coalesce({_quoted(columns)}) IS NOT NULL"
 
 
 def _extreme(function: str, columns: Sequence[str]) -> str:
@@ -40,16 +44,20 @@ def _extreme(function: str, columns: Sequence[str]) -> str:
 
 
 def visits_per_part(dates: DataFrame) -> DataFrame:
-    """One row per part with the array of its observed stations and their time bounds."""
+    """One row per part: the array of its observed stations with their time bounds, and their set."""
+    grouped = time_columns(dates)
     entries = []
-    for station, columns in station_columns(feature_columns(dates)).items():
-        seen = f"coalesce({_quoted(columns)}) IS NOT NULL"
+    for station, columns in grouped.items():
         entries.append(
-            f"CASE WHEN {seen} THEN struct({_text(station)} AS station, "
+            f"CASE WHEN {_seen(columns)} THEN struct({_text(station)} AS station, "
             f"{_extreme('least', columns)} AS first_observed_time, "
             f"{_extreme('greatest', columns)} AS last_observed_time) END"
         )
-    return dates.selectExpr(f"{ID} AS part_id", f"array_compact(array({', '.join(entries)})) AS visits")
+    return dates.selectExpr(
+        f"{ID} AS part_id",
+        f"array_compact(array({', '.join(entries)})) AS visits",
+        f"{set_words([_seen(columns) for columns in grouped.values()])} AS stations",
+    )
 
 
 def unfold_visits(folded: DataFrame) -> DataFrame:
@@ -64,7 +72,7 @@ def station_visits(dates: DataFrame) -> DataFrame:
 
 def stations_seen(dates: DataFrame) -> DataFrame:
     """One row per part with a true/false array: was it seen at each station (in header order)."""
-    seen = [f"coalesce({_quoted(columns)}) IS NOT NULL" for columns in station_columns(feature_columns(dates)).values()]
+    seen = [_seen(columns) for columns in time_columns(dates).values()]
     return dates.selectExpr(ID, f"array({', '.join(seen)}) AS seen")
 
 

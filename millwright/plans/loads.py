@@ -28,6 +28,7 @@ from ..operators.reshape import (
     pack_times,
     pack_values,
     station_visits,
+    time_columns,
     unfold_cells,
     unfold_visits,
     visits_per_part,
@@ -130,7 +131,8 @@ def refresh(
     that what joins or groups them by part needs no exchange. Inside a bucket visits lie by station, so that
     a report on one line reads the pages of that line only. The number of buckets follows from the stored bytes
     of the visits; a refresh of one table keeps to it or lays out the other one anew. ``buckets`` sets it
-    by hand, None stores plain files. Returns the totals.
+    by hand, None stores plain files. The set of stations of every part is kept beside the visits, from the
+    same scan of the dates; see :mod:`millwright.operators.stationsets`. Returns the totals.
     """
     require(numeric is not None or dates is not None, "nothing to refresh")
     run = uuid.uuid4().hex
@@ -156,6 +158,9 @@ def refresh(
             staged = write_counted(visits, f"{folder}/station_visits", (), "part_id", buckets, sort_by=VISIT_ORDER)
             tables["station_visits"] = entry_of(staged)
             totals["station_visits"] = staged.counters["rows"]
+            sets = folded.select("part_id", "stations")
+            entry = entry_of(write_counted(sets, f"{folder}/station_sets", (), "part_id", buckets))
+            tables["station_sets"] = entry | {"stations": list(time_columns(dates))}
         else:
             if "station_visits" in tables:
                 # Visits staged above were checked against these very parts; older ones were not.

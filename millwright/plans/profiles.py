@@ -9,7 +9,7 @@ from ..contracts import ID, LABEL
 from ..functions.rates import rate
 from ..operators.catalog import CATALOG_SCHEMA
 from ..operators.gates import id_balance, one_to_one
-from ..operators.reshape import filled_cells, station_columns, stations_seen
+from ..operators.reshape import filled_cells, stations_seen, time_columns
 from ..sources.wide import feature_columns
 
 
@@ -79,7 +79,7 @@ def station_profile(dates: DataFrame, labels: DataFrame) -> DataFrame:
     Each part crosses the join as its id and one true/false array; the array is unfolded
     afterwards, on the way into a partial aggregate.
     """
-    stations = list(station_columns(feature_columns(dates)))
+    stations = list(time_columns(dates))
     names = dates.sparkSession.createDataFrame(list(enumerate(stations)), CATALOG_SCHEMA).select(
         F.col("position").alias("station_number"), F.col("column_name").alias("station")
     )

@@ -20,9 +20,11 @@ from ..contracts import (
     MEASURED_PARTS_SCHEMA,
     MEASUREMENTS_SCHEMA,
     PARTS_SCHEMA,
+    STATION_SETS_SCHEMA,
     VISIT_ORDER,
     VISITS_SCHEMA,
 )
+from ..operators.stationsets import named
 from .write import Written
 
 POINTER = "CURRENT"
@@ -31,6 +33,7 @@ LEASE_SECONDS = 300
 SCHEMAS = {
     "parts": PARTS_SCHEMA,
     "station_visits": VISITS_SCHEMA,
+    "station_sets": STATION_SETS_SCHEMA,
     "mapped_measurements": MEASUREMENTS_SCHEMA,
     "feature_totals": FEATURE_TOTALS_SCHEMA,
     "measured_parts": MEASURED_PARTS_SCHEMA,
@@ -226,9 +229,11 @@ def snapshot_table(spark: SparkSession, target: str, name: str) -> DataFrame:
     if entry.get("buckets"):
         table = f"`{name}_{hashlib.sha256(entry['path'].encode()).hexdigest()[:16]}`"
         _bucketed_table(spark, name, table, entry)
-        return spark.table(table)
-    # Partition columns come last in a scan; the contract's order is restored.
-    return spark.read.schema(SCHEMAS[name]).parquet(entry["path"]).select(*SCHEMAS[name].fieldNames())
+        found = spark.table(table)
+    else:
+        # Partition columns come last in a scan; the contract's order is restored.
+        found = spark.read.schema(SCHEMAS[name]).parquet(entry["path"]).select(*SCHEMAS[name].fieldNames())
+    return named(found, entry["stations"]) if "stations" in entry else found
 
 
 def register_snapshot(spark: SparkSession, target: str, database: str = "default") -> list[str]:

@@ -108,7 +108,7 @@ def test_measurements_are_published_beside_the_other_tables(spark, sources, tmp_
     totals = load_measurements(spark, target, *sources(), expected_pairs=2)
     assert snapshot_table(spark, target, "mapped_measurements").count() == totals["measurements"]
     assert current_tables(spark, target)["mapped_measurements"]["rows"] == totals["measurements"]
-    kept = {"feature_totals", "measured_parts"}
+    kept = {"feature_totals", "measured_parts", "station_sets"}
     session = spark.newSession()
     session.sql("CREATE DATABASE beside")
     assert set(register_snapshot(session, target, "beside")) == {"parts", "station_visits", "mapped_measurements", *kept}
@@ -141,7 +141,7 @@ def test_bucketed_snapshot_joins_without_exchange(spark, sources, tmp_path):
     refresh(spark, target, *sources(), buckets=4)
     spark.range(3).createOrReplaceTempView("parts")
     for _ in range(2):  # registering again replaces the entry
-        assert sorted(register_snapshot(spark, target)) == ["parts", "station_visits"]
+        assert sorted(register_snapshot(spark, target)) == ["parts", "station_sets", "station_visits"]
     parts, visits = spark.table("parts"), spark.table("station_visits")
     assert parts.count() == 4 and visits.count() == 5
     plain = refresh(spark, str(tmp_path / "p"), *sources())
@@ -158,6 +158,7 @@ def test_bucketed_snapshot_joins_without_exchange(spark, sources, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
         spark.sql("DROP TABLE parts")
         spark.sql("DROP TABLE station_visits")
+        spark.sql("DROP TABLE station_sets")
 
 
 def test_registering_never_drops_a_managed_table(spark, sources, tmp_path):

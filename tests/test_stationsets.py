@@ -1,0 +1,60 @@
+"""Station sets kept per part against the visits they stand for."""
+
+import pytest
+from conftest import parts_frame, tuples, visits_frame
+from pyspark.sql import functions as F
+
+from millwright.operators import stationsets as sets
+from millwright.operators.gates import parts_without
+from millwright.operators.routes import part_routes
+from millwright.plans.metrics import production_paths, station_exposure
+
+STATIONS = [f"L{i % 4}_S{i}" for i in range(130)] + ["L3XS1", "L30_S1", "L3"]
+
+
+@pytest.fixture(scope="module")
+def pair(spark):
+    """130 and more stations: three words. Part 7 has an empty set, part 8 none, part 300 no outcome."""
+    seen = {p: sorted({(p * 37 + j * 11) % len(STATIONS) for j in range(p % 9)}) for p in range(1, 60)}
+    seen |= {7: [], 300: [0, 61, 62, 124, 132], 59: list(range(len(STATIONS)))}
+    del seen[8]
+    rows = [(p, [i in s for i in range(len(STATIONS))]) for p, s in seen.items()]
+    flags = spark.createDataFrame(rows, "part_id BIGINT, f ARRAY<BOOLEAN>")
+    words = sets.set_words([f"f[{i}]" for i in range(len(STATIONS))])
+    kept = sets.named(flags.selectExpr("part_id", f"{words} AS stations"), STATIONS)
+    visits = visits_frame(spark, [(p, STATIONS[i]) for p, s in seen.items() for i in s])
+    return parts_frame(spark, [(p, int(p % 5 == 0)) for p in range(1, 60)]), kept, visits
+
+
+def test_routes_equal_those_of_the_visits(pair):
+    parts, kept, visits = pair
+    for lines in (("L0", "L1", "L2", "L3"), ("L3",), tuple(f"L{i}" for i in range(70))):
+        for station in ("L3_S3", "L0_S124", "nowhere"):
+            got = sets.set_routes(kept, lines, "L3", station)
+            assert tuples(got) == tuples(part_routes(visits, lines, "L3", station).drop("first_line_time"))
+            assert tuples(production_paths(parts, None, lines, got)) == tuples(production_paths(parts, visits, lines))
+            assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counts_equal_those_of_the_visits(pair):
+    parts, kept, visits = pair
+    counts = sets.station_counts(parts, kept)
+    assert counts.count() == len(STATIONS)
+    want = station_exposure(parts, visits).select("station", "parts_observed", "failed_parts")
+    assert tuples(counts.where("parts_visited > 0")) == tuples(want)
+    assert tuples(sets.parts_without_stations(parts, kept)) == tuples(parts_without(parts, visits))
+
+
+def test_no_parts_and_no_stations(spark, pair):
+    parts, kept, _ = pair
+    assert {tuple(r)[1:] for r in sets.station_counts(parts.limit(0), kept).collect()} == {(0, 0)}
+    none = sets.named(parts.selectExpr("part_id", f"{sets.set_words([])} AS stations"), [])
+    assert sets.station_counts(parts, none).collect() == []
+    assert sets.set_routes(none).collect() == []
+    assert sets.parts_without_stations(parts, none).count() == parts.count()
+
+
+def test_sets_without_names_are_refused(pair):
+    parts, kept, _ = pair
+    with pytest.raises(ValueError):
+        sets.set_profile(parts, kept.select("part_id", F.reverse("stations").alias("stations")))

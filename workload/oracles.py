@@ -219,6 +219,13 @@ FROM wide_routes JOIN parts USING (part_id) WHERE l3 GROUP BY 1""",
     "published_target_within_line_group": f"""SELECT path AS line_group,
        IF(visited_target, 'L3_S32 observed', 'L3_S32 not observed') AS s32_group, {COUNTS}
 FROM wide_routes JOIN parts USING (part_id) WHERE l3 GROUP BY 1, 2""",
+    "kept_station_profile": "SELECT * FROM profile",
+    "kept_production_paths": f"""SELECT COALESCE(path, 'No recorded visits') AS line_group, {COUNTS}
+FROM parts LEFT JOIN wide_routes USING (part_id) GROUP BY 1""",
+    "kept_target_within_line_group": f"""SELECT path AS line_group,
+       IF(visited_target, 'L3_S32 observed', 'L3_S32 not observed') AS s32_group, {COUNTS}
+FROM wide_routes JOIN parts USING (part_id) WHERE l3 GROUP BY 1, 2""",
+    "kept_parts_without_visits": "SELECT * FROM parts WHERE part_id NOT IN (SELECT part_id FROM wide_visits)",
     "measurement_coverage": """SELECT station, COUNT(*) AS measurements,
        COUNT(DISTINCT feature_name) AS features, COUNT(DISTINCT part_id) AS parts
 FROM measurements GROUP BY station""",

@@ -176,6 +176,35 @@ def published_target_within_line_group(spark, sf):
     return mw.target_within_line_group(*_published(spark, sf))
 
 
+# --- the same from the station sets kept with the visits -----------------------------------------
+
+
+def _sets(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return published_parts(spark, sf), mw.snapshot_table(spark, fx.published(spark, sf), "station_sets")
+
+
+@query
+def kept_station_profile(spark, sf):
+    return mw.set_profile(*_sets(spark, sf))
+
+
+@query
+def kept_production_paths(spark, sf):
+    parts, sets = _sets(spark, sf)
+    return mw.production_paths(parts, None, routes=mw.set_routes(sets))
+
+
+@query
+def kept_target_within_line_group(spark, sf):
+    parts, sets = _sets(spark, sf)
+    return mw.target_within_line_group(parts, None, routes=mw.set_routes(sets))
+
+
+@query
+def kept_parts_without_visits(spark, sf):
+    return mw.parts_without_stations(*_sets(spark, sf))
+
+
 # --- measurements ------------------------------------------------------------------------------
 
 
