@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..contracts import Expected, GateError
-from ..operators.catalog import header_shape
+from ..operators.catalog import feature_mapping, header_shape
 from ..operators.gates import as_rows
 from .measurements import measurement_validation
 
@@ -78,6 +78,7 @@ def ingestion_report(
     def one(df: DataFrame):
         return df.select(F.struct("*")).scalar()
 
+    mapped = feature_mapping(numeric_catalog, date_catalog)
     totals = parts.sparkSession.range(1).select(
         one(parts.agg(F.count(F.lit(1)).alias("parts"), F.sum("response").alias("failed_parts"))).alias("p"),
         one(visit_totals(visits)).alias("v"),
@@ -85,8 +86,10 @@ def ingestion_report(
         counted.alias("counted_rows"),
         one(header_shape(numeric_catalog)).alias("n"),
         one(header_shape(date_catalog)).alias("d"),
+        one(mapped.agg(F.count_if("mapped").alias("timed"), F.count_if(~F.col("mapped")).alias("untimed"))).alias("f"),
     )
     c = F.col
+    # The names of the checks and of the report's fields.
     same = {
         "part_count": c("p.parts") == expected.parts,
         "failure_count": c("p.failed_parts") == expected.failed_parts,
@@ -119,8 +122,8 @@ def ingestion_report(
         F.format_string(
             "%d numeric features have a matching date column and were loaded; %d other feature columns "
             "stay in the source file because no measurement time is known for them.",
-            c("m.features"),
-            c("n.columns") - 2 - c("m.features"),
+            c("f.timed"),
+            c("f.untimed"),
         ).alias("coverage_note"),
         F.create_map(*entries).alias("checks"),
     ).withColumn(
@@ -155,7 +158,10 @@ def report_rows(report: DataFrame) -> DataFrame:
         ),
     )
     status = F.struct(F.lit("status").alias("section"), F.lit("status").alias("name"), F.col("status").alias("value"))
-    fixed = F.array(*struct_rows("source"), *struct_rows("loaded"), status)
+    note = F.struct(
+        F.lit("note").alias("section"), F.lit("coverage_note").alias("name"), F.col("coverage_note").alias("value")
+    )
+    fixed = F.array(*struct_rows("source"), *struct_rows("loaded"), note, status)
     return report.select(F.inline(F.concat(fixed, checks)))
 
 

@@ -240,6 +240,8 @@ def test_ingestion_report(spark, sources, tmp_path, csv_file):
         "mapped_measurements": 4, "mapped_features": 2, "missing_matched_times": 0,
     }
     assert document["source"]["numeric_columns"] == 5 and document["source"]["date_columns"] == 4
+    # L3_S32_F9 has no time column; every mapped feature counts as timed, whether it has values or not.
+    assert document["coverage_note"].startswith("2 numeric features") and "; 1 other feature" in document["coverage_note"]
     require_passed(report)
     wrong = ingestion_report(*tables, *catalogs, expected=Expected(), clock=False)
     assert wrong.first()["status"] == "failed"

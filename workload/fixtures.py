@@ -1,6 +1,8 @@
 """Manufacturing-shaped tables derived from the given order tables.
 
-``k = l_partkey % 61`` is a station number: 0-51 are stations, the rest mean "not observed".
+A station number ``k`` is ``l_partkey % 61``, where the nine numbers beyond the last station count as
+the last nine stations once more: every line item is an observation. Orphans and gaps come from ids that are
+added, never from rows left out.
 """
 
 from __future__ import annotations
@@ -51,10 +53,10 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def observed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.col("l_partkey") % 61
     return (
         table(spark, sf_dir, "lineitem")
-        .withColumn("k", F.col("l_partkey") % 61)
-        .where(F.col("k") < STATIONS)
+        .withColumn("k", F.when(number < STATIONS, number).otherwise(number - (61 - STATIONS)))
         .withColumnRenamed("l_orderkey", "part_id")
     )
 
@@ -89,12 +91,33 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("part_id", "k", "j").agg(F.min("v").alias("v"), F.min("t1").alias("t1"), F.max("t2").alias("t2"))
 
 
-def parts_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parts(spark, sf_dir).where(F.col("part_id") % 50 != 0)
+def supplier_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids that no order has, one for each supplier."""
+    return table(spark, sf_dir, "supplier").select((-F.col("s_suppkey").cast("long")).alias("part_id"), "s_nationkey")
 
 
-def date_ids_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parts(spark, sf_dir).where(F.col("part_id") % 40 != 0).select("part_id")
+def customer_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Other ids that no order has, one for each customer."""
+    return table(spark, sf_dir, "customer").select((-1_000_000_000 - F.col("c_custkey").cast("long")).alias("part_id"))
+
+
+def parts_more(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts, and parts that were never seen anywhere."""
+    unseen = supplier_ids(spark, sf_dir).select("part_id", F.lit(0).cast("byte").alias("response"))
+    return parts(spark, sf_dir).unionByName(unseen)
+
+
+def date_ids_more(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of all parts, and ids that no part has."""
+    return parts(spark, sf_dir).select("part_id").unionByName(customer_ids(spark, sf_dir))
+
+
+def dirty_ids(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two id columns that differ in every way: ids on one side only, repeated ids, and missing ones."""
+    nothing = F.lit(None).cast("long").alias("part_id")
+    again = supplier_ids(spark, sf_dir).where("s_nationkey < 12").select("part_id")
+    left = parts_more(spark, sf_dir).select("part_id").unionAll(again).unionAll(table(spark, sf_dir, "nation").select(nothing))
+    return left, date_ids_more(spark, sf_dir).unionAll(table(spark, sf_dir, "region").select(nothing))
 
 
 def labels_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,6 +137,17 @@ def visits_bad_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def visits_more(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All visits, some with swapped bounds, and one visit of every id that no part has."""
+    strangers = customer_ids(spark, sf_dir).select(
+        "part_id",
+        F.lit("L0_S0").alias("station"),
+        F.lit(0.0).alias("first_observed_time"),
+        F.lit(1.0).alias("last_observed_time"),
+    )
+    return visits_bad_order(spark, sf_dir).unionByName(strangers)
+
+
 def keys_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("part_id"), F.col("l_linenumber").alias("line_no")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 HOURS = "epoch(l_shipdate) / 3600.0"
+K = "(l_partkey % 61 - CASE WHEN l_partkey % 61 > 51 THEN 9 ELSE 0 END)"
 
 
 def _station(k: str) -> str:
@@ -19,16 +20,16 @@ BLOCKS = {
                CAST(o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' AS TINYINT) AS response
         FROM orders""",
     "station_visits": f"""
-        SELECT l_orderkey AS part_id, {_station("(l_partkey % 61)")} AS station,
+        SELECT l_orderkey AS part_id, {_station(K)} AS station,
                MIN({HOURS}) AS first_observed_time, MAX({HOURS}) AS last_observed_time
-        FROM lineitem WHERE l_partkey % 61 < 52
+        FROM lineitem
         GROUP BY ALL""",
     "cells": f"""
-        SELECT l_orderkey AS part_id, l_partkey % 61 AS k, l_linenumber AS j,
+        SELECT l_orderkey AS part_id, {K} AS k, l_linenumber AS j,
                MIN(l_extendedprice) FILTER (l_discount <> 0) AS v,
                MIN({HOURS}) FILTER (l_linenumber <> 7 AND NOT (l_returnflag = 'A' AND l_linestatus = 'O')) AS t1,
                MAX({HOURS} + l_quantity) FILTER (l_linenumber <> 7) AS t2
-        FROM lineitem WHERE l_partkey % 61 < 52
+        FROM lineitem
         GROUP BY ALL""",
     "measurements": f"""
         SELECT part_id, {_station("k")} AS station, {_station("k")} || '_F' || (2 * j) AS feature_name,
@@ -40,8 +41,12 @@ BLOCKS = {
                MAX(GREATEST(t1, t2)) AS last_observed_time
         FROM cells WHERE t1 IS NOT NULL OR t2 IS NOT NULL
         GROUP BY part_id, k""",
-    "parts_partial": "SELECT * FROM parts WHERE part_id % 50 <> 0",
-    "date_ids_partial": "SELECT part_id FROM parts WHERE part_id % 40 <> 0",
+    "parts_more": "SELECT * FROM parts UNION ALL SELECT -s_suppkey, CAST(0 AS TINYINT) FROM supplier",
+    "date_ids_more": "SELECT part_id FROM parts UNION ALL SELECT -1000000000 - c_custkey FROM customer",
+    "left_ids": """
+        SELECT part_id FROM parts_more UNION ALL SELECT -s_suppkey FROM supplier WHERE s_nationkey < 12
+        UNION ALL SELECT NULL FROM nation""",
+    "right_ids": "SELECT part_id FROM date_ids_more UNION ALL SELECT NULL FROM region",
     "labels_raw": """
         SELECT part_id,
                CAST(CASE WHEN part_id % 97 = 0 THEN NULL WHEN part_id % 89 = 0 THEN 2 ELSE response END AS INT)
@@ -52,6 +57,9 @@ BLOCKS = {
                IF(part_id % 31 = 0, last_observed_time, first_observed_time) AS first_observed_time,
                IF(part_id % 31 = 0, first_observed_time, last_observed_time) AS last_observed_time
         FROM station_visits""",
+    "visits_more": """
+        SELECT * FROM visits_bad_order
+        UNION ALL SELECT -1000000000 - c_custkey, 'L0_S0', CAST(0 AS DOUBLE), CAST(1 AS DOUBLE) FROM customer""",
     "keys_raw": "SELECT l_orderkey AS part_id, l_linenumber AS line_no FROM lineitem",
     "numeric_columns": f"""
         SELECT CAST(1 + k * 7 + j - 1 AS INT) AS header_position, k, j,
@@ -129,20 +137,32 @@ FROM exposure WHERE parts_observed >= 1000 ORDER BY failure_rate DESC, station""
 PATHS = f"""SELECT COALESCE(path, 'No recorded visits') AS line_group, {COUNTS}
 FROM parts LEFT JOIN routes USING (part_id) GROUP BY 1"""
 
-ALIGNMENT = """SELECT COUNT(a.part_id) AS left_rows, COUNT(b.part_id) AS right_rows,
+ALIGNMENT = """SELECT
+       (SELECT COUNT(*) FROM left_ids) AS left_rows, (SELECT COUNT(*) FROM right_ids) AS right_rows,
        COUNT(*) FILTER (a.part_id = b.part_id) AS matched_ids,
        COUNT(*) FILTER (b.part_id IS NULL) AS left_only_ids,
        COUNT(*) FILTER (a.part_id IS NULL) AS right_only_ids,
-       CAST(0 AS BIGINT) AS duplicate_ids, CAST(0 AS BIGINT) AS null_ids,
-       COUNT(*) FILTER (a.part_id IS NULL OR b.part_id IS NULL) = 0 AS aligned
-FROM parts_partial a FULL JOIN date_ids_partial b ON a.part_id = b.part_id"""
+       COUNT(*) FILTER (COALESCE(a.n, 0) > 1 OR COALESCE(b.n, 0) > 1) AS duplicate_ids,
+       (SELECT COUNT(*) FROM left_ids WHERE part_id IS NULL)
+           + (SELECT COUNT(*) FROM right_ids WHERE part_id IS NULL) AS null_ids,
+       COUNT(*) FILTER (a.part_id IS NULL OR b.part_id IS NULL OR a.n > 1 OR b.n > 1) = 0
+           AND NOT EXISTS (SELECT 1 FROM left_ids WHERE part_id IS NULL)
+           AND NOT EXISTS (SELECT 1 FROM right_ids WHERE part_id IS NULL) AS aligned
+FROM (SELECT part_id, COUNT(*) AS n FROM left_ids WHERE part_id IS NOT NULL GROUP BY part_id) a
+FULL JOIN (SELECT part_id, COUNT(*) AS n FROM right_ids WHERE part_id IS NOT NULL GROUP BY part_id) b
+  ON a.part_id = b.part_id"""
+
+NOTE = """(SELECT COUNT(*) || ' numeric features have a matching date column and were loaded; '
+        || (SELECT COUNT(*) FROM numeric_columns WHERE (k, 2 * j + 1) NOT IN (SELECT (k, 2 * j + odd) FROM date_columns))
+        || ' other feature columns stay in the source file because no measurement time is known for them.'
+   FROM numeric_columns WHERE (k, 2 * j + 1) IN (SELECT (k, 2 * j + odd) FROM date_columns))"""
 
 REPORT = f"""SELECT section, name, value FROM (
   SELECT 'source' AS section, 'numeric_file' AS name, 'train_numeric.csv' AS value
-  UNION ALL SELECT 'source', 'numeric_columns', '366'
+  UNION ALL SELECT 'source', 'numeric_columns', CAST((SELECT COUNT(*) + 2 FROM numeric_columns) AS VARCHAR)
   UNION ALL SELECT 'source', 'numeric_header_sha256', {NUMERIC_SHA}
   UNION ALL SELECT 'source', 'date_file', 'train_date.csv'
-  UNION ALL SELECT 'source', 'date_columns', '625'
+  UNION ALL SELECT 'source', 'date_columns', CAST((SELECT COUNT(*) + 1 FROM date_columns) AS VARCHAR)
   UNION ALL SELECT 'source', 'date_header_sha256', {DATE_SHA}
   UNION ALL SELECT 'loaded', 'parts', CAST((SELECT COUNT(*) FROM parts) AS VARCHAR)
   UNION ALL SELECT 'loaded', 'failed_parts', CAST((SELECT SUM(response) FROM parts) AS VARCHAR)
@@ -158,13 +178,16 @@ REPORT = f"""SELECT section, name, value FROM (
   UNION ALL SELECT 'checks', 'failure_count', CAST((SELECT SUM(response) FROM parts) = 6879 AS VARCHAR)
   UNION ALL SELECT 'checks', 'station_count',
     CAST((SELECT COUNT(DISTINCT station) FROM wide_visits) = 52 AS VARCHAR)
-  UNION ALL SELECT 'checks', 'measurement_count_matches_parquet', 'true'
+  UNION ALL SELECT 'checks', 'measurement_count_matches_parquet',
+    CAST((SELECT COUNT(*) FROM measurements) = (SELECT COUNT(v) FROM cells WHERE j < 7) AS VARCHAR)
   UNION ALL SELECT 'checks', 'mapped_feature_count',
     CAST((SELECT COUNT(DISTINCT feature_name) FROM measurements) = 312 AS VARCHAR)
   UNION ALL SELECT 'checks', 'matched_times_present',
     CAST((SELECT COUNT(*) FROM measurements WHERE observed_time IS NULL) = 0 AS VARCHAR)
-  UNION ALL SELECT 'checks', 'numeric_header_shape', 'true'
-  UNION ALL SELECT 'checks', 'date_header_shape', 'true'
+  UNION ALL SELECT 'checks', 'numeric_header_shape',
+    CAST((SELECT COUNT(*) + 2 FROM numeric_columns) = 366 AS VARCHAR)
+  UNION ALL SELECT 'checks', 'date_header_shape', CAST((SELECT COUNT(*) + 1 FROM date_columns) = 625 AS VARCHAR)
+  UNION ALL SELECT 'note', 'coverage_note', {NOTE}
   UNION ALL SELECT 'status', 'status',
     CASE WHEN (SELECT COUNT(*) FROM parts) = 1183747 AND (SELECT SUM(response) FROM parts) = 6879
               AND (SELECT COUNT(DISTINCT station) FROM wide_visits) = 52
@@ -187,15 +210,15 @@ UNION ALL SELECT 'labels_raw', 'response_in_domain', COUNT(*) FROM labels_raw
 UNION ALL SELECT 'station_visits', 'part_id_not_null', COUNT(*) FROM station_visits WHERE part_id IS NULL
 UNION ALL SELECT 'station_visits', 'station_not_null', COUNT(*) FROM station_visits WHERE station IS NULL"""
 
-DIAGNOSTICS = """SELECT 'parts' AS "check", COUNT(*) AS "value" FROM parts_partial
-UNION ALL SELECT 'failures', COUNT(*) FROM parts_partial WHERE response = 1
-UNION ALL SELECT 'station_visits', COUNT(*) FROM visits_bad_order
-UNION ALL SELECT 'distinct_stations', COUNT(DISTINCT station) FROM visits_bad_order
-UNION ALL SELECT 'parts_without_visits', COUNT(*) FROM parts_partial
-  WHERE part_id NOT IN (SELECT part_id FROM visits_bad_order)
-UNION ALL SELECT 'orphan_visits', COUNT(*) FROM visits_bad_order
-  WHERE part_id NOT IN (SELECT part_id FROM parts_partial)
-UNION ALL SELECT 'invalid_time_order', COUNT(*) FROM visits_bad_order
+DIAGNOSTICS = """SELECT 'parts' AS "check", COUNT(*) AS "value" FROM parts_more
+UNION ALL SELECT 'failures', COUNT(*) FROM parts_more WHERE response = 1
+UNION ALL SELECT 'station_visits', COUNT(*) FROM visits_more
+UNION ALL SELECT 'distinct_stations', COUNT(DISTINCT station) FROM visits_more
+UNION ALL SELECT 'parts_without_visits', COUNT(*) FROM parts_more
+  WHERE part_id NOT IN (SELECT part_id FROM visits_more)
+UNION ALL SELECT 'orphan_visits', COUNT(*) FROM visits_more
+  WHERE part_id NOT IN (SELECT part_id FROM parts_more)
+UNION ALL SELECT 'invalid_time_order', COUNT(*) FROM visits_more
   WHERE first_observed_time > last_observed_time"""
 
 ORACLES = {
@@ -225,17 +248,17 @@ FROM parts LEFT JOIN wide_routes USING (part_id) GROUP BY 1""",
     "kept_target_within_line_group": f"""SELECT path AS line_group,
        IF(visited_target, 'L3_S32 observed', 'L3_S32 not observed') AS s32_group, {COUNTS}
 FROM wide_routes JOIN parts USING (part_id) WHERE l3 GROUP BY 1, 2""",
-    "kept_parts_without_visits": "SELECT * FROM parts WHERE part_id NOT IN (SELECT part_id FROM wide_visits)",
+    "kept_parts_without_visits": "SELECT * FROM parts_more WHERE part_id NOT IN (SELECT part_id FROM wide_visits)",
     "measurement_coverage": """SELECT station, COUNT(*) AS measurements,
        COUNT(DISTINCT feature_name) AS features, COUNT(DISTINCT part_id) AS parts
 FROM measurements GROUP BY station""",
     "line_measurement_coverage": """SELECT station[1:2] AS station_group, COUNT(*) AS measurements,
        COUNT(DISTINCT feature_name) AS features, COUNT(DISTINCT part_id) AS parts
 FROM measurements GROUP BY 1""",
-    "orphan_probe": """SELECT 'parts' AS parts_table,
+    "orphan_probe": """SELECT 'station_visits' AS visits_table,
        EXISTS (SELECT 1 FROM station_visits WHERE part_id NOT IN (SELECT part_id FROM parts)) AS has_orphans
-UNION ALL SELECT 'parts_partial',
-       EXISTS (SELECT 1 FROM station_visits WHERE part_id NOT IN (SELECT part_id FROM parts_partial))""",
+UNION ALL SELECT 'visits_more',
+       EXISTS (SELECT 1 FROM visits_more WHERE part_id NOT IN (SELECT part_id FROM parts))""",
     "station_table": STATION_TABLE,
     "top_stations": f"{STATION_TABLE} LIMIT 15",
     "production_paths": PATHS,
@@ -265,9 +288,9 @@ FROM measurements WHERE station = 'L3_S32' GROUP BY station""",
     "measurement_validation": """SELECT COUNT(*) AS measurements, COUNT(DISTINCT feature_name) AS features,
        COUNT(*) - COUNT(observed_time) AS missing_times FROM measurements""",
     "load_diagnostics": DIAGNOSTICS,
-    "orphan_visits": """SELECT part_id, COUNT(*) AS visits FROM station_visits
-WHERE part_id NOT IN (SELECT part_id FROM parts_partial) GROUP BY part_id""",
-    "parts_without_visits": "SELECT * FROM parts WHERE part_id NOT IN (SELECT part_id FROM station_visits)",
+    "orphan_visits": """SELECT part_id, COUNT(*) AS visits FROM visits_more
+WHERE part_id NOT IN (SELECT part_id FROM parts) GROUP BY part_id""",
+    "parts_without_visits": "SELECT * FROM parts_more WHERE part_id NOT IN (SELECT part_id FROM station_visits)",
     "invalid_time_order": "SELECT * FROM visits_bad_order WHERE first_observed_time > last_observed_time",
     "key_violations": KEYS,
     "source_alignment": ALIGNMENT,
@@ -278,8 +301,8 @@ UNION ALL SELECT 'dates', COUNT(*), COUNT(DISTINCT part_id), COUNT(*) - COUNT(DI
 UNION ALL SELECT 'keys_raw', COUNT(*), COUNT(DISTINCT part_id), COUNT(*) - COUNT(DISTINCT part_id), 0 FROM keys_raw""",
     "label_counts": "SELECT response, COUNT(*) AS rows FROM labels_raw GROUP BY response",
     "id_set_difference": """SELECT
-  (SELECT COUNT(*) FROM (SELECT part_id FROM parts_partial EXCEPT SELECT part_id FROM date_ids_partial) l) AS only_left,
-  (SELECT COUNT(*) FROM (SELECT part_id FROM date_ids_partial EXCEPT SELECT part_id FROM parts_partial) r) AS only_right""",
+  (SELECT COUNT(*) FROM (SELECT part_id FROM parts_more EXCEPT SELECT part_id FROM date_ids_more) l) AS only_left,
+  (SELECT COUNT(*) FROM (SELECT part_id FROM date_ids_more EXCEPT SELECT part_id FROM parts_more) r) AS only_right""",
     "column_coverage": f"""SELECT 'numeric' AS source, position, column_name, observed, rows, {RATE} AS coverage
 FROM numeric_coverage UNION ALL SELECT 'dates', position, column_name, observed, rows, {RATE} FROM date_coverage""",
     "coverage_distribution": f"""SELECT 'numeric' AS source, {DISTRIBUTION} FROM numeric_coverage
@@ -299,8 +322,11 @@ FROM exposure, (SELECT CAST(SUM(response) AS DOUBLE) / COUNT(*) AS r, COUNT(*) A
 NEEDS = {
     "measurements": ["cells"],
     "wide_visits": ["cells"],
-    "parts_partial": ["parts"],
-    "date_ids_partial": ["parts"],
+    "parts_more": ["parts"],
+    "date_ids_more": ["parts"],
+    "left_ids": ["parts_more"],
+    "right_ids": ["date_ids_more"],
+    "visits_more": ["visits_bad_order"],
     "labels_raw": ["parts"],
     "visits_bad_order": ["station_visits"],
     "numeric_coverage": ["numeric_columns", "cells"],

@@ -202,7 +202,7 @@ def kept_target_within_line_group(spark, sf):
 
 @query
 def kept_parts_without_visits(spark, sf):
-    return mw.parts_without_stations(*_sets(spark, sf))
+    return mw.parts_without_stations(fx.parts_more(spark, sf), _sets(spark, sf)[1])
 
 
 # --- measurements ------------------------------------------------------------------------------
@@ -239,25 +239,26 @@ def measurement_validation(spark, sf):
 
 @query
 def load_diagnostics(spark, sf):
-    return mw.load_diagnostics(fx.parts_partial(spark, sf), fx.visits_bad_order(spark, sf))
+    return mw.load_diagnostics(fx.parts_more(spark, sf), fx.visits_more(spark, sf))
 
 
 @query
 def orphan_visits(spark, sf):
-    return gates.unknown_parts(fx.station_visits(spark, sf), fx.parts_partial(spark, sf), counted="visits")
+    return gates.unknown_parts(fx.visits_more(spark, sf), fx.parts(spark, sf), counted="visits")
 
 
 @query
 def orphan_probe(spark, sf):
-    """Whether any visit refers to no part, for the complete and for the partial parts."""
-    visits = fx.station_visits(spark, sf)
-    found = [(name, mw.has_unknown(visits, parts(spark, sf))) for name, parts in (("parts", fx.parts), ("parts_partial", fx.parts_partial))]
-    return spark.createDataFrame(found, "parts_table string, has_orphans boolean")
+    """Whether any visit refers to no part: for the visits as they are, and with strangers among them."""
+    parts = fx.parts(spark, sf)
+    cases = (("station_visits", fx.station_visits), ("visits_more", fx.visits_more))
+    found = [(name, mw.has_unknown(visits(spark, sf), parts)) for name, visits in cases]
+    return spark.createDataFrame(found, "visits_table string, has_orphans boolean")
 
 
 @query
 def parts_without_visits(spark, sf):
-    return gates.parts_without(*_core(spark, sf))
+    return gates.parts_without(fx.parts_more(spark, sf), fx.station_visits(spark, sf))
 
 
 @query
@@ -281,7 +282,7 @@ def key_violations(spark, sf):
 
 @query
 def source_alignment(spark, sf):
-    return mw.source_alignment(fx.parts_partial(spark, sf), fx.date_ids_partial(spark, sf), "part_id")
+    return mw.source_alignment(*fx.dirty_ids(spark, sf), "part_id")
 
 
 @query
@@ -320,7 +321,7 @@ def label_counts(spark, sf):
 
 @query
 def id_set_difference(spark, sf):
-    return mw.id_set_difference(fx.parts_partial(spark, sf), fx.date_ids_partial(spark, sf), "part_id")
+    return mw.id_set_difference(fx.parts_more(spark, sf), fx.date_ids_more(spark, sf), "part_id")
 
 
 def _coverage(spark, sf) -> list[tuple[str, DataFrame]]:
