@@ -101,26 +101,27 @@ def _slots(key: str, blocks: int) -> tuple[Column, list[Column]]:
 
 
 def key_filter(keys: DataFrame, key: str, blocks: int) -> DataFrame:
-    """``block, words``: a Bloom filter of the non-null keys, one row of 1,024 numbers per block in use.
+    """``block, words``: a Bloom filter of the non-null keys, one row of 1,024 numbers per block.
 
     Keys cross one shuffle, by block; all further grouping stays inside the partitions. A key that
     repeats sets the same bits.
     """
     block, bits = _slots(key, blocks)
-    spread = keys.where(F.col(key).isNotNull()).select(block.alias("block"), F.array(*bits).alias("bits"))
+    ones = keys.where(F.col(key).isNotNull()).select(block.alias("block"), F.array(*bits).alias("bits"), F.lit(1).cast("long").alias("one"))
+    # One zero for every word of every block, so that the words of a block need no filling up.
+    every = F.sequence(F.lit(0), F.lit(BLOCK_BITS - 64), F.lit(64))
+    zeros = keys.sparkSession.range(blocks).select(
+        F.col("id").cast("int").alias("block"), every.alias("bits"), F.lit(0).cast("long").alias("one")
+    )
     by_word = (
-        spread.repartition("block")
-        .select("block", F.explode("bits").alias("bit"))
+        ones.unionAll(zeros)
+        .repartition("block")
+        .select("block", "one", F.explode("bits").alias("bit"))
         .groupBy("block", F.shiftright("bit", 6).alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, bit & 63)")).alias("value"))
-    )
-    filled = F.map_from_entries(F.collect_list(F.struct("word", "value")))
-    every = F.sequence(F.lit(0), F.lit(BLOCK_BITS // 64 - 1))
-    return (
-        by_word.groupBy("block")
-        .agg(filled.alias("filled"))
-        .select("block", F.transform(every, lambda w: F.coalesce(F.try_element_at("filled", w), F.lit(0).cast("long"))).alias("words"))
+        .agg(F.bit_or(F.expr("shiftleft(one, bit & 63)")).alias("value"))
     )
+    words = F.sort_array(F.collect_list(F.struct("word", "value")))["value"]
+    return by_word.groupBy("block").agg(words.alias("words"))
 
 
 def rows_outside(rows: DataFrame, filled: DataFrame, key: str, blocks: int) -> DataFrame:
