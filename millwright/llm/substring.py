@@ -114,22 +114,23 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def unit_digests(docs: DataFrame, min_words: int) -> DataFrame:
-    """(rank, d1, d2) for each different unit and short line of each row of ``docs`` (rank, text)."""
+    """(rank, key, d1, d2) for each different unit and short line of each row of ``docs`` (rank, key, text)."""
 
     def extract(batches):
         for batch in batches:
-            ranks, digests, counts = batch.column(0).to_numpy(zero_copy_only=False), [], []
-            for value in batch.column(1):
+            digests, counts = [], []
+            for value in batch.column(2):
                 body = value.as_py() or ""
                 parts = units(body)
                 own = {u[2] for u in parts} | {x[2] for x in short_lines(body, parts, min_words)}
                 digests.extend(own)
                 counts.append(len(own))
             pairs = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            columns = [np.repeat(ranks, counts), pairs[:, 0], pairs[:, 1]]
+            own_row = [np.repeat(batch.column(k).to_numpy(zero_copy_only=False), counts) for k in (0, 1)]
+            columns = [*own_row, pairs[:, 0], pairs[:, 1]]
             yield [pa.array(np.ascontiguousarray(c)) for c in columns]
 
-    return map_arrow(docs, extract, StructType([StructField(n, LongType()) for n in ("rank", "d1", "d2")]))
+    return map_arrow(docs, extract, StructType([StructField(n, LongType()) for n in ("rank", "key", "d1", "d2")]))
 
 
 def substring_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = 8) -> DataFrame:
@@ -143,15 +144,18 @@ def substring_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", min
     that does not repeat, runs of fewer than ``min_words`` repeated words stay, so that short sentences
     which recur by chance do not cost it anything.
     """
-    docs = without_columns(docs, "removed", "__rank", "__found")
+    docs = without_columns(docs, "removed", "__rank", "__key", "__found")
     names = docs.columns
     rank = F.coalesce(F.col(f"`{id}`").cast("bigint"), F.lit(NO_ID))
-    found = unit_digests(docs.select(rank.alias("rank"), F.col(f"`{text}`").alias("text")), min_words)
+    # Rows that share a rank, such as all without an id, share a list of hits only if their texts are equal, too.
+    key = F.xxhash64(F.col(f"`{text}`"))
+    found = written(unit_digests(docs.select(rank.alias("rank"), key.alias("key"), F.col(f"`{text}`").alias("text")), min_words), "substring-digests")
     first = found.groupBy("d1", "d2").agg(F.min("rank").alias("first"), F.max("rank").alias("last"))
     repeated = first.where("last > first").select("d1", "d2", "first")
-    hits = found.join(repeated, ["d1", "d2"]).where("rank > first").select("rank", "d1", "d2").distinct()
-    per_doc = written(hits.groupBy("rank").agg(F.collect_list(F.struct("d1", "d2")).alias("__found")), "substring-hits")
-    joined = docs.withColumn("__rank", rank).join(per_doc.withColumnRenamed("rank", "__rank"), "__rank", "left")
+    hits = found.join(repeated, ["d1", "d2"]).where("rank > first").select("rank", "key", "d1", "d2").distinct()
+    per_text = written(hits.groupBy("rank", "key").agg(F.collect_list(F.struct("d1", "d2")).alias("__found")), "substring-hits")
+    joined = docs.withColumn("__rank", rank).withColumn("__key", key)
+    joined = joined.join(per_text.toDF("__rank", "__key", "__found"), ["__rank", "__key"], "left")
     schema = StructType([*docs.schema.fields, StructField("removed", SPANS)])
     place = names.index(text)
     spans_arrow = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))

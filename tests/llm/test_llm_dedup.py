@@ -143,6 +143,20 @@ def test_substring_dedup_with_null_and_repeated_ids(spark):
     assert substring.substring_dedup(rows.limit(0)).count() == 0
 
 
+def test_substring_dedup_with_a_third_of_the_ids_null(spark):
+    """Rows without an id share a rank but no list of hits; equal to a scan that takes each row by itself."""
+    line = lambda k: f"line {k} holds quite enough words to be looked at on its own"
+    texts = [(i if i % 3 else None, f"{line(i % 40)}\n{line(1000 + i)}\n{line(i % 7)}") for i in range(120)]
+    first = {}
+    for i, text in texts:
+        for one in text.split("\n"):
+            first[one] = min(first.get(one, 10**9), 10**9 if i is None else i)
+    want = [(i or -1, "\n".join(x for x in dict.fromkeys(t.split("\n")) if first[x] == (10**9 if i is None else i))) for i, t in texts]
+    rows = spark.createDataFrame(texts, "doc_id bigint, text string")
+    found = [(r["doc_id"] or -1, "\n".join(x for x in r["text"].split("\n") if x)) for r in substring.substring_dedup(rows).collect()]
+    assert sorted(found) == sorted(want)
+
+
 def test_units_of_long_white_space():
     text = "a." + " " * 300_000 + "b" + "\t" * 300_000 + "c \n d"
     assert [text[a:b].split() for a, b, _, _ in substring.units(text)] == [["a."], ["b", "c"], ["d"]]
