@@ -161,6 +161,41 @@ def plain_lm(rows, held, mu):
     return out
 
 
+def test_language_id_of_scripts_without_spaces(spark):
+    """Japanese, Chinese and Thai sentences made of a few phrases each, held out by position."""
+    rng = random.Random(5)
+    phrases = {
+        "ja": ["今日は", "天気が", "とても", "良いです", "私は", "学校に", "行きました", "本を", "読んでいます", "東京の", "電車で"],
+        "zh": ["今天", "天气", "非常好", "我们", "学校里", "看书", "北京的", "火车上", "他们说", "没有问题", "这个城市"],
+        "th": ["วันนี้", "อากาศ", "ดีมาก", "ฉันไป", "โรงเรียน", "อ่านหนังสือ", "ที่กรุงเทพ", "โดยรถไฟ", "พวกเขา", "ไม่มีปัญหา"],
+    }
+    made = [(i, "".join(rng.choices(phrases[lang], k=12)), lang) for i in range(240) for lang in [("ja", "zh", "th")[i % 3]]]
+    rows = spark.createDataFrame(made, "doc_id bigint, text string, lang string")
+    found = langid.identify(rows.where("doc_id >= 160"), langid.fit_dictionaries(rows.where("doc_id < 160"))).collect()
+    assert all(r["lang_pred"] == r["lang"] for r in found) and len(found) == 80
+
+
+def test_any_number_of_languages(spark):
+    """600 labels, each with words of its own: every text gets its label, also in groups of other sizes."""
+    words = [["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(25)] for rng in map(random.Random, range(600))]
+    made = [(n * 2 + half, " ".join(words[n][half : 24 + half]), f"l{n:03}") for n in range(600) for half in (0, 1)]
+    rows = spark.createDataFrame(made, "doc_id bigint, text string, lang string")
+    known = langid.fit_dictionaries(rows.where("doc_id % 2 = 0"))
+    assert len(known) == 600
+    texts = [t for i, t, _ in made if i % 40 == 1]
+    few = langid.Identifier(known, at_once=7).choose(texts)
+    assert few == langid.Identifier(known, at_once=1000).choose(texts)
+    assert sum(f[0] == lang for f, lang in zip(few, [lang for i, _, lang in made if i % 40 == 1], strict=True)) >= len(texts) * 0.95
+
+
+def test_every_word_and_piece_counts():
+    choose = langid.Identifier({"en": b" the and of to in ", "de": " der die und für ".encode()})
+    assert choose("die " + "the " * 40)[0] == "en" and choose("the " + "die und " * 40)[0] == "de"
+    long = " und ".join(["der die für"] * 20_000)
+    assert sum(map(len, langid.pieces(long))) == len(long.encode()) + 2 and choose(long)[0] == "de"
+    assert langid.pieces("12 -- 3") == [] and b"".join(langid.pieces("हिन्दी 12 है")).decode() == " हिन्दी है "
+
+
 @pytest.mark.parametrize("size", [1 << 30, 2000])
 def test_scores_match_exact_counts_but_for_false_hits(spark, sf_dir, size):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
