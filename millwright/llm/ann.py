@@ -79,10 +79,13 @@ class Tree:
             stack += [(child, at[owner == c]) for c, child in enumerate(node.children) if (owner == c).any()]
         return out
 
-    def visits(self, query: np.ndarray, most: int) -> list[int]:
-        """The first ``most`` leaves best bin first: the queue always yields the nearest centre seen."""
-        queue, serial, out = [(0.0, 0, self.root)], 0, []
-        while queue and len(out) < most:
+    def visits(self, query: np.ndarray, most: int, sizes: dict[int, int] | None = None, least: int = 0) -> list[int]:
+        """The first ``most`` leaves best bin first: the queue always yields the nearest centre seen.
+
+        With ``sizes`` of leaves, as many more as hold ``least`` rows together, or all leaves.
+        """
+        queue, serial, out, held = [(0.0, 0, self.root)], 0, [], 0
+        while queue and (len(out) < most or (sizes is not None and held < least)):
             _, _, node = heapq.heappop(queue)
             while node.leaf < 0:
                 far = ((node.centers - query) ** 2).sum(axis=1)
@@ -93,6 +96,7 @@ class Tree:
                         heapq.heappush(queue, (float(far[c]), serial, child))
                 node = node.children[best]
             out.append(node.leaf)
+            held += sizes.get(node.leaf, 0) if sizes else 0
         return out
 
 
@@ -182,8 +186,8 @@ def nearest(
     ``score`` is the Euclidean distance of the original vectors in double precision, ties go to the
     smaller id. Rows whose id is null, and vectors that are null, zero or hold null or non-finite
     components take no part, nor do vectors of another length than most (of equally frequent lengths,
-    the longer). Rows that repeat both id and vector count once. A query with fewer candidates gets
-    them all. No vectors or no queries give an empty result.
+    the longer). Rows that repeat both id and vector count once. A query visits the calibrated number of
+    leaves, and more until they hold ``k`` candidates; one with fewer candidates gets them all. No vectors or no queries give an empty result.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -216,9 +220,14 @@ def nearest(
     queries = rows.where("is_query").select("vec_id", "embedding").distinct()
     most = calibrated_visits(tree, queries, indexed, k, target, calibration)
 
+    # An id counts in one leaf only, so k + 1 ids in the visited leaves are k candidates beside the query. At most one
+    # row a leaf, and the tree has no more leaves than sampled rows.
+    once = indexed.groupBy("vec_id").agg(F.min("leaf").alias("leaf"))
+    sizes = {r["leaf"]: r["count"] for r in once.groupBy("leaf").count().collect()}
+
     def walk(frames):
         for frame in frames:
-            visits = [tree.visits(np.asarray(v, np.float64), most) for v in frame["embedding"]]
+            visits = [tree.visits(np.asarray(v, np.float64), most, sizes, k + 1) for v in frame["embedding"]]
             yield frame.assign(leaf=visits).explode("leaf").astype({"leaf": "int64"})
 
     # Both sides of a leaf are dealt out in chunks, and every chunk of one meets every chunk of the other.

@@ -52,6 +52,19 @@ def test_nothing_after_unclosed_elements_is_dropped():
     assert parse("<title-bar>kept</title-bar><script >x</script foo>y<svg") == ["kept", "y"]
 
 
+def test_every_query_has_all_the_neighbours_there_are(spark):
+    """Visits go on past the calibrated number until the leaves hold k ids beside the query's own."""
+    rng = np.random.default_rng(3)
+    points = np.concatenate([rng.normal(size=(600, 4)), 50 + 40 * rng.normal(size=(12, 4))])
+    made = [(i, [float(x) for x in p]) for i, p in enumerate(points)] + [(600, [900.0, 1.0, 1.0, float(k)]) for k in range(20)]
+    rows = spark.createDataFrame(made, "vec_id bigint, embedding array<double>")
+    found = ann.nearest(rows, F.expr("vec_id >= 600 or vec_id % 50 = 0"), k=10, target=0.01).groupBy("query_id").count().collect()
+    assert len(found) == 24 and all(r["count"] == 10 for r in found)
+    tree = ann.Tree(points)
+    assert len(tree.visits(points[0], 1, {leaf: 1 for leaf in range(tree.leaves)}, 5)) == min(5, tree.leaves)
+    assert len(tree.visits(points[0], 1, {}, 5)) == tree.leaves
+
+
 def test_hard_markup_takes_linear_time():
     start = time.monotonic()
     for piece in ('<p "', "<p '", '<p a="', "<p a='x", "<svg>", "<svg/>", "<object>", "<noscript>", "<noscript> <b>", "</svg", "<select><!--", "<script", "</script ", '<div class="'):
