@@ -1,9 +1,10 @@
 """Quality rules with robust outlier rejection, in DataFrame functions only.
 
 Statistics of every text become a short vector. Per language and source a minimum-covariance-
-determinant estimate is found by concentration steps: from medians, each step keeps the rows nearest
-by Mahalanobis distance and fits mean and covariance to them. Distances are ranked in fine fixed
-bins, so a step is two combinable aggregates however many rows share a group; nothing is collected.
+determinant estimate is sought from four starts around the medians: each concentration step keeps the rows nearest
+by Mahalanobis distance and fits mean and covariance to them, until the determinant falls no more, and
+the fit of least determinant counts. Distances are ranked in fine fixed bins, so a step is two
+combinable aggregates however many rows share a group; nothing is collected.
 """
 
 from __future__ import annotations
@@ -24,8 +25,13 @@ WINDOW = 5
 
 VECTOR = ["v0", "v1", "v2", "v3"]
 SCALE = [0.5, 0.05, 0.25, 0.1]  # the least standard deviation of each statistic that counts as spread
+MEAN = ["m0", "m1", "m2", "m3"]
+PAIRS = [(i, j) for i in range(4) for j in range(i + 1)]
+ROOT = [f"l{i}{j}" for i, j in PAIRS]
+FIT = ["k1", "k2", "start"]
 KEPT_SHARE = 0.75
-STEPS = 4
+LEAST_FALL = 1e-4  # of the logarithm of the determinant
+NORMAL_QUARTILES = 1.349  # between the quartiles of a normal distribution of unit spread
 CUT = 30.0
 MIN_GROUP = 20  # five rows for each statistic
 MIN_LANGUAGE = 5  # the fewest rows that span four dimensions
@@ -111,48 +117,115 @@ def with_root(fits: DataFrame) -> DataFrame:
     return fits
 
 
+def sent(df: DataFrame) -> DataFrame:
+    """``df``, a row per fit, for a join with rows: up to ``MOST_SENT`` fits go to every task, so no group of rows is gathered in one."""
+    return F.broadcast(df) if df.count() <= MOST_SENT else df
+
+
 def nearest_share(counts: DataFrame, share: float) -> DataFrame:
-    """The lowest bin of each group below or at which ``share`` of its rows lie, from (k1, k2, bin, n)."""
-    up_to = Window.partitionBy("k1", "k2").orderBy("bin")
-    whole = Window.partitionBy("k1", "k2")
-    ranked = counts.withColumn("below", F.sum("n").over(up_to)).withColumn("total", F.sum("n").over(whole))
+    """The lowest bin of each fit below or at which ``share`` of its rows lie, from (k1, k2, start, bin, n)."""
+    whole = Window.partitionBy(*FIT)
+    ranked = counts.withColumn("below", F.sum("n").over(whole.orderBy("bin"))).withColumn("total", F.sum("n").over(whole))
     enough = F.col("below") >= F.ceil(F.col("total") * share)
-    return ranked.where(enough).groupBy("k1", "k2").agg(F.min("bin").alias("limit"), F.min("total").alias("total"))
+    return ranked.where(enough).groupBy(*FIT).agg(F.min("bin").alias("limit"))
 
 
-def initial_fits(rows: DataFrame) -> DataFrame:
-    """Medians, to a bin, with the scale floor as spread: the start of the concentration steps."""
+def centres(rows: DataFrame) -> DataFrame:
+    """Per group its rows, and of each statistic the median m and a spread w from the quartiles, to a bin."""
     bins = F.array(*[F.floor(F.col(v) / s * BINS_PER_UNIT) for v, s in zip(VECTOR, SCALE, strict=True)])
     counts = rows.select("k1", "k2", F.posexplode(bins).alias("dim", "bin")).groupBy("k1", "k2", "dim", "bin").agg(F.count("*").alias("n"))
     part = Window.partitionBy("k1", "k2", "dim")
     ranked = counts.withColumn("below", F.sum("n").over(part.orderBy("bin"))).withColumn("total", F.sum("n").over(part))
-    middle = ranked.where(2 * F.col("below") >= F.col("total")).groupBy("k1", "k2", "dim").agg(F.min("bin").alias("bin"))
-    fits = middle.groupBy("k1", "k2").agg(
-        *[F.max(F.when(F.col("dim") == i, (F.col("bin") + 0.5) / BINS_PER_UNIT * s)).alias(f"m{i}") for i, s in enumerate(SCALE)]
-    )
+    quartiles = [F.min(F.when(4 * F.col("below") >= q * F.col("total"), F.col("bin"))).alias(f"q{q}") for q in (1, 2, 3)]
+    ranks = ranked.groupBy("k1", "k2", "dim").agg(F.min("total").alias("total"), *quartiles)
+    found = []
     for i, s in enumerate(SCALE):
-        for j in range(i + 1):
-            fits = fits.withColumn(f"l{i}{j}", F.lit(s if i == j else 0.0))
-    return fits
+        own = F.col("dim") == i
+        spread = F.greatest((F.col("q3") - F.col("q1")) / (NORMAL_QUARTILES * BINS_PER_UNIT), F.lit(1.0)) * s
+        found += [F.max(F.when(own, (F.col("q2") + 0.5) / BINS_PER_UNIT * s)).alias(f"m{i}"), F.max(F.when(own, spread)).alias(f"w{i}")]
+    return ranks.groupBy("k1", "k2").agg(F.min("total").alias("total"), *found)
+
+
+def starting_fits(rows: DataFrame, centre: DataFrame) -> DataFrame:
+    """Four fits of each group in ``centre``, all around its medians.
+
+    Their spreads are the scale floor, the quartiles, the covariance of the hyperbolic tangents of the
+    standardised statistics, and that of their spatial signs. None of them follows far rows.
+    """
+    near = rows.join(sent(centre), ["k1", "k2"])
+    z = [(F.col(v) - F.col(f"m{i}")) / F.col(f"w{i}") for i, v in enumerate(VECTOR)]
+    length = F.greatest(reduce(lambda a, b: a + b, [x * x for x in z]), F.lit(1e-12))
+    near = near.select("k1", "k2", *[x.alias(f"z{i}") for i, x in enumerate(z)], length.alias("length"))
+    sums = []
+    for i, j in PAIRS:
+        sums.append(F.covar_pop(F.tanh(f"z{i}"), F.tanh(f"z{j}")).alias(f"t{i}{j}"))
+        sums.append(F.avg(F.col(f"z{i}") * F.col(f"z{j}") / F.col("length")).alias(f"u{i}{j}"))
+    shapes = centre.join(near.groupBy("k1", "k2").agg(*sums), ["k1", "k2"])
+
+    def shape(start: int, i: int, j: int) -> Column:
+        floor = F.lit(SCALE[i] ** 2 if i == j else 0.0)
+        sides = F.col(f"w{i}") * F.col(f"w{j}")
+        return [floor, sides if i == j else F.lit(0.0), F.col(f"t{i}{j}") * sides + floor, F.col(f"u{i}{j}") * sides + floor][start]
+
+    def fit(start: int) -> Column:
+        return F.struct(F.lit(start).alias("start"), *[shape(start, i, j).alias(f"s{i}{j}") for i, j in PAIRS])
+
+    each = shapes.withColumn("fit", F.explode(F.array(*[fit(start) for start in range(4)])))
+    return with_root(each.select("k1", "k2", "total", *MEAN, "fit.*")).select(*FIT, "total", *MEAN, *ROOT)
 
 
 def concentrate(rows: DataFrame, fits: DataFrame) -> DataFrame:
-    """One concentration step: refit each group to the share of its rows nearest to its present fit.
+    """One concentration step: every fit again, from the share of its group's rows nearest to it.
+
+    ``volume`` is the logarithm of the determinant of the new covariance.
+    """
+    near = rows.join(sent(fits), ["k1", "k2"]).withColumn("bin", F.floor(F.log(distance() + 1e-6) * BINS_PER_UNIT).cast("int"))
+    near = near.select(*FIT, "bin", "total", *VECTOR)
+    limits = nearest_share(near.groupBy(*FIT, "bin").agg(F.count("*").alias("n")), KEPT_SHARE)
+    inside = near.join(sent(limits), FIT).where("bin <= limit")
+    sums = [F.avg(v).alias(m) for v, m in zip(VECTOR, MEAN, strict=True)]
+    sums += [(F.covar_pop(VECTOR[i], VECTOR[j]) + (SCALE[i] ** 2 if i == j else 0.0)).alias(f"s{i}{j}") for i, j in PAIRS]
+    refit = with_root(inside.groupBy(*FIT).agg(F.min("total").alias("total"), *sums))
+    volume = reduce(lambda a, b: a + b, [2 * F.log(f"l{i}{i}") for i in range(len(VECTOR))])
+    return refit.select(*FIT, "total", *MEAN, *ROOT, volume.alias("volume"))
+
+
+def least_determinants(rows: DataFrame, centre: DataFrame) -> DataFrame:
+    """(k1, k2, total, mean, root, volume): of each group in ``centre`` the fit of least determinant.
+
+    Every start is concentrated until a step lowers its determinant no more; of starts that have met,
+    one goes on. Each step but a fit's last lowers the determinant by ``LEAST_FALL`` at least, and the
+    scale floor bounds it from below, so the steps end.
+    """
+    columns = [*FIT, "total", *MEAN, *ROOT, "volume"]
+    fits = written(concentrate(rows, written(starting_fits(rows, centre), "quality-starts")), "quality-fits")
+    settled = fits.limit(0)
+    while not fits.isEmpty():
+        same = Window.partitionBy("k1", "k2", *[F.round(c, 9) for c in (*MEAN, "volume")]).orderBy("start")
+        going = written(fits.withColumn("place", F.row_number().over(same)).where("place = 1").select(*columns), "quality-going")
+        lower = concentrate(rows, going).withColumnRenamed("volume", "now")
+        old = going.select(*FIT, "volume")
+        step = written(lower.join(old, FIT), "quality-step")
+        falls = F.col("now") < F.col("volume") - LEAST_FALL
+        settled = settled.unionByName(going.join(step.where(~falls).select(*FIT), FIT, "left_semi"))
+        fits = step.where(falls).drop("volume").withColumnRenamed("now", "volume").select(*columns)
+    best = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("volume", "start"))
+    return written(settled.withColumn("place", best).where("place = 1").drop("place", "start"), "quality-least")
+
+
+def read_groups(centre: DataFrame) -> DataFrame:
+    """The rows of ``centre`` by whose fits some row is judged.
 
-    Fits and limits have a row per group. Up to ``MOST_SENT`` of them go to every task, so no group
-    of rows is gathered in one.
+    These are groups of ``MIN_GROUP`` rows, languages of ``MIN_LANGUAGE`` rows with a smaller group, and
+    all rows together if a smaller group has no such language.
     """
-    send = F.broadcast if fits.count() <= MOST_SENT else (lambda df: df)
-    near = rows.join(send(fits), ["k1", "k2"]).withColumn("bin", F.floor(F.log(distance() + 1e-6) * BINS_PER_UNIT).cast("int"))
-    near = near.select("k1", "k2", "bin", *VECTOR)
-    limits = nearest_share(near.groupBy("k1", "k2", "bin").agg(F.count("*").alias("n")), KEPT_SHARE)
-    inside = near.join(send(limits), ["k1", "k2"]).where("bin <= limit")
-    sums = [F.avg(v).alias(f"m{i}") for i, v in enumerate(VECTOR)]
-    for i, a in enumerate(VECTOR):
-        for j, b in enumerate(VECTOR[: i + 1]):
-            sums.append((F.covar_pop(a, b) + (SCALE[i] ** 2 if i == j else 0.0)).alias(f"s{i}{j}"))
-    refit = inside.groupBy("k1", "k2").agg(F.min("total").alias("total"), *sums)
-    return with_root(refit).drop(*[f"s{i}{j}" for i in range(len(VECTOR)) for j in range(i + 1)])
+    own = (F.col("k1") != "*") & (F.col("k2") != "*")
+    few = centre.where(own & (F.col("total") < MIN_GROUP)).select("k1").distinct()
+    spoken = centre.where((F.col("k1") != "*") & (F.col("k2") == "*") & (F.col("total") >= MIN_LANGUAGE)).join(few, "k1", "left_semi")
+    found = centre.where(own & (F.col("total") >= MIN_GROUP)).unionByName(spoken.select(*centre.columns))
+    if few.join(spoken, "k1", "left_anti").isEmpty():
+        return found
+    return found.unionByName(centre.where(F.col("k1") == "*"))
 
 
 def quality_rules(
@@ -161,7 +234,6 @@ def quality_rules(
     language: str = "lang",
     source: str = "source",
     cut: float = CUT,
-    steps: int = STEPS,
     carry_text: bool = True,
     by_language: bool = False,
 ) -> DataFrame:
@@ -186,17 +258,15 @@ def quality_rules(
     every = F.lit("*").alias("k2")
     levels = [F.struct("k1", "k2"), *([F.struct("k1", every)] if by_language else []), F.struct(F.lit("*").alias("k1"), every)]
     rows = passed.select(F.explode(F.array(*levels)).alias("k"), *VECTOR).select("k.k1", "k.k2", *VECTOR)
-    fits = written(initial_fits(rows), "quality-fits")
-    for _ in range(steps):
-        fits = written(concentrate(rows, fits), "quality-fits")
-    groups = fits.where(F.col("k2") != "*")
+    centre = written(centres(rows), "quality-centres")
+    fits = least_determinants(rows, written(read_groups(centre), "quality-groups")).drop("volume")
     pooled = fits.where(F.col("k1") == "*")
     shared = {c: f"all_{c}" for c in fits.columns if c not in ("k1", "k2", "total")}
-    own = groups.where(F.col("total") >= MIN_GROUP)
+    own = fits.where(F.col("k2") != "*")
     if by_language:
         # Settled per group, so that the rows meet one fit by language and source and never by language alone.
-        spoken = fits.where((F.col("k2") == "*") & (F.col("k1") != "*") & (F.col("total") >= MIN_LANGUAGE)).drop("k2", "total")
-        few = groups.where(F.col("total") < MIN_GROUP).select("k1", "k2", "total")
+        spoken = fits.where((F.col("k2") == "*") & (F.col("k1") != "*")).drop("k2", "total")
+        few = centre.where((F.col("k2") != "*") & (F.col("total") < MIN_GROUP)).select("k1", "k2", "total")
         own = own.unionByName(few.join(spoken, "k1"))
     pooled = pooled.select(F.lit(False).alias("base_failed"), *[F.col(c).alias(a) for c, a in shared.items()])
     judged = table.join(own.drop("total"), ["k1", "k2"], "left").join(F.broadcast(pooled), "base_failed", "left")

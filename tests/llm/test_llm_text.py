@@ -44,18 +44,72 @@ def test_base_statistics_match_plain_python(spark):
     assert {r["doc_id"]: tuple(r[n] for n in names) for r in found.collect()} == {i: plain_base(t) for i, t in enumerate(texts)}
 
 
-def plain_fit(rows):
-    """The estimate of one group by the same rules in numpy."""
+def plain_step(rows, mean, cov, exact=False):
+    """One concentration step in numpy, by bins of the distance or by the distance itself."""
+    d = np.einsum("ij,jk,ik->i", rows - mean, np.linalg.inv(cov), rows - mean)
+    b = d if exact else np.floor(np.log(d + 1e-6) * quality.BINS_PER_UNIT)
+    near = rows[b <= np.sort(b)[math.ceil(quality.KEPT_SHARE * len(b)) - 1]]
+    return near.mean(axis=0), np.cov(near.T, bias=True) + np.diag(np.array(quality.SCALE) ** 2)
+
+
+def volume(cov):
+    return np.linalg.slogdet(cov)[1]
+
+
+def plain_fits(rows):
+    """The fits that each start of a group ends in, by the same rules in numpy."""
     scale = np.array(quality.SCALE)
-    bins = np.floor(rows / scale * quality.BINS_PER_UNIT)
-    mean = np.array([(np.sort(c)[max(0, math.ceil(len(c) / 2) - 1)] + 0.5) for c in bins.T]) / quality.BINS_PER_UNIT * scale
-    cov = np.diag(scale**2)
-    for _ in range(quality.STEPS):
-        d = np.einsum("ij,jk,ik->i", rows - mean, np.linalg.inv(cov), rows - mean)
-        b = np.floor(np.log(d + 1e-6) * quality.BINS_PER_UNIT)
-        near = rows[b <= np.sort(b)[math.ceil(quality.KEPT_SHARE * len(b)) - 1]]
-        mean, cov = near.mean(axis=0), np.cov(near.T, bias=True) + np.diag(scale**2)
-    return mean, cov
+    bins = np.sort(np.floor(rows / scale * quality.BINS_PER_UNIT), axis=0)
+    q1, q2, q3 = (bins[max(0, math.ceil(len(bins) * q / 4) - 1)] for q in (1, 2, 3))
+    middle, wide = (q2 + 0.5) / quality.BINS_PER_UNIT * scale, np.maximum((q3 - q1) / 1.349 / quality.BINS_PER_UNIT, 1) * scale
+    z = (rows - middle) / wide
+    signs = z / np.sqrt(np.maximum((z**2).sum(axis=1), 1e-12))[:, None]
+    floor, sides = np.diag(scale**2), np.outer(wide, wide)
+    out = []
+    for cov in (floor, np.diag(wide**2), np.cov(np.tanh(z).T, bias=True) * sides + floor, signs.T @ signs / len(z) * sides + floor):
+        mean, cov = plain_step(rows, middle, cov)
+        while True:
+            after = plain_step(rows, mean, cov)
+            if volume(after[1]) >= volume(cov) - quality.LEAST_FALL:
+                break
+            mean, cov = after
+        out.append((mean, cov))
+    return out
+
+
+def plain_fit(rows):
+    return min(plain_fits(rows), key=lambda fit: volume(fit[1]))
+
+
+def ridge(seed):
+    """Rows along a ridge, and one in five in a second cluster beside it near the medians."""
+    rng = np.random.default_rng(seed)
+    along = rng.normal(0, 1, (800, 1))
+    main = along * [9.0, 0.9, 4.0, 0.0] + rng.normal(0, 0.02, (800, 4))
+    beside = rng.normal(0, 1, (200, 4)) * [0.1, 0.01, 0.1, 0.1] + [2.0, -0.6, 1.5, 0.4]
+    return np.concatenate([main, beside])
+
+
+def test_least_determinant_of_several_starts_and_of_random_ones(spark):
+    groups = {f"={seed}": ridge(seed) for seed in range(3)}
+    rows = spark.createDataFrame([(k, "=s", *map(float, r)) for k, own in groups.items() for r in own], ["k1", "k2", *quality.VECTOR])
+    found = quality.least_determinants(rows, quality.centres(rows)).collect()
+    assert len(found) == len(groups)
+    rng = np.random.default_rng(0)
+    lower_than_first = 0
+    for r in found:
+        own = groups[r["k1"]]
+        ends = [volume(cov) for _, cov in plain_fits(own)]
+        assert r["volume"] == pytest.approx(min(ends), abs=1e-6) and r["total"] == len(own)
+        lower_than_first += ends[0] > min(ends) + 0.1
+        # Random starts of five rows, concentrated on exact shares: none ends lower but for the width of a bin.
+        for _ in range(100):
+            few = own[rng.choice(len(own), 5, replace=False)]
+            mean, cov = few.mean(axis=0), np.cov(few.T, bias=True) + np.diag(np.array(quality.SCALE) ** 2)
+            for _ in range(30):
+                mean, cov = plain_step(own, mean, cov, exact=True)
+            assert r["volume"] <= volume(cov) + 0.1
+    assert lower_than_first
 
 
 def test_outliers_match_an_estimate_in_numpy(spark):
