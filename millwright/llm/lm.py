@@ -1,33 +1,40 @@
 """Language-model scoring with a log-frequency Bloom filter of quantised bigram counts.
 
-Counts are combined in the tasks and then per segment of the hash space. A bigram of count ``c`` is put
-into its segment's filter once for each level up to ``1 + floor(log2 c)``; a count is read back by
-probing level after level until one is missing, so it never comes out below the true level. Unigram
-counts are exact, in sorted arrays beside the filters. Segments go to the workers as broadcasts of a
-bounded size, in parts that the driver holds one at a time; a model that is larger than one pass may
-hold takes several passes over the texts.
+Counts are combined in the tasks and then per segment of the hash space, of which there are as many
+as the training text needs. A bigram of count ``c`` is put into its segment's filter once for each
+level up to ``1 + floor(log2 c)``; a count is read back by probing level after level until one is
+missing, so it never comes out below the true level. Unigram counts are exact, in sorted arrays beside
+the filters. A model of a bounded size is broadcast, in parts that the driver holds one at a time. For
+a larger one the keys travel instead: texts are gathered in blocks, each block sends its different keys
+to their segments, where the same filters are probed, and reads the answers back. Either way the
+number of passes over the texts does not depend on the size of the model.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, DoubleType, LongType, StructField, StructType
 
 from .shared import map_arrow, written
 
-SEGMENT_BITS = 12
+LEAST_SEGMENT_BITS = 12
+MOST_SEGMENT_BITS = 30
+SEGMENT_TEXT = 4 << 20  # bytes of training text for each segment
 BITS_PER_ENTRY = 8
 PROBES = 5
 MU = 2000.0
 BROADCAST_BYTES = 128 << 20
 PART_BYTES = 32 << 20
 SLICE_BYTES = 1 << 20
+BLOCK_BYTES = 8 << 20  # of text that asks for its keys together
 HELD_ROWS = 1 << 21
 END_WORD = b" "  # no word holds a space
 
@@ -144,15 +151,23 @@ def segment_filter(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, int]:
 
 
 def build_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
-    """One row per segment from rows (segment, order, hash, count) sorted by segment."""
+    """One row per segment from rows (segment, order, hash, count) sorted by segment.
+
+    Counts of a segment are combined whenever many are held, so a frequent word that every task counted
+    takes no more room than its own.
+    """
     held: list[list[np.ndarray]] = []
-    current = None
+    current, size, limit = None, 0, HELD_ROWS
 
-    def out():
+    def by_order():
         order, keys, counts = (np.concatenate([h[i] for h in held]) for i in range(3))
         keys = keys.view(np.uint64)
-        words, times = combined(keys[order == 1], counts[order == 1]) if (order == 1).any() else (keys[:0], counts[:0])
-        pairs, pair_times = combined(keys[order == 2], counts[order == 2]) if (order == 2).any() else (keys[:0], counts[:0])
+        for at in (1, 2):
+            own = order == at
+            yield combined(keys[own], counts[own]) if own.any() else (keys[:0], counts[:0])
+
+    def out():
+        (words, times), (pairs, pair_times) = by_order()
         data, bits = segment_filter(pairs, pair_times)
         row = (current, words.tobytes(), times.tobytes(), data, bits, len(words), int(times.sum()))
         kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
@@ -166,36 +181,53 @@ def build_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]
         for a, b in zip(cuts, cuts[1:], strict=False):
             if held and segment[a] != current:
                 yield out()
-                held = []
+                held, size, limit = [], 0, HELD_ROWS
             current = int(segment[a])
             held.append([x[a:b].copy() for x in rest])
+            size += b - a
+            if size > limit:
+                held = [[np.full(len(k), at, np.int64), k.view(np.int64), n] for at, (k, n) in enumerate(by_order(), 1)]
+                size = sum(len(h[0]) for h in held)
+                limit = max(HELD_ROWS, 2 * size)
     if held:
         yield out()
 
 
-def fit_model(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The model learned from all rows of ``docs``: one written row per segment of the hash space."""
+def segment_bits(docs: DataFrame, text: str = "text") -> int:
+    """How many leading bits of a hash name its segment: a segment for every few MB of text."""
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")) + 1)).first()[0] or 0
+    return min(MOST_SEGMENT_BITS, max(LEAST_SEGMENT_BITS, (size // SEGMENT_TEXT).bit_length()))
+
+
+def fit_model(docs: DataFrame, bits: int, text: str = "text") -> DataFrame:
+    """The model learned from all rows of ``docs``: one written row per segment, of ``bits`` bits, of the hash space."""
     counts = map_arrow(docs.select(F.col(f"`{text}`")), partial_counts, StructType([StructField(n, LongType()) for n in ("order", "hash", "n")]))
-    rows = counts.select(F.shiftrightunsigned("hash", 64 - SEGMENT_BITS).alias("segment"), "order", "hash", "n")
+    rows = counts.select(F.shiftrightunsigned("hash", 64 - bits).alias("segment"), "order", "hash", "n")
     spread = rows.repartition("segment").sortWithinPartitions("segment")
     return written(map_arrow(spread, build_segments, SEGMENT), "lm-model")
 
 
 class Shard:
-    """Consecutive segments, ready for lookup; segments are runs of the hash space, so words stay sorted."""
+    """Segments between two, ready for lookup; segments are runs of the hash space, so words stay sorted."""
 
-    def __init__(self, rows: list):
+    def __init__(self, rows: list, low: int, high: int, segment_bits: int):
         words, counts, field = bytearray(), bytearray(), bytearray()
-        self.start = np.zeros(1 << SEGMENT_BITS, np.int64)
-        self.bits = np.zeros(1 << SEGMENT_BITS, np.int64)
+        self.low, self.high, self.shift = low, high, np.uint64(64 - segment_bits)
+        self.start = np.zeros(high - low + 1, np.int64)
+        self.bits = np.zeros(high - low + 1, np.int64)
         for r in sorted(rows, key=lambda r: r["segment"]):
-            self.start[r["segment"]], self.bits[r["segment"]] = len(field), r["bits"]
+            self.start[r["segment"] - low], self.bits[r["segment"] - low] = len(field), r["bits"]
             words += r["words"]
             counts += r["counts"]
             field += r["filter"]
         self.words, self.counts = np.frombuffer(words, np.uint64), np.frombuffer(counts, np.int64)
         self.field = np.frombuffer(field, np.uint8)
 
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        """Places of the keys whose segments are here."""
+        segment = keys >> self.shift
+        return np.flatnonzero((segment >= self.low) & (segment <= self.high))
+
     def word_counts(self, hashes: np.ndarray) -> np.ndarray:
         """Exact training counts; 0 for words that are not in the shard."""
         if not len(self.words):
@@ -206,7 +238,7 @@ class Shard:
     def pair_levels(self, keys: np.ndarray) -> np.ndarray:
         """Levels of bigrams: probes level after level until one is missing."""
         out = np.zeros(len(keys), np.uint8)
-        segment = (keys >> np.uint64(64 - SEGMENT_BITS)).astype(np.int64)
+        segment = (keys >> self.shift).astype(np.int64) - self.low
         alive = np.flatnonzero(self.bits[segment] > 0)
         level = 0
         while alive.size:
@@ -220,23 +252,25 @@ class Shard:
         return out
 
 
-def looked_up(parts: list[tuple[tuple[int, int], Shard]], hashes: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def looked_up(parts: list[Shard], hashes: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word counts and bigram levels from the parts that hold their segments, 0 where none does."""
     count, level = np.zeros(len(hashes), np.int64), np.zeros(len(pairs), np.uint8)
-    shift = np.uint64(64 - SEGMENT_BITS)
-    for (low, high), shard in parts:
-        at = np.flatnonzero((hashes >> shift >= low) & (hashes >> shift <= high))
+    for shard in parts:
+        at = shard.holds(hashes)
         count[at] = shard.word_counts(hashes[at])
-        at = np.flatnonzero((pairs >> shift >= low) & (pairs >> shift <= high))
+        at = shard.holds(pairs)
         level[at] = shard.pair_levels(pairs[at])
     return count, level
 
 
+def model_bytes() -> Column:
+    return F.length("words") + F.length("counts") + F.length("filter")
+
+
 def shards(model: DataFrame, most: int) -> list[tuple[int, int]]:
-    """Segment ranges whose arrays fit into ``most`` bytes each; a single segment is never split."""
-    size = F.length("words") + F.length("counts") + F.length("filter")
+    """Segment ranges of a model to be broadcast whose arrays fit into ``most`` bytes each; a segment is never split."""
     out, total = [], 0
-    for segment, own in sorted(tuple(r) for r in model.select("segment", size).collect()):
+    for segment, own in sorted(tuple(r) for r in model.select("segment", model_bytes()).collect()):
         if not out or total + own > most:
             out.append((segment, segment))
             total = 0
@@ -245,6 +279,112 @@ def shards(model: DataFrame, most: int) -> list[tuple[int, int]]:
     return out
 
 
+ASKED = StructType([StructField(n, LongType()) for n in ("block", "order", "hash")])
+ANSWER = StructType([*ASKED.fields, StructField("value", LongType())])
+
+
+def in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
+    """Rows (..., text) behind the number of their block: neighbours of a task, up to ``BLOCK_BYTES`` or one text."""
+    serial, size = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        blocks = np.empty(batch.num_rows, np.int64)
+        for i, own in enumerate(pc.fill_null(pc.binary_length(batch.columns[-1]), 0).to_pylist()):
+            if size and size + own > BLOCK_BYTES:
+                serial, size = serial + 1, 0
+            size += own + 16
+            blocks[i] = serial
+        yield [pa.array(blocks), *batch.columns]
+
+
+def asked_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
+    """(block, order, hash): the different words and bigrams of the blocks in rows (block, text)."""
+    held: dict[int, list[np.ndarray]] = {1: [], 2: []}
+    current = None
+
+    def flush():
+        for order, parts in held.items():
+            keys = np.unique(np.concatenate(parts))
+            parts.clear()
+            yield [pa.array(np.full(len(keys), x, np.int64)) for x in (current, order)] + [pa.array(keys.view(np.int64))]
+
+    for batch in batches:
+        blocks = batch.column(0).to_numpy()
+        for at, texts in slices(batch.column(1)):
+            hashes, starts = tokens(texts)
+            pairs, own = bigrams(hashes, starts), blocks[at : at + len(texts)]
+            firsts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist()]
+            ends = [*starts[firsts[1:]].tolist(), len(hashes)]
+            for row, low, high in zip(firsts, starts[firsts].tolist(), ends, strict=True):
+                if current is not None and own[row] != current:
+                    yield from flush()
+                current = own[row]
+                held[1] += [np.unique(hashes[low:high])]
+                held[2] += [np.unique(pairs[low:high])]
+    if current is not None:
+        yield from flush()
+
+
+def answered(asked: DataFrame, model: DataFrame, bits: int) -> DataFrame:
+    """Keys (block, order, hash) with their word counts or bigram levels, probed where their segment lies.
+
+    A segment comes first in its task and its keys stream past it, however many blocks ask for them.
+    """
+    empty = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in (*SEGMENT.fields, *ASKED.fields)}
+    shared = ["words", "counts", "filter", "bits"]
+    keys = asked.select(F.shiftrightunsigned("hash", 64 - bits).alias("segment"), F.lit(1).alias("kind"), *ASKED.names, *[empty[n] for n in shared])
+    held = model.select("segment", F.lit(0).alias("kind"), *[empty[n] for n in ASKED.names], *shared)
+    met = held.unionByName(keys).repartition("segment").sortWithinPartitions("segment", "kind")
+
+    def run(batches):
+        at, shard = None, None
+        for batch in batches:
+            segment, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            # A model row starts a run of its own.
+            starts = [0, *(np.flatnonzero((np.diff(segment) != 0) | (np.diff(kind) != 0)) + 1).tolist(), len(segment)]
+            for a, b in zip(starts, starts[1:], strict=False):
+                if a == b:
+                    continue
+                if kind[a] == 0:
+                    at = int(segment[a])
+                    row = {n: batch.column(5 + i)[a].as_py() for i, n in enumerate(shared)} | {"segment": at}
+                    shard = Shard([row], at, at, bits)
+                    continue
+                part = batch.slice(a, b - a)
+                order, hashes = part.column(3).to_numpy(), part.column(4).to_numpy().view(np.uint64)
+                value = np.zeros(b - a, np.int64)
+                if at == segment[a]:
+                    value[order == 1] = shard.word_counts(hashes[order == 1])
+                    value[order == 2] = shard.pair_levels(hashes[order == 2])
+                found = np.flatnonzero(value)
+                yield [part.column(2).take(found), part.column(3).take(found), part.column(4).take(found), pa.array(value[found])]
+
+    return map_arrow(met, run, ANSWER)
+
+
+class Answers:
+    """What a block was told: values of the keys that the model holds, in the order of the keys."""
+
+    def __init__(self):
+        self.parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {1: [], 2: []}
+
+    def add(self, order: np.ndarray, hashes: np.ndarray, value: np.ndarray) -> None:
+        for at, parts in self.parts.items():
+            own = order == at
+            parts.append((hashes[own], value[own]))
+
+    def of(self, order: int, keys: np.ndarray) -> np.ndarray:
+        parts = self.parts[order]
+        if len(parts) > 1:
+            # A block that two tasks read asked twice for some keys; its answers agree.
+            known, first = np.unique(np.concatenate([p[0] for p in parts]), return_index=True)
+            parts[:] = [(known, np.concatenate([p[1] for p in parts])[first])]
+        known, value = parts[0] if parts else (keys[:0], np.zeros(0, np.int64))
+        if not len(known):
+            return np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return np.where(known[at] == keys, value[at], 0)
+
+
 def text_scores(hashes, starts, count, level, total: int, vocabulary: int, mu: float) -> list[np.ndarray]:
     """Per text: tokens, known tokens, add-one unigram score, interpolated bigram score (log10)."""
     norm = total + vocabulary + 1
@@ -284,49 +424,68 @@ def score(
     rows = docs.select(
         F.col(f"`{id}`").alias("id"), F.coalesce(held_out, F.lit(True)).alias("held_out"), F.col(f"`{text}`").cast("string").alias("text")
     )
-    model = fit_model(rows.where(~F.col("held_out")))
-    vocabulary, total = (x or 0 for x in model.agg(F.sum("n_words"), F.sum("n_tokens")).first())
-    ranges = shards(model, broadcast_bytes) or [(0, 0)]
-    context = docs.sparkSession.sparkContext
-    state = StructType([StructField("count", BinaryType()), StructField("level", BinaryType())])
-
-    def probed(frame: DataFrame, number: int) -> DataFrame:
-        """``frame`` with what shard ``number`` says of every token, added to what is known; scored at the last."""
-        low, high = ranges[number]
-        near = model.where(F.col("segment").between(low, high))
-        # Several broadcasts of one pass, so that the driver holds one part at a time.
-        sent = [
-            (part, context.broadcast(Shard(near.where(F.col("segment").between(*part)).collect())))
-            for part in shards(near, PART_BYTES)
-        ]
-        begun, done = number > 0, number == len(ranges) - 1
-
-        def run(batches):
-            parts = [(part, shard.value) for part, shard in sent]
-            for batch in batches:
-                for at, texts in slices(batch.column(2)):
-                    hashes, starts = tokens(texts)
-                    count, level = looked_up(parts, hashes, bigrams(hashes, starts))
-                    if begun:
-                        part = batch.slice(at, len(texts))
-                        count = count + np.frombuffer(b"".join(part.column(3).to_pylist()), np.int64)
-                        level = level + np.frombuffer(b"".join(part.column(4).to_pylist()), np.uint8)
-                    own = batch.slice(at, len(texts)).columns
-                    if done:
-                        found = text_scores(hashes, starts, count, level, total, vocabulary, mu)
-                        sums = [found[0], found[1], np.full(len(texts), total, np.int64), found[2], found[3]]
-                        yield [own[0], own[1], *map(pa.array, sums)]
-                    else:
-                        ends = np.append(starts[1:], len(hashes))
-                        known = [[x[a:b].tobytes() for a, b in zip(starts, ends, strict=True)] for x in (count, level)]
-                        yield [*own[:3], *[pa.array(k, pa.binary()) for k in known]]
-
-        if not done:
-            return written(map_arrow(frame, run, StructType([*rows.schema.fields, *state.fields])), "lm-state")
-        names = [("n_tokens", LongType()), ("n_known", LongType()), ("train_tokens", LongType()), ("base_score", DoubleType()), ("score", DoubleType())]
-        head = [rows.schema["id"], StructField("held_out", BooleanType())]
-        return map_arrow(frame, run, StructType([*head, *[StructField(n, t) for n, t in names]]))
-
-    for number in range(len(ranges)):
-        rows_now = probed(rows if number == 0 else rows_now, number)
-    return rows_now.withColumnRenamed("id", id)
+    training = rows.where(~F.col("held_out"))
+    bits = segment_bits(training)
+    model = fit_model(training, bits)
+    vocabulary, total, size = (x or 0 for x in model.agg(F.sum("n_words"), F.sum("n_tokens"), F.sum(model_bytes())).first())
+
+    def scored(own: list[pa.Array], hashes, starts, count, level) -> list[pa.Array]:
+        found = text_scores(hashes, starts, count, level, total, vocabulary, mu)
+        return [*own, *map(pa.array, [found[0], found[1], np.full(len(starts), total, np.int64), found[2], found[3]])]
+
+    names = [("n_tokens", LongType()), ("n_known", LongType()), ("train_tokens", LongType()), ("base_score", DoubleType()), ("score", DoubleType())]
+    head = [rows.schema["id"], StructField("held_out", BooleanType())]
+    schema = StructType([*head, *[StructField(n, t) for n, t in names]])
+    found = by_broadcast(rows, model, bits, scored, schema) if size <= broadcast_bytes else by_blocks(rows, model, bits, scored, schema)
+    return found.withColumnRenamed("id", id)
+
+
+def by_broadcast(rows: DataFrame, model: DataFrame, bits: int, scored: Callable, schema: StructType) -> DataFrame:
+    """Rows (id, held_out, text) scored by a model that goes to every task, in broadcasts of ``PART_BYTES``."""
+    context = rows.sparkSession.sparkContext
+    sent = [
+        context.broadcast(Shard(model.where(F.col("segment").between(low, high)).collect(), low, high, bits))
+        for low, high in shards(model, PART_BYTES)
+    ]
+
+    def run(batches):
+        parts = [shard.value for shard in sent]
+        for batch in batches:
+            for at, texts in slices(batch.column(2)):
+                hashes, starts = tokens(texts)
+                count, level = looked_up(parts, hashes, bigrams(hashes, starts))
+                yield scored(batch.slice(at, len(texts)).columns[:2], hashes, starts, count, level)
+
+    return map_arrow(rows, run, schema)
+
+
+def by_blocks(rows: DataFrame, model: DataFrame, bits: int, scored: Callable, schema: StructType) -> DataFrame:
+    """Rows (id, held_out, text) scored by a model of any size: blocks of texts fetch the answers to their keys."""
+    blocks = written(map_arrow(rows, in_blocks, StructType([StructField("block", LongType()), *rows.schema.fields])), "lm-blocks")
+    answers = answered(map_arrow(blocks.select("block", "text"), asked_keys, ASKED), model, bits)
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields]
+    told = answers.select("block", F.lit(0).alias("kind"), "order", "hash", "value", *empty)
+    none = [F.lit(None).cast("bigint").alias(n) for n in ("order", "hash", "value")]
+    texts = blocks.select("block", F.lit(1).alias("kind"), *none, "id", "held_out", "text")
+    met = told.unionByName(texts).repartition("block").sortWithinPartitions("block", "kind")
+
+    def run(batches):
+        current, known = None, Answers()
+        for batch in batches:
+            block, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            starts = [0, *(np.flatnonzero((np.diff(block) != 0) | (np.diff(kind) != 0)) + 1).tolist(), len(block)]
+            for a, b in zip(starts, starts[1:], strict=False):
+                if a == b:
+                    continue
+                if block[a] != current:
+                    current, known = int(block[a]), Answers()
+                part = batch.slice(a, b - a)
+                if kind[a] == 0:
+                    known.add(part.column(2).to_numpy(), part.column(3).to_numpy().view(np.uint64), part.column(4).to_numpy())
+                    continue
+                for at, bodies in slices(part.column(7)):
+                    hashes, begins = tokens(bodies)
+                    count, level = known.of(1, hashes), known.of(2, bigrams(hashes, begins)).astype(np.uint8)
+                    yield scored(part.slice(at, len(bodies)).columns[5:7], hashes, begins, count, level)
+
+    return map_arrow(met, run, schema)

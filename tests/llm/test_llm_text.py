@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from corpus_pipeline import quality_stage
 from pyspark.sql import functions as F
@@ -266,14 +267,36 @@ def test_scores_match_exact_counts_but_for_false_hits(spark, sf_dir, size):
         assert score - 1e-6 <= r["score"] <= score + 0.1 * n
 
 
-def test_several_passes_over_several_slices_equal_one_pass(spark):
-    rng = random.Random(8)
-    words = [f"word{k}" for k in range(20)]
-    texts = [" ".join(rng.choices(words, k=lm.SLICE_BYTES // 5)) for _ in range(3)] + ["word1 word2", None]
-    docs = frame(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)]).coalesce(1)
-    once, often = ({r["doc_id"]: tuple(r) for r in lm.score(docs, F.col("doc_id") == 2, broadcast_bytes=size).collect()} for size in (1 << 30, 2000))
-    assert len(lm.shards(lm.fit_model(docs.where("doc_id <> 2")), 2000)) > 1
-    assert len(once) == len(texts) and often == once
+@pytest.mark.parametrize("block", [1 << 10, 8 << 20])
+def test_a_model_too_large_to_send_scores_the_same(spark, sf_dir, monkeypatch, block):
+    monkeypatch.setattr(lm, "BLOCK_BYTES", block)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(300).select("doc_id", "text")
+    long = [(10**6, "word1 word2 " * (lm.SLICE_BYTES // 5)), (10**6 + 1, None), (None, ""), (None, "word1"), (7, "word1 word2"), (7, "word1 word2")]
+    docs = docs.union(spark.createDataFrame(long, docs.schema)).coalesce(2)
+    once, often = (sorted(map(str, lm.score(docs, F.col("doc_id") % 7 == 2, broadcast_bytes=size).collect())) for size in (1 << 30, 0))
+    assert len(once) == docs.count() and often == once
+
+
+def test_segments_grow_with_the_training_text_and_change_no_score(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(200)
+    assert lm.segment_bits(docs) == lm.LEAST_SEGMENT_BITS and lm.segment_bits(docs.limit(0)) == lm.LEAST_SEGMENT_BITS
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    found = []
+    for text in (lm.SEGMENT_TEXT, size >> 13):
+        monkeypatch.setattr(lm, "SEGMENT_TEXT", text)
+        bits = lm.segment_bits(docs)
+        words = {k: n for r in lm.fit_model(docs, bits).collect() for k, n in zip(np.frombuffer(r["words"], np.uint64), np.frombuffer(r["counts"], np.int64), strict=True)}
+        found.append((bits, words))
+    assert found[0][0] < found[1][0] and found[0][1] == found[1][1]
+
+
+def test_counts_of_a_segment_are_combined_on_the_way(monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [np.sort(rng.integers(0, 3, 4000)), rng.integers(1, 3, 4000), rng.integers(0, 50, 4000), rng.integers(1, 9, 4000)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + 100]) for c in rows], names=list("sohn")) for i in range(0, 4000, 100)]
+    whole = [[c.to_pylist() for c in row] for row in lm.build_segments(iter(batches))]
+    monkeypatch.setattr(lm, "HELD_ROWS", 150)
+    assert [[c.to_pylist() for c in row] for row in lm.build_segments(iter(batches))] == whole and len(whole) == 3
 
 
 def test_scoring_without_training_rows(spark):
