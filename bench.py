@@ -38,7 +38,7 @@ def main() -> None:
     run(fixtures.station_visits(spark, sf_dir))
     setup["warm_up"] = round(time.perf_counter() - started, 3)
     started = time.perf_counter()
-    fixtures.wide_files(spark, sf_dir)
+    fixtures.wide_sources(spark, sf_dir)
     setup["wide_csv"] = round(time.perf_counter() - started, 3)
     started = time.perf_counter()
     fixtures.published(spark, sf_dir)

@@ -76,19 +76,18 @@ def station_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cells(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
+    """One row per part, station and slot with the named ones of its value ``v`` and its times ``t1`` and ``t2``."""
     h = hours(F.col("l_shipdate"))
-    untimed = F.col("l_linenumber") == 7
+    untimed = F.col("j") == 7
     no_t1 = untimed | ((F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "O"))
-    rows = observed_lines(spark, sf_dir).select(
-        "part_id",
-        "k",
-        F.col("l_linenumber").alias("j"),
-        F.when(F.col("l_discount") != 0, F.col("l_extendedprice")).alias("v"),
-        F.when(~no_t1, h).alias("t1"),
-        F.when(~untimed, h + F.col("l_quantity")).alias("t2"),
-    )
-    return rows.groupBy("part_id", "k", "j").agg(F.min("v").alias("v"), F.min("t1").alias("t1"), F.max("t2").alias("t2"))
+    found = {
+        "v": F.min(F.when(F.col("l_discount") != 0, F.col("l_extendedprice"))),
+        "t1": F.min(F.when(~no_t1, h)),
+        "t2": F.max(F.when(~untimed, h + F.col("l_quantity"))),
+    }
+    rows = observed_lines(spark, sf_dir).withColumnRenamed("l_linenumber", "j")
+    return rows.groupBy("part_id", "k", "j").agg(*[found[f].alias(f) for f in fields])
 
 
 def supplier_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,15 +153,17 @@ def keys_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def wide_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The two wide sources: one row per order, also for orders without any cell."""
+def wide_frame(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
+    """One of the two wide sources, ``numeric`` or ``dates``: one row per order, also for orders without any cell."""
     labels = parts(spark, sf_dir)
-    # At most STATIONS * SLOTS cells per part, so the per-part maps are bounded by construction.
+    # Each side moves its own fields only. At most STATIONS * SLOTS cells per part, so the per-part maps
+    # are bounded by construction.
+    fields = ("v",) if side == "numeric" else ("t2", "t1")
     per_part = (
-        cells(spark, sf_dir)
+        cells(spark, sf_dir, *fields)
         .withColumn("slot", (F.col("k") * SLOTS + F.col("j") - 1).cast("int"))
         .groupBy("part_id")
-        .agg(F.map_from_entries(F.collect_list(F.struct("slot", F.struct("v", "t1", "t2")))).alias("by_slot"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("slot", F.struct(*fields)))).alias("by_slot"))
     )
     # The input tables may hold one row group each; spelling out a thousand columns needs more tasks.
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -173,44 +174,49 @@ def wide_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     def cell(k: int, j: int, field: str, name: str) -> str:
         return f"try_element_at(by_slot, {k * SLOTS + j - 1}).{field} AS `{name}`"
 
-    numeric = [cell(k, j, "v", f"{station_label(k)}_F{2 * j}") for k in range(STATIONS) for j in range(1, SLOTS + 1)]
+    if side == "numeric":
+        numeric = [cell(k, j, "v", f"{station_label(k)}_F{2 * j}") for k in range(STATIONS) for j in range(1, SLOTS + 1)]
+        return joined.selectExpr(ID, *numeric, f"CAST(response AS INT) AS {LABEL}")
     dates = [
         cell(k, j, field, f"{station_label(k)}_D{2 * j + odd}")
         for k in range(STATIONS)
         for j in range(1, TIMED_SLOTS + 1)
-        for odd, field in enumerate(("t2", "t1"))
+        for odd, field in enumerate(fields)
     ]
-    return (
-        joined.selectExpr(ID, *numeric, f"CAST(response AS INT) AS {LABEL}"),
-        joined.selectExpr(ID, *dates),
-    )
+    return joined.selectExpr(ID, *dates)
 
 
-_written: dict[tuple[str, str], dict[str, str]] = {}
+ROWS_PER_FILE = 100_000  # a compressed file is read by one task
 
+_written: dict[tuple[str, str, str], str] = {}
 
-def wide_files(spark: SparkSession, sf_dir: str) -> dict[str, str]:
-    """Paths of the wide sources as CSV, written once per session below the shared folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+
+def wide_file(spark: SparkSession, sf_dir: str, side: str) -> str:
+    """Path of a wide source as CSV, written once per session below the shared folder, when it is first asked for.
+
+    Nearly all of a sparse row is separators: compressed, they are hardly anything.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, side)
     if key not in _written:
-        base = scratch_path(spark, "wide")
-        numeric, dates = wide_frames(spark, sf_dir)
-        paths = {"numeric": f"{base}/numeric.csv", "dates": f"{base}/dates.csv"}
-        numeric.write.option("header", True).csv(paths["numeric"])
-        dates.write.option("header", True).csv(paths["dates"])
-        _written[key] = paths
+        path = f"{scratch_path(spark, 'wide')}/{side}.csv"
+        writer = wide_frame(spark, sf_dir, side).write.option("header", True).option("maxRecordsPerFile", ROWS_PER_FILE)
+        writer.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").csv(path)
+        _written[key] = path
     return _written[key]
 
 
+def wide_source(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
+    """A wide source scanned from CSV, as a user would read it."""
+    return read_wide_csv(spark, wide_file(spark, sf_dir, side))
+
+
 def wide_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The two wide sources scanned from CSV, as a user would read them."""
-    paths = wide_files(spark, sf_dir)
-    return read_wide_csv(spark, paths["numeric"]), read_wide_csv(spark, paths["dates"])
+    """Both wide sources."""
+    return wide_source(spark, sf_dir, "numeric"), wide_source(spark, sf_dir, "dates")
 
 
 def wide_catalogs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    paths = wide_files(spark, sf_dir)
-    return tuple(column_catalog(spark, read_header(spark, paths[side])) for side in ("numeric", "dates"))
+    return tuple(column_catalog(spark, read_header(spark, wide_file(spark, sf_dir, side))) for side in ("numeric", "dates"))
 
 
 _published: dict[tuple[str, str], str] = {}

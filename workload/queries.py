@@ -115,12 +115,12 @@ def time_cohorts(spark, sf):
 
 @query
 def build_parts(spark, sf):
-    return mw.build_parts(fx.wide_sources(spark, sf)[0])
+    return mw.build_parts(fx.wide_source(spark, sf, "numeric"))
 
 
 @query
 def build_station_visits(spark, sf):
-    return mw.build_station_visits(fx.wide_sources(spark, sf)[1])
+    return mw.build_station_visits(fx.wide_source(spark, sf, "dates"))
 
 
 @query
