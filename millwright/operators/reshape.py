@@ -1,6 +1,6 @@
 """Wide to long without a shuffle per cell.
 
-Each wide row is folded into one compact array by a single projection and then unfolded. The
+Each wide row is folded into compact arrays by a single projection and then unfolded. The
 expressions are written as SQL text: planning a thousand of them one Column call at a time takes
 longer than running them.
 """
@@ -86,14 +86,20 @@ def filled_cells(df: DataFrame) -> DataFrame:
     )
 
 
+def _filled(columns: Sequence[str]) -> str:
+    """SQL for the filled ones of ``columns``: their numbers ``i`` and their values ``x``, side by side."""
+    numbers = [f"IF({_quoted([name])} IS NOT NULL, {i}, NULL)" for i, name in enumerate(columns)]
+    return f"named_struct('i', array_compact(array({', '.join(numbers)})), 'x', array_compact(array({_quoted(columns)})))"
+
+
 def pack_values(numeric: DataFrame, pairs: Sequence[Pair], *keep: str) -> DataFrame:
-    """Mapped measurements of a part as one array in pair order, next to the ``keep`` columns."""
-    return numeric.selectExpr(f"{ID} AS part_id", *keep, f"array({_quoted([p.feature for p in pairs])}) AS readings")
+    """Mapped measurements that a part has, by pair number, next to the ``keep`` columns."""
+    return numeric.selectExpr(f"{ID} AS part_id", *keep, f"{_filled([p.feature for p in pairs])} AS readings")
 
 
 def pack_times(dates: DataFrame, pairs: Sequence[Pair]) -> DataFrame:
-    """Matched times of a part as one array in pair order."""
-    return dates.selectExpr(f"{ID} AS part_id", f"array({_quoted([p.date for p in pairs])}) AS times")
+    """Matched times that a part has, by pair number."""
+    return dates.selectExpr(f"{ID} AS part_id", f"{_filled([p.date for p in pairs])} AS times")
 
 
 def _names(pairs: Sequence[Pair], field: str) -> str:
@@ -106,11 +112,11 @@ def unfold_cells(
 ) -> DataFrame:
     """Join the two packed sides on the part and list every measurement that is present.
 
-    ``part_id, station, i, measurement_value, observed_time``, where ``i`` is the pair number. Two
-    array columns cross the shuffle instead of hundreds of scalar ones, so the join and the
-    unfolding stay in generated code. A measurement whose matched time is missing is kept with a
-    NULL time. The merge hint rules out a broadcast: sparse arrays are tiny on disk and large in
-    memory. With ``check_ids`` the result fails unless both sides hold the same parts exactly once.
+    ``part_id, station, i, measurement_value, observed_time``, where ``i`` is the pair number. Only
+    filled cells cross the shuffle and are sorted: empty ones compress to nothing on the way, so that
+    Spark, which sizes its tasks by the bytes moved, would give a task far more rows than fit its memory.
+    A measurement whose matched time is missing is kept with a NULL time. The merge hint rules out a
+    broadcast. With ``check_ids`` the result fails unless both sides hold the same parts exactly once.
     """
     values = values.select("part_id", "readings")
     if check_ids:
@@ -118,14 +124,15 @@ def unfold_cells(
     else:
         joined = values.join(times.hint("merge"), "part_id")
     return (
-        joined.selectExpr("part_id", "times", "posexplode_outer(readings) AS (i, measurement_value)")
+        joined.selectExpr("part_id", "map_from_arrays(times.i, times.x) AS times", "readings")
+        .selectExpr("part_id", "times", "inline_outer(arrays_zip(readings.i, readings.x)) AS (i, measurement_value)")
         .where(F.col("measurement_value").isNotNull())
         .selectExpr(
             "part_id",
             f"{_names(pairs, 'station')} AS station",
             "i",
             "measurement_value",
-            "get(times, i) AS observed_time",
+            "try_element_at(times, i) AS observed_time",
         )
     )
 
