@@ -64,8 +64,11 @@ def visited(sets: DataFrame) -> DataFrame:
 
 
 def parts_without_stations(parts: DataFrame, sets: DataFrame) -> DataFrame:
-    """Parts that were seen at no station."""
-    return parts.join(visited(sets).select("part_id"), "part_id", "left_anti")
+    """Parts that were seen at no station.
+
+    The merge hint rules out a broadcast: millions of ids are a small file and a large table in every task.
+    """
+    return parts.join(visited(sets).select("part_id").hint("merge"), "part_id", "left_anti")
 
 
 def set_routes(

@@ -58,3 +58,17 @@ def test_sets_without_names_are_refused(pair):
     parts, kept, _ = pair
     with pytest.raises(ValueError):
         sets.set_profile(parts, kept.select("part_id", F.reverse("stations").alias("stations")))
+
+
+def test_visited_parts_are_never_broadcast(spark, pair):
+    """Their number grows with the data, however small their file is."""
+    parts, kept, _ = pair
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        found = sets.parts_without_stations(parts, kept)
+        assert tuples(found, "part_id") == [(7,), (8,)] + [(p,) for p in range(9, 59, 9)]
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
