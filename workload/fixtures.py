@@ -76,18 +76,41 @@ def station_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def cells(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
-    """One row per part, station and slot with the named ones of its value ``v`` and its times ``t1`` and ``t2``."""
+LINES_PER_TASK = 250_000  # of line items gathered by part: what their sorts and tables hold fits the memory of a task
+
+
+def part_tasks(spark: SparkSession, sf_dir: str) -> int:
+    """Partitions to gather line items by part in: as many as the session asks for, and more for larger tables."""
+    few = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(few, -(-table(spark, sf_dir, "lineitem").count() // LINES_PER_TASK))
+
+
+def cells(spark: SparkSession, sf_dir: str, tasks: int, *fields: str) -> DataFrame:
+    """One row per part and slot of a station with the named ones of its value ``v`` and its times ``t1`` and ``t2``.
+
+    The line items cross one shuffle, with these fields only and not without any, to the partition of their part.
+    Hardly two of them share a cell, so nothing is gained by combining them before. Those without a slot, and those
+    that another line number puts into the same one, are kept apart: no map of a part's cells can be made of them.
+    """
     h = hours(F.col("l_shipdate"))
-    untimed = F.col("j") == 7
+    untimed = F.col("l_linenumber") == 7
     no_t1 = untimed | ((F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "O"))
     found = {
-        "v": F.min(F.when(F.col("l_discount") != 0, F.col("l_extendedprice"))),
-        "t1": F.min(F.when(~no_t1, h)),
-        "t2": F.max(F.when(~untimed, h + F.col("l_quantity"))),
+        "v": F.when(F.col("l_discount") != 0, F.col("l_extendedprice")),
+        "t1": F.when(~no_t1, h),
+        "t2": F.when(~untimed, h + F.col("l_quantity")),
     }
-    rows = observed_lines(spark, sf_dir).withColumnRenamed("l_linenumber", "j")
-    return rows.groupBy("part_id", "k", "j").agg(*[found[f].alias(f) for f in fields])
+    extreme = {"v": F.min, "t1": F.min, "t2": F.max}
+    number = F.col("l_linenumber")
+    rows = observed_lines(spark, sf_dir).select(
+        "part_id",
+        (F.col("k") * SLOTS + number - 1).cast("int").alias("slot"),
+        F.when(~number.between(1, SLOTS), number).alias("odd"),
+        *[found[f].alias(f) for f in fields],
+    )
+    wanted = F.col("slot").isNull() | F.col("odd").isNotNull() | F.coalesce(*fields).isNotNull()
+    by_part = rows.where(wanted).repartition(tasks, "part_id")
+    return by_part.groupBy("part_id", "slot", "odd").agg(*[extreme[f](f).alias(f) for f in fields])
 
 
 def supplier_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,14 +182,14 @@ def wide_frame(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     # Each side moves its own fields only. At most STATIONS * SLOTS cells per part, so the per-part maps
     # are bounded by construction.
     fields = ("v",) if side == "numeric" else ("t2", "t1")
+    tasks = part_tasks(spark, sf_dir)
     per_part = (
-        cells(spark, sf_dir, *fields)
-        .withColumn("slot", (F.col("k") * SLOTS + F.col("j") - 1).cast("int"))
+        cells(spark, sf_dir, tasks, *fields)
         .groupBy("part_id")
         .agg(F.map_from_entries(F.collect_list(F.struct("slot", F.struct(*fields)))).alias("by_slot"))
     )
-    # The input tables may hold one row group each; spelling out a thousand columns needs more tasks.
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # The input tables may hold one row group each; spelling out a thousand columns needs more tasks. The line items
+    # of a part lie in the partition of the same number, so that they meet it without moving again.
     spread = labels.repartition(tasks, "part_id")
     joined = spread.join(per_part, "part_id", "left").withColumnRenamed("part_id", ID)
 
