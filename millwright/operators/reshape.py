@@ -137,11 +137,18 @@ def unfold_cells(
     )
 
 
+def number_stations(cells: DataFrame, pairs: Sequence[Pair]) -> DataFrame:
+    """Unfolded cells with ``station_number`` for the name of the station, which :func:`name_cells` spells out again."""
+    numbers = {station: n for n, station in enumerate(dict.fromkeys(p.station for p in pairs))}
+    number = f"get(array({', '.join(str(numbers[p.station]) for p in pairs)}), i)"
+    return cells.drop("station").selectExpr("*", f"{number} AS station_number")
+
+
 def name_cells(cells: DataFrame, pairs: Sequence[Pair]) -> DataFrame:
     """Spell out the column names of unfolded cells; done last, so names never cross a shuffle."""
     return cells.selectExpr(
         "part_id",
-        "station",
+        f"{_names(pairs, 'station')} AS station",
         f"{_names(pairs, 'feature')} AS feature_name",
         "measurement_value",
         f"{_names(pairs, 'date')} AS date_feature_name",

@@ -25,6 +25,7 @@ from ..operators.gates import (
 from ..operators.reshape import (
     mapped_measurements,
     name_cells,
+    number_stations,
     pack_times,
     pack_values,
     station_visits,
@@ -85,13 +86,27 @@ def build_mapped_measurements(
 
 BUCKET_BYTES = 128 << 20  # of stored visits
 LEAST_BUCKET_BYTES = 1 << 20  # below that, more buckets than cores bring nothing
+BUCKET_VISITS = 4_000_000  # one task sorts them in memory, however few bytes they are stored in
+MERGE_BYTES = 4 << 20  # of stored cells that one task merges: it sorts ten times as many
 
 
 def measured_buckets(spark: SparkSession, path: str) -> int:
     """Buckets for a table whose rows are stored (in any layout) below ``path``."""
-    size = stored_bytes(spark, path)
+    return _pieces(spark, stored_bytes(spark, path), BUCKET_BYTES)
+
+
+def merge_tasks(spark: SparkSession, *paths: str) -> int:
+    """Tasks that merge the tables stored below ``paths``.
+
+    Left to itself, Spark merges partitions but never splits one here, and goes by compressed bytes: the rows of a task
+    then outgrow its memory with the tables, and are spilled.
+    """
+    return _pieces(spark, sum(stored_bytes(spark, path) for path in paths), MERGE_BYTES)
+
+
+def _pieces(spark: SparkSession, size: int, most: int) -> int:
     few = min(spark.sparkContext.defaultParallelism, -(-size // LEAST_BUCKET_BYTES))
-    return max(1, few, -(-size // BUCKET_BYTES))
+    return max(1, few, -(-size // most))
 
 
 def _stage_parts(numeric: DataFrame, path: str, expected_rows: int | None) -> Written:
@@ -106,14 +121,16 @@ def _stage_parts(numeric: DataFrame, path: str, expected_rows: int | None) -> Wr
     return written
 
 
-def _stage_dates(dates: DataFrame, parts: DataFrame, path: str, expected_rows: int | None) -> DataFrame:
-    """The visits of every part folded into one array, gated against the loaded parts."""
+def _stage_dates(dates: DataFrame, parts: DataFrame, path: str, expected_rows: int | None) -> tuple[DataFrame, int]:
+    """The visits of every part folded into one array, gated against the loaded parts, and how many visits."""
     loaded = parts.count()
     require(loaded > 0, "load parts before station visits")
     require_rows(loaded, expected_rows, "loaded parts")
-    folded = dates.sparkSession.read.parquet(write_counted(visits_per_part(dates), path).path)
+    visits = F.coalesce(F.sum(F.size("visits")), F.lit(0)).alias("visits")
+    written = write_counted(visits_per_part(dates), path, [visits])
+    folded = dates.sparkSession.read.parquet(path)
     check_date_ids(folded, parts, expected_rows)
-    return folded
+    return folded, written.counters["visits"]
 
 
 def refresh(
@@ -130,7 +147,7 @@ def refresh(
     must still fit. Both tables are stored hashed by part into the same number of buckets, so
     that what joins or groups them by part needs no exchange. Inside a bucket visits lie by station, so that
     a report on one line reads the pages of that line only. The number of buckets follows from the stored bytes
-    of the visits; a refresh of one table keeps to it or lays out the other one anew. ``buckets`` sets it
+    and the number of the visits; a refresh of one table keeps to it or lays out the other one anew. ``buckets`` sets it
     by hand, None stores plain files. The set of stations of every part is kept beside the visits, from the
     same scan of the dates; see :mod:`millwright.operators.stationsets`. Returns the totals.
     """
@@ -151,9 +168,9 @@ def refresh(
         parts = read_parts(spark, parts_path)
 
         if dates is not None:
-            folded = _stage_dates(dates, parts, f"{folder}/_folded_dates", expected_rows)
+            folded, found = _stage_dates(dates, parts, f"{folder}/_folded_dates", expected_rows)
             if buckets == "measured":
-                buckets = measured_buckets(spark, f"{folder}/_folded_dates")
+                buckets = max(measured_buckets(spark, f"{folder}/_folded_dates"), -(-found // BUCKET_VISITS))
             visits = unfold_visits(folded)
             staged = write_counted(visits, f"{folder}/station_visits", (), "part_id", buckets, sort_by=VISIT_ORDER)
             tables["station_visits"] = entry_of(staged)
@@ -216,11 +233,14 @@ def load_measurements(
     try:
         values = spark.read.parquet(write_counted(pack_values(numeric, pairs), f"{folder}/_values").path)
         times = spark.read.parquet(write_counted(pack_times(dates, pairs), f"{folder}/_times").path)
+        parts = values.select("part_id")
         scanned = require_aligned(values, times, "part_id")
         require_rows(scanned, expected_rows, "wide sources")
 
+        tasks = merge_tasks(spark, f"{folder}/_values", f"{folder}/_times")
+        values, times = (side.repartition(tasks, "part_id") for side in (values, times))
         # Rebalancing splits a large station over several tasks and merges small ones.
-        cells = unfold_cells(values, times, pairs).hint("rebalance", "station")
+        cells = number_stations(unfold_cells(values, times, pairs), pairs).hint("rebalance", "station_number")
         untimed = F.count_if(F.col("observed_time").isNull()).alias("untimed")
         written = write_counted(
             name_cells(cells, pairs), f"{folder}/mapped_measurements", [untimed], partition_by="station"
@@ -229,7 +249,7 @@ def load_measurements(
         tables = seen | {"mapped_measurements": entry_of(written)}
         stored = read_measurements(spark, written.path)
         tables["feature_totals"] = entry_of(write_counted(feature_totals(stored).coalesce(1), f"{folder}/feature_totals"))
-        if close_ids(values):
+        if close_ids(parts):
             tables["measured_parts"] = entry_of(
                 write_counted(measured_parts(stored).hint("rebalance"), f"{folder}/measured_parts")
             )

@@ -40,7 +40,7 @@ def write_counted(
     watch = Observation(f"write-{uuid.uuid4().hex}")
     if buckets:
         order = list(sort_by or [bucket_by])
-        df = df.repartition(buckets, bucket_by).sortWithinPartitions(*order)
+        df = df.repartition(buckets, bucket_by)  # the writer sorts; a sort before it would hold all rows once more
     counted = df.observe(watch, F.count(F.lit(1)).alias("rows"), *counters)
     writer = counted.write.option("compression", "snappy")
     if partition_by:

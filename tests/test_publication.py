@@ -176,6 +176,42 @@ def test_buckets_follow_the_stored_bytes(spark, tmp_path):
     assert loads.measured_buckets(spark, str(data)) == 41
 
 
+def test_tasks_that_merge_follow_the_stored_bytes(spark, tmp_path):
+    paths = [tmp_path / name for name in ("values", "times")]
+    for path in paths:
+        path.mkdir()
+        (path / "a").write_bytes(b"x" * 1000)
+    assert loads.merge_tasks(spark, *map(str, paths)) == 1
+    for path in paths:
+        with open(path / "b", "wb") as out:
+            out.truncate(1 << 30)
+    assert loads.merge_tasks(spark, *map(str, paths)) == 513
+
+
+def test_no_bucket_holds_more_visits_than_a_task_sorts(spark, wide, tmp_path, monkeypatch):
+    target = str(tmp_path / "few")
+    totals = loads.refresh(spark, target, *wide)
+    visits = tuples(snapshot_table(spark, target, "station_visits"))
+    monkeypatch.setattr(loads, "BUCKET_VISITS", 1)
+    target = str(tmp_path / "many")
+    assert loads.refresh(spark, target, *wide) == totals
+    assert {entry["buckets"] for entry in current_tables(spark, target).values()} == {totals["station_visits"]}
+    assert totals["station_visits"] > 1 and tuples(snapshot_table(spark, target, "station_visits")) == visits
+
+
+def test_a_bucket_is_sorted_once(spark, tmp_path, monkeypatch):
+    """By the writer alone, which always sorts: a sort before it would hold the rows a second time."""
+    rows = spark.range(1000).selectExpr("id % 100 AS part_id", "concat('S', id % 7) AS station")
+    monkeypatch.delattr(type(rows), "sortWithinPartitions")
+    written = write_counted(rows, str(tmp_path / "t"), (), "part_id", 3, sort_by=["station", "part_id"])
+    assert written.counters["rows"] == 1000
+    files = list((tmp_path / "t").glob("*.parquet"))
+    assert len(files) == 3
+    for file in files:
+        found = [(r.station, r.part_id) for r in spark.read.parquet(str(file)).collect()]
+        assert found == sorted(found)
+
+
 def test_tables_loaded_apart_end_in_one_layout(spark, wide, tmp_path, monkeypatch):
     target = str(tmp_path / "t")
     loads.refresh(spark, target, wide[0])
