@@ -4,10 +4,11 @@ Counts are combined in the tasks and then per segment of the hash space, of whic
 as the training text needs. A bigram of count ``c`` is put into its segment's filter once for each
 level up to ``1 + floor(log2 c)``; a count is read back by probing level after level until one is
 missing, so it never comes out below the true level. Unigram counts are exact, in sorted arrays beside
-the filters. A model of a bounded size is broadcast, in parts that the driver holds one at a time. For
-a larger one the keys travel instead: texts are gathered in blocks, each block sends its different keys
-to their segments, where the same filters are probed, and reads the answers back. Either way the
-number of passes over the texts does not depend on the size of the model.
+the filters. Keys travel in chunks, one for each segment, never one by one. A model of a bounded size is
+broadcast, in parts that the driver holds one at a time. A larger one is asked where it is built: texts
+are gathered in blocks, each block sends its different keys with their training counts to the segments,
+where the same filters are filled, then probed for all blocks, and reads the answers back. Either way
+the number of passes over the texts does not depend on the size of the model.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ PART_BYTES = 32 << 20
 SLICE_BYTES = 1 << 20
 BLOCK_BYTES = 8 << 20  # of text that asks for its keys together
 HELD_ROWS = 1 << 21
+SENT_KEYS = 1 << 19  # keys that leave a task in one batch
 END_WORD = b" "  # no word holds a space
 
 SEGMENT = StructType(
@@ -50,6 +52,29 @@ SEGMENT = StructType(
     ]
 )
 
+#: Different keys of a block (or of any rows, in a fit) in one segment, in order, with their training counts:
+#: a byte each, and those of ``LARGE`` and more once again in full.
+CHUNK = StructType(
+    [
+        StructField("segment", LongType()),
+        StructField("block", LongType()),
+        *[StructField(n, BinaryType()) for n in ("words", "word_counts", "large_word_counts", "pairs", "pair_counts", "large_pair_counts")],
+    ]
+)
+LARGE = 255
+#: Training counts of a block's words and levels of its bigrams in one segment, in the order of the keys.
+#: What the segment holds stands in its first row, 0 in the others.
+ANSWER = StructType(
+    [
+        StructField("segment", LongType()),
+        StructField("block", LongType()),
+        StructField("counts", BinaryType()),
+        StructField("levels", BinaryType()),
+        StructField("n_words", LongType()),
+        StructField("n_tokens", LongType()),
+    ]
+)
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
@@ -98,39 +123,134 @@ def slices(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
         yield at, part
 
 
-def combined(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Different keys in order, with their summed counts."""
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(counts, first)
+def in_order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places that sort ``keys``, equal ones as they stand, and the keys in that order.
+
+    The leading bits in which keys differ are sorted with the place in the others, about twice as fast as places
+    are; if different keys share those bits and come out of order, the places are sorted after all.
+    """
+    if not len(keys):
+        return np.zeros(0, np.int64), keys
+    free = np.uint64(max(1, len(keys) - 1).bit_length())
+    same = np.uint64(min(63, 64 - int(keys.max() ^ keys.min()).bit_length()))
+    order = (keys << same >> free << free) | np.arange(len(keys), dtype=np.uint64)
+    order.sort()
+    order = (order & ((np.uint64(1) << free) - np.uint64(1))).astype(np.int64)
+    found = keys[order]
+    if (found[1:] < found[:-1]).any():
+        order = np.argsort(keys, kind="stable")
+        found = keys[order]
+    return order, found
+
+
+def firsts(found: np.ndarray) -> np.ndarray:
+    """Where each run of equal values starts."""
+    return np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else np.zeros(0, np.int64)
 
 
-def partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
-    """(order, hash, count) of the unigrams and bigrams of a task, combined before they leave it."""
+def combined(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order, with their summed counts."""
+    order, found = in_order(keys)
+    first = firsts(found)
+    return found[first], np.add.reduceat(counts[order], first) if len(first) else counts[:0]
+
+
+def ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order, and for each of ``keys`` its place among them."""
+    order, found = in_order(keys)
+    first = firsts(found)
+    rank = np.empty(len(keys), np.int64)
+    rank[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
+    return found[first], rank
+
+
+def binaries(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """One binary for each two neighbours among ``cuts``, which are places in ``values``."""
+    offsets = ((cuts - cuts[0]) * values.itemsize).astype(np.int32)
+    data = np.ascontiguousarray(values[cuts[0] : cuts[-1]])
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def joined(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all binaries of a column, and how many each has."""
+    wide = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    offsets = np.frombuffer(column.buffers()[1], wide)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    size = np.dtype(kind).itemsize
+    if not len(column) or offsets[0] == offsets[-1]:
+        return np.zeros(0, kind), np.zeros(len(column), np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    return np.frombuffer(data.tobytes(), kind), np.diff(offsets) // size
+
+
+def counted(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys and counts of the chunks of a batch, from three columns behind ``at``, and how many keys each chunk has."""
+    keys, sizes = joined(batch.column(at), np.uint64)
+    counts = joined(batch.column(at + 1), np.uint8)[0].astype(np.int64)
+    counts[counts == LARGE] = joined(batch.column(at + 2), np.int64)[0]
+    return keys, counts, sizes
+
+
+def chunked(block: int, words: np.ndarray, word_counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, bits: int) -> Iterator[list[pa.Array]]:
+    """Rows of ``CHUNK``: sorted keys and their counts, cut at the borders of segments of ``bits`` bits."""
+    shift = np.uint64(64 - bits)
+    own = [words >> shift, pairs >> shift]
+    segments = np.union1d(*(x[firsts(x)] for x in own))
+    cuts = [np.append(np.searchsorted(x, segments), len(x)) for x in own]
+    large = [np.flatnonzero(n >= LARGE) for n in (word_counts, pair_counts)]
+    at = 0
+    while at < len(segments):
+        end = max(at + 1, int(np.searchsorted(cuts[0] + cuts[1], cuts[0][at] + cuts[1][at] + SENT_KEYS, "right")) - 1)
+        row = [pa.array(segments[at:end].astype(np.int64)), pa.array(np.full(end - at, block, np.int64))]
+        for keys, counts, cut, full in zip((words, pairs), (word_counts, pair_counts), cuts, large, strict=True):
+            cut = cut[at : end + 1]
+            row += [binaries(keys, cut), binaries(np.minimum(counts, LARGE).astype(np.uint8), cut), binaries(counts[full], np.searchsorted(full, cut))]
+        yield row
+        at = end
+
+
+def partial_counts(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[list[pa.Array]]:
+    """Chunks of the unigrams and bigrams of a task, combined before they leave it."""
     held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {1: [], 2: []}
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def flush(order):
         parts, held[order] = held[order], []
-        keys, counts = combined(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-        return [pa.array(np.full(len(keys), order, np.int64)), pa.array(keys.view(np.int64)), pa.array(counts)]
+        found = combined(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+        return chunked(0, *(found if order == 1 else none), *(found if order == 2 else none), bits)
 
     for batch in batches:
         for _, texts in slices(batch.column(0)):
             hashes, starts = tokens(texts)
             for order, keys in ((1, hashes), (2, bigrams(hashes, starts))):
-                held[order].append(combined(keys, np.ones(len(keys), np.int64)))
+                keys = np.sort(keys)
+                first = firsts(keys)
+                held[order].append((keys[first], np.diff(np.append(first, len(keys)))))
                 if sum(len(p[0]) for p in held[order]) >= HELD_ROWS:
-                    yield flush(order)
+                    yield from flush(order)
     for order, parts in held.items():
         if parts:
-            yield flush(order)
+            yield from flush(order)
 
 
-def positions(keys: np.ndarray, level: int, probe: int, bits: np.ndarray | int) -> np.ndarray:
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (segment, order, hash, count) of chunks sorted by segment, a batch for each run of one segment."""
+    for batch in batches:
+        segment = batch.column(0).to_numpy()
+        starts = firsts(segment)
+        (words, times, n_words), (pairs, pair_times, n_pairs) = counted(batch, 2), counted(batch, 5)
+        at, pair_at = (np.append(0, np.cumsum(n)) for n in (n_words, n_pairs))
+        for a, b in zip(starts, [*starts[1:], len(segment)], strict=True):
+            one, two = slice(at[a], at[b]), slice(pair_at[a], pair_at[b])
+            order = np.repeat([1, 2], [one.stop - one.start, two.stop - two.start])
+            keys, counts = np.append(words[one], pairs[two]), np.append(times[one], pair_times[two])
+            rows = np.full(len(order), segment[a]), order, keys.view(np.int64), counts
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["segment", "order", "hash", "n"])
+
+
+def walk(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the probes of keys start at a level, and how far apart they are, both before the number of bits divides them."""
     first = mix(keys + np.uint64(level * 0x9E3779B97F4A7C15 & (2**64 - 1)))
-    step = mix(first) | np.uint64(1)
-    return (first + np.uint64(probe) * step) % np.asarray(bits, np.uint64)
+    return first, mix(first) | np.uint64(1)
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -144,9 +264,10 @@ def segment_filter(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, int]:
     bits = max(64, -(-BITS_PER_ENTRY * int(level.sum()) // 8) * 8)
     field = np.zeros(bits, bool)
     for at in range(1, int(level.max(initial=0)) + 1):
-        own = keys[level >= at]
-        for probe in range(PROBES):
-            field[positions(own, at, probe, bits)] = True
+        place, step = walk(keys[level >= at], at)
+        for _ in range(PROBES):
+            field[place % np.uint64(bits)] = True
+            place += step
     return np.packbits(field, bitorder="little").tobytes(), bits
 
 
@@ -193,18 +314,25 @@ def build_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]
         yield out()
 
 
-def segment_bits(docs: DataFrame, text: str = "text") -> int:
+def text_bytes(docs: DataFrame, text: str = "text") -> int:
+    return docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")) + 1)).first()[0] or 0
+
+
+def bits_for(size: int) -> int:
     """How many leading bits of a hash name its segment: a segment for every few MB of text."""
-    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")) + 1)).first()[0] or 0
     return min(MOST_SEGMENT_BITS, max(LEAST_SEGMENT_BITS, (size // SEGMENT_TEXT).bit_length()))
 
 
+def segment_bits(docs: DataFrame, text: str = "text") -> int:
+    """The bits of the segments of a model learned from ``docs``."""
+    return bits_for(text_bytes(docs, text))
+
+
 def fit_model(docs: DataFrame, bits: int, text: str = "text") -> DataFrame:
     """The model learned from all rows of ``docs``: one written row per segment, of ``bits`` bits, of the hash space."""
-    counts = map_arrow(docs.select(F.col(f"`{text}`")), partial_counts, StructType([StructField(n, LongType()) for n in ("order", "hash", "n")]))
-    rows = counts.select(F.shiftrightunsigned("hash", 64 - bits).alias("segment"), "order", "hash", "n")
-    spread = rows.repartition("segment").sortWithinPartitions("segment")
-    return written(map_arrow(spread, build_segments, SEGMENT), "lm-model")
+    counts = map_arrow(docs.select(F.col(f"`{text}`")), lambda batches: partial_counts(batches, bits), CHUNK)
+    spread = counts.repartition("segment").sortWithinPartitions("segment")
+    return written(map_arrow(spread, lambda batches: build_segments(unpacked(batches)), SEGMENT), "lm-model", clean=True)
 
 
 class Shard:
@@ -239,15 +367,17 @@ class Shard:
         """Levels of bigrams: probes level after level until one is missing."""
         out = np.zeros(len(keys), np.uint8)
         segment = (keys >> self.shift).astype(np.int64) - self.low
-        alive = np.flatnonzero(self.bits[segment] > 0)
+        bits, start = self.bits[segment].astype(np.uint64), self.start[segment]
+        alive = np.flatnonzero(bits)
         level = 0
         while alive.size:
             level += 1
-            for probe in range(PROBES):
-                own = segment[alive]
-                place = positions(keys[alive], level, probe, self.bits[own]).astype(np.int64)
-                hit = self.field[self.start[own] + (place >> 3)] >> (place & 7).astype(np.uint8) & 1
-                alive = alive[hit.astype(bool)]
+            place, step = walk(keys[alive], level)
+            for _ in range(PROBES):
+                at = (place % bits[alive]).astype(np.int64)
+                hit = np.flatnonzero(self.field[start[alive] + (at >> 3)] >> (at & 7).astype(np.uint8) & 1)
+                alive, step = alive[hit], step[hit]
+                place = place[hit] + step
             out[alive] = level
         return out
 
@@ -279,10 +409,6 @@ def shards(model: DataFrame, most: int) -> list[tuple[int, int]]:
     return out
 
 
-ASKED = StructType([StructField(n, LongType()) for n in ("block", "order", "hash")])
-ANSWER = StructType([*ASKED.fields, StructField("value", LongType())])
-
-
 def in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
     """Rows (..., text) behind the number of their block: neighbours of a task, up to ``BLOCK_BYTES`` or one text."""
     serial, size = TaskContext.get().partitionId() << 32, 0
@@ -296,93 +422,99 @@ def in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         yield [pa.array(blocks), *batch.columns]
 
 
-def asked_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
-    """(block, order, hash): the different words and bigrams of the blocks in rows (block, text)."""
-    held: dict[int, list[np.ndarray]] = {1: [], 2: []}
+def asked_keys(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[list[pa.Array]]:
+    """Chunks of the different words and bigrams of the blocks in rows (block, held_out, text).
+
+    Keys of held-out texts alone have a count of 0: they are asked for, not learned.
+    """
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     current = None
 
     def flush():
-        for order, parts in held.items():
-            keys = np.unique(np.concatenate(parts))
-            parts.clear()
-            yield [pa.array(np.full(len(keys), x, np.int64)) for x in (current, order)] + [pa.array(keys.view(np.int64))]
+        hashes, pairs, learned = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        yield from chunked(current, *combined(hashes, learned), *combined(pairs, learned), bits)
 
     for batch in batches:
-        blocks = batch.column(0).to_numpy()
-        for at, texts in slices(batch.column(1)):
+        blocks, training = batch.column(0).to_numpy(), ~batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+        for at, texts in slices(batch.column(2)):
             hashes, starts = tokens(texts)
-            pairs, own = bigrams(hashes, starts), blocks[at : at + len(texts)]
-            firsts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist()]
-            ends = [*starts[firsts[1:]].tolist(), len(hashes)]
-            for row, low, high in zip(firsts, starts[firsts].tolist(), ends, strict=True):
-                if current is not None and own[row] != current:
+            pairs, ends = bigrams(hashes, starts), np.append(starts, len(hashes))
+            learned = np.repeat(training[at : at + len(texts)].astype(np.int64), np.diff(ends))
+            own = blocks[at : at + len(texts)]
+            rows = firsts(own)
+            for row, end in zip(rows, [*rows[1:], len(own)], strict=True):
+                if held and own[row] != current:
                     yield from flush()
-                current = own[row]
-                held[1] += [np.unique(hashes[low:high])]
-                held[2] += [np.unique(pairs[low:high])]
-    if current is not None:
+                current = int(own[row])
+                part = slice(ends[row], ends[end])
+                held.append((hashes[part], pairs[part], learned[part]))
+    if held:
         yield from flush()
 
 
-def answered(asked: DataFrame, model: DataFrame, bits: int) -> DataFrame:
-    """Keys (block, order, hash) with their word counts or bigram levels, probed where their segment lies.
+def by_block(keys: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``keys``, in chunks of these sizes, answer each block, and how many do.
 
-    A segment comes first in its task and its keys stream past it, however many blocks ask for them.
+    A block that two tasks read asked in two chunks; its answer is that of their different keys, in order.
     """
-    empty = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in (*SEGMENT.fields, *ASKED.fields)}
-    shared = ["words", "counts", "filter", "bits"]
-    keys = asked.select(F.shiftrightunsigned("hash", 64 - bits).alias("segment"), F.lit(1).alias("kind"), *ASKED.names, *[empty[n] for n in shared])
-    held = model.select("segment", F.lit(0).alias("kind"), *[empty[n] for n in ASKED.names], *shared)
-    met = held.unionByName(keys).repartition("segment").sortWithinPartitions("segment", "kind")
-
-    def run(batches):
-        at, shard = None, None
-        for batch in batches:
-            segment, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            # A model row starts a run of its own.
-            starts = [0, *(np.flatnonzero((np.diff(segment) != 0) | (np.diff(kind) != 0)) + 1).tolist(), len(segment)]
-            for a, b in zip(starts, starts[1:], strict=False):
-                if a == b:
-                    continue
-                if kind[a] == 0:
-                    at = int(segment[a])
-                    row = {n: batch.column(5 + i)[a].as_py() for i, n in enumerate(shared)} | {"segment": at}
-                    shard = Shard([row], at, at, bits)
-                    continue
-                part = batch.slice(a, b - a)
-                order, hashes = part.column(3).to_numpy(), part.column(4).to_numpy().view(np.uint64)
-                value = np.zeros(b - a, np.int64)
-                if at == segment[a]:
-                    value[order == 1] = shard.word_counts(hashes[order == 1])
-                    value[order == 2] = shard.pair_levels(hashes[order == 2])
-                found = np.flatnonzero(value)
-                yield [part.column(2).take(found), part.column(3).take(found), part.column(4).take(found), pa.array(value[found])]
-
-    return map_arrow(met, run, ANSWER)
-
-
-class Answers:
-    """What a block was told: values of the keys that the model holds, in the order of the keys."""
-
-    def __init__(self):
-        self.parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {1: [], 2: []}
+    places = np.arange(len(keys))
+    if len(starts) == len(blocks):
+        return places, sizes
+    cuts = np.append(0, np.cumsum(sizes))
+    parts = []
+    for a, b in zip(starts, [*starts[1:], len(blocks)], strict=True):
+        own = places[cuts[a] : cuts[b]]
+        parts.append(own if b == a + 1 else own[np.unique(keys[own], return_index=True)[1]])
+    return np.concatenate(parts), np.array([len(p) for p in parts])
+
+
+def answered(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[list[pa.Array]]:
+    """Rows of ``ANSWER`` from chunks sorted by segment and block.
+
+    All chunks of a segment are held: what blocks ask of one segment is bounded as its text is. The segment is
+    built of them, filter included, and probed once for each different key.
+    """
+    held: list[pa.RecordBatch] = []
 
-    def add(self, order: np.ndarray, hashes: np.ndarray, value: np.ndarray) -> None:
-        for at, parts in self.parts.items():
-            own = order == at
-            parts.append((hashes[own], value[own]))
+    def flush():
+        (words, times, n_words), (pairs, pair_times, n_pairs) = (
+            map(np.concatenate, zip(*(counted(part, at) for part in held), strict=True)) for at in (2, 5)
+        )
+        blocks = np.concatenate([part.column(1).to_numpy() for part in held])
+        segment = held[0].column(0)[0].as_py()
+        held.clear()
+        starts = firsts(blocks)
+        (word, rank), (pair, pair_rank) = ranked(words), ranked(pairs)
+        # Sums of whole numbers, exact below 2^53.
+        count = np.bincount(rank, times, len(word)).astype(np.int64)
+        pair_count = np.bincount(pair_rank, pair_times, len(pair)).astype(np.int64)
+        learned = pair_count > 0
+        data, size = segment_filter(pair[learned], pair_count[learned])
+        row = {"segment": segment, "words": b"", "counts": b"", "filter": data, "bits": size if learned.any() else 0}
+        level = Shard([row], segment, segment, bits).pair_levels(pair)
+        at, sizes = by_block(words, n_words, blocks, starts)
+        pair_at, pair_sizes = by_block(pairs, n_pairs, blocks, starts)
+        first = np.zeros(len(starts), np.int64)
+        first[0] = 1
+        yield [
+            pa.array(np.full(len(starts), segment)),
+            pa.array(blocks[starts]),
+            binaries(count[rank[at]], np.append(0, np.cumsum(sizes))),
+            binaries(level[pair_rank[pair_at]], np.append(0, np.cumsum(pair_sizes))),
+            pa.array(first * np.count_nonzero(count)),
+            pa.array(first * count.sum()),
+        ]
 
-    def of(self, order: int, keys: np.ndarray) -> np.ndarray:
-        parts = self.parts[order]
-        if len(parts) > 1:
-            # A block that two tasks read asked twice for some keys; its answers agree.
-            known, first = np.unique(np.concatenate([p[0] for p in parts]), return_index=True)
-            parts[:] = [(known, np.concatenate([p[1] for p in parts])[first])]
-        known, value = parts[0] if parts else (keys[:0], np.zeros(0, np.int64))
-        if not len(known):
-            return np.zeros(len(keys), np.int64)
-        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        return np.where(known[at] == keys, value[at], 0)
+    for batch in batches:
+        segment = batch.column(0).to_numpy()
+        starts = firsts(segment)
+        for a, b in zip(starts, [*starts[1:], len(segment)], strict=True):
+            if held and held[0].column(0)[0].as_py() != segment[a]:
+                yield from flush()
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield from flush()
 
 
 def text_scores(hashes, starts, count, level, total: int, vocabulary: int, mu: float) -> list[np.ndarray]:
@@ -425,9 +557,17 @@ def score(
         F.col(f"`{id}`").alias("id"), F.coalesce(held_out, F.lit(True)).alias("held_out"), F.col(f"`{text}`").cast("string").alias("text")
     )
     training = rows.where(~F.col("held_out"))
-    bits = segment_bits(training)
-    model = fit_model(training, bits)
-    vocabulary, total, size = (x or 0 for x in model.agg(F.sum("n_words"), F.sum("n_tokens"), F.sum(model_bytes())).first())
+    text_size = text_bytes(training)
+    bits = bits_for(text_size)
+    # A text of so many bytes has hardly ever a larger model; where it has, the blocks ask for it all the same.
+    small = text_size <= broadcast_bytes
+    if small:
+        model = fit_model(training, bits)
+        vocabulary, total, size = (x or 0 for x in model.agg(F.sum("n_words"), F.sum("n_tokens"), F.sum(model_bytes())).first())
+        small = size <= broadcast_bytes
+    if not small:
+        blocks, answers = asked_blocks(rows, bits)
+        vocabulary, total = (x or 0 for x in answers.agg(F.sum("n_words"), F.sum("n_tokens")).first())
 
     def scored(own: list[pa.Array], hashes, starts, count, level) -> list[pa.Array]:
         found = text_scores(hashes, starts, count, level, total, vocabulary, mu)
@@ -436,7 +576,7 @@ def score(
     names = [("n_tokens", LongType()), ("n_known", LongType()), ("train_tokens", LongType()), ("base_score", DoubleType()), ("score", DoubleType())]
     head = [rows.schema["id"], StructField("held_out", BooleanType())]
     schema = StructType([*head, *[StructField(n, t) for n, t in names]])
-    found = by_broadcast(rows, model, bits, scored, schema) if size <= broadcast_bytes else by_blocks(rows, model, bits, scored, schema)
+    found = by_broadcast(rows, model, bits, scored, schema) if small else by_blocks(blocks, answers, scored, schema)
     return found.withColumnRenamed("id", id)
 
 
@@ -453,39 +593,60 @@ def by_broadcast(rows: DataFrame, model: DataFrame, bits: int, scored: Callable,
         for batch in batches:
             for at, texts in slices(batch.column(2)):
                 hashes, starts = tokens(texts)
-                count, level = looked_up(parts, hashes, bigrams(hashes, starts))
-                yield scored(batch.slice(at, len(texts)).columns[:2], hashes, starts, count, level)
+                (words, rank), (pairs, pair_rank) = ranked(hashes), ranked(bigrams(hashes, starts))
+                count, level = looked_up(parts, words, pairs)
+                yield scored(batch.slice(at, len(texts)).columns[:2], hashes, starts, count[rank], level[pair_rank])
 
     return map_arrow(rows, run, schema)
 
 
-def by_blocks(rows: DataFrame, model: DataFrame, bits: int, scored: Callable, schema: StructType) -> DataFrame:
-    """Rows (id, held_out, text) scored by a model of any size: blocks of texts fetch the answers to their keys."""
+def asked_blocks(rows: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, held_out, text) in written blocks, and the answers of the model of those not held out to each block."""
     blocks = written(map_arrow(rows, in_blocks, StructType([StructField("block", LongType()), *rows.schema.fields])), "lm-blocks")
-    answers = answered(map_arrow(blocks.select("block", "text"), asked_keys, ASKED), model, bits)
-    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields]
-    told = answers.select("block", F.lit(0).alias("kind"), "order", "hash", "value", *empty)
-    none = [F.lit(None).cast("bigint").alias(n) for n in ("order", "hash", "value")]
-    texts = blocks.select("block", F.lit(1).alias("kind"), *none, "id", "held_out", "text")
-    met = told.unionByName(texts).repartition("block").sortWithinPartitions("block", "kind")
+    chunks = map_arrow(blocks.select("block", "held_out", "text"), lambda batches: asked_keys(batches, bits), CHUNK)
+    spread = chunks.repartition("segment").sortWithinPartitions("segment", "block")
+    return blocks, written(map_arrow(spread, lambda batches: answered(batches, bits), ANSWER), "lm-answers", clean=True)
+
+
+def by_blocks(blocks: DataFrame, answers: DataFrame, scored: Callable, schema: StructType) -> DataFrame:
+    """Blocks of rows (id, held_out, text) scored by the answers to their keys, by a model of any size."""
+    empty = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in (*blocks.schema.fields, *answers.schema.fields)}
+    own, told = ["id", "held_out", "text"], ["segment", "counts", "levels"]
+    told_rows = answers.select("block", F.lit(0).alias("kind"), *told, *[empty[n] for n in own])
+    texts = blocks.select("block", F.lit(1).alias("kind"), *[empty[n] for n in told], *own)
+    met = told_rows.unionByName(texts).repartition("block").sortWithinPartitions("block", "kind", "segment")
 
     def run(batches):
-        current, known = None, Answers()
+        current, counts, levels, parts = None, [], [], []
+
+        def flush():
+            words, rank = ranked(np.concatenate([p[1] for p in parts]))
+            pairs, pair_rank = ranked(np.concatenate([bigrams(*p[1:]) for p in parts]))
+            count, level = np.concatenate(counts), np.concatenate(levels)
+            if (len(count), len(level)) != (len(words), len(pairs)):
+                raise ValueError(f"block {current}: {len(count)} words and {len(level)} bigrams answered of {len(words)} and {len(pairs)}")
+            at = 0
+            for columns, hashes, begins in parts:
+                place = slice(at, at + len(hashes))
+                yield scored(columns, hashes, begins, count[rank[place]], level[pair_rank[place]])
+                at = place.stop
+
         for batch in batches:
             block, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            starts = [0, *(np.flatnonzero((np.diff(block) != 0) | (np.diff(kind) != 0)) + 1).tolist(), len(block)]
-            for a, b in zip(starts, starts[1:], strict=False):
-                if a == b:
-                    continue
+            starts = np.flatnonzero(np.r_[True, (np.diff(block) != 0) | (np.diff(kind) != 0)])
+            for a, b in zip(starts, [*starts[1:], len(block)], strict=True):
                 if block[a] != current:
-                    current, known = int(block[a]), Answers()
+                    if parts:
+                        yield from flush()
+                    current, counts, levels, parts = int(block[a]), [], [], []
                 part = batch.slice(a, b - a)
                 if kind[a] == 0:
-                    known.add(part.column(2).to_numpy(), part.column(3).to_numpy().view(np.uint64), part.column(4).to_numpy())
+                    counts.append(joined(part.column(3), np.int64)[0])
+                    levels.append(joined(part.column(4), np.uint8)[0])
                     continue
                 for at, bodies in slices(part.column(7)):
-                    hashes, begins = tokens(bodies)
-                    count, level = known.of(1, hashes), known.of(2, bigrams(hashes, begins)).astype(np.uint8)
-                    yield scored(part.slice(at, len(bodies)).columns[5:7], hashes, begins, count, level)
+                    parts.append((part.slice(at, len(bodies)).columns[5:7], *tokens(bodies)))
+        if parts:
+            yield from flush()
 
     return map_arrow(met, run, schema)

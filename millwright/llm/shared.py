@@ -17,6 +17,7 @@ from millwright.session import scratch_path
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 SLICE_BYTES = 4 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship(spark: SparkSession) -> None:
@@ -30,14 +31,22 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, have) if x)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, clean: bool = False) -> DataFrame:
     """Write ``df`` below the shared folder and read it again: lineage ends here.
 
     Unlike a local checkpoint the rows survive a lost executor, and every later reader sees the
-    same rows.
+    same rows. With ``clean`` the shuffle files of the write go as soon as it is done, not when the driver
+    happens to collect its garbage.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    conf, before = df.sparkSession.conf, df.sparkSession.conf.get(CLEANUP, None)
+    if clean:
+        conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if clean:
+            conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -13,7 +13,7 @@ from corpus_pipeline import quality_stage
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from millwright.llm import bpe, langid, lm, packing, quality, tokens
+from millwright.llm import bpe, langid, lm, packing, quality, shared, tokens
 from millwright.llm.queries import TOKENIZER
 
 HARD = [None, "", " \n\t ", "é", "<|endoftext|>a<|endoftext|>", "a" * 3000, " " * 3000, "日本語🙂‍ x", "it's  we'll\n\n 12 34!!", "\x85\xa0 ſ"]
@@ -299,6 +299,84 @@ def test_counts_of_a_segment_are_combined_on_the_way(monkeypatch):
     assert [[c.to_pylist() for c in row] for row in lm.build_segments(iter(batches))] == whole and len(whole) == 3
 
 
+def shuffled_rows(df):
+    """Rows that cross the shuffles of a collected frame."""
+    total, plans = 0, [df._jdf.queryExecution().executedPlan()]
+    while plans:
+        plan = plans.pop()
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            plans.append(plan.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            plans.append(plan.plan())
+        if plan.metrics().contains("shuffleRecordsWritten"):
+            total += plan.metrics().apply("shuffleRecordsWritten").value()
+        plans += [plan.children().apply(i) for i in range(plan.children().size())]
+    return total
+
+
+def test_answers_of_a_large_model_come_in_chunks_and_not_key_by_key(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(300).select("doc_id", "text").coalesce(1)
+    keys = {w for r in docs.collect() for w in (r["text"] or "").lower().split()}
+    keys |= {p for r in docs.collect() for t in [(r["text"] or "").lower().split()] for p in zip(t, t[1:])}
+    found = lm.score(docs, F.col("doc_id") % 7 == 2, broadcast_bytes=0)
+    assert len(found.collect()) == docs.count()
+    assert 0 < shuffled_rows(found) <= docs.count() + 2**lm.LEAST_SEGMENT_BITS < len(keys)
+
+
+def test_a_model_larger_than_its_text_is_asked_by_blocks(spark):
+    rows = spark.createDataFrame([(i, " ".join(chr(0x4E00 + (i * k) % 5000) for k in range(60))) for i in range(80)], "doc_id bigint, text string")
+    held = F.col("doc_id") % 7 == 2
+    size = lm.text_bytes(rows.where(~held))
+    model = lm.fit_model(rows.where(~held), lm.segment_bits(rows.where(~held)))
+    assert model.agg(F.sum(lm.model_bytes())).first()[0] > size
+    once, asked = (lm.score(rows, held, broadcast_bytes=n) for n in (1 << 30, size))
+    assert sorted(map(str, once.collect())) == sorted(map(str, asked.collect())) and once.count() == 80
+    assert shuffled_rows(once) == 0 < shuffled_rows(asked)
+
+
+def test_a_block_that_two_tasks_read_is_answered_once(monkeypatch):
+    """Two tasks ask with texts of one block, and a third with another; counts add up, also large and unlearned ones."""
+    texts = [["b a b", "a c " * 200], ["c a", None], ["a b"]]
+    held = [[False, False], [False, True], [True]]
+    blocks = [[7, 7], [7, 7], [9]]
+    rows = [pa.RecordBatch.from_arrays([pa.array(b), pa.array(h), pa.array(t, pa.string())], names=list("bht")) for b, h, t in zip(blocks, held, texts, strict=True)]
+    whole = [pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*(r.columns for r in rows), strict=True)], names=list("bht"))]
+
+    def asked(tasks):
+        made = [pa.RecordBatch.from_arrays(c, names=lm.CHUNK.names) for task in tasks for c in lm.asked_keys(iter(task), 2)]
+        chunks = pa.Table.from_batches(made).sort_by([("segment", "ascending"), ("block", "ascending")])
+        return [[c.to_pylist() for c in row] for row in lm.answered(iter(chunks.to_batches(max_chunksize=2)), 2)]
+
+    found = asked([[r] for r in rows])
+    assert found == asked([whole])
+    assert sum(map(sum, (row[5] for row in found))) == 3 + 400 + 2 + 3 and sum(map(sum, (row[4] for row in found))) == 4
+    counts = {n for row in found for b, c in zip(row[1], row[2], strict=True) if b == 7 for n in np.frombuffer(c, np.int64).tolist()}
+    assert counts == {1 + 200 + 1, 2, 201, 3}
+    monkeypatch.setattr(lm, "SENT_KEYS", 1)
+    assert asked([[r] for r in rows]) == found
+
+
+def test_shuffle_files_of_a_clean_write_go_with_it(spark):
+    held = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    setting = spark.conf.get(shared.CLEANUP, None)
+    before = held.size()
+    rows = shared.written(spark.range(100).repartition(3, "id"), "clean", clean=True)
+    assert held.size() <= before and spark.conf.get(shared.CLEANUP, None) == setting
+    assert sorted(r["id"] for r in rows.collect()) == list(range(100))
+
+
+def test_keys_that_share_their_leading_bits_are_sorted():
+    close = [(5 << 60) + n for n in (3, 1, 2, 1, 0)]
+    for made in (close, [*close, 7, 2**63], [2**63, *close], [4] * 5, [2**64 - 1, 0, 2**64 - 1]):
+        for n in range(len(made) + 1):
+            keys = np.array(made[:n], np.uint64)
+            order, found = lm.in_order(keys)
+            assert order.tolist() == np.argsort(keys, kind="stable").tolist() and found.tolist() == sorted(made[:n])
+            known, rank = lm.ranked(keys)
+            assert known[rank].tolist() == made[:n] and known.tolist() == sorted({*made[:n]})
+
+
 def test_scoring_without_training_rows(spark):
     rows = frame(spark, [(1, "a b", None, None, 0), (None, None, None, None, 0)])
     assert {r["base_score"] for r in lm.score(rows, F.lit(True)).collect()} == {0.0}
